@@ -16,19 +16,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabweave.llm import langid, mixing, ngram_join, pieces, quality_rules
-from tabweave.llm.common import id_remainder, materialize, read_table
+from tabweave.llm.common import id_remainder, materialize, read_table, small_batches
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = langid.train(docs, F.coalesce(id_remainder(F.col("doc_id"), 4) != 2, F.lit(True)))
     return langid.keep_known(docs, model)
 
 
 def quality_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality_rules.keep_passing(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = ngram_join.near_duplicates(docs)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
@@ -41,6 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pieces.encode_documents(docs, ["doc_id", "lang", "source"])
 
 

@@ -17,7 +17,19 @@ BROADCAST_ROWS = 50_000
 _made: list[tuple[SparkSession, str]] = []
 
 
+#: Rows of an Arrow batch. Texts are read whole, so a batch of Spark's default size could hold hundreds of MB.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold BATCH_ROWS rows at most, unless the session has its own setting."""
+    if spark.conf.get(_BATCH_CONF) == "10000":
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,6 +58,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: it is computed once, its lineage is cut, and a
     lost executor takes nothing with it. The tables go when the driver's Python ends."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tabweave-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_remove_made)

@@ -68,7 +68,7 @@ def code_points(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(low).encode("utf-32-le"), dtype=np.uint32), np.cumsum([len(p) for p in low])
 
 
-def blocks(parts: list[str], most: int = 400_000) -> Iterator[tuple[int, list[str]]]:
+def blocks(parts: list[str], most: int = 200_000) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts of about ``most`` code points together, with the index of the first; a longer text alone."""
     first, size = 0, 0
     for i, p in enumerate(parts):

@@ -96,7 +96,7 @@ def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, spread((sums[ends] - sums[starts]) * down[starts])
 
 
-def shingles(part: list[str | None], width: int = WIDTH, most: int = 1 << 20) -> list[np.ndarray]:
+def shingles(part: list[str | None], width: int = WIDTH, most: int = 1 << 18) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text. Words are cut at the six ASCII blanks, and only A-Z are lowered. Texts are
     hashed together, in blocks of about ``most`` bytes; a longer text alone."""
     out: list[np.ndarray] = []
@@ -163,7 +163,7 @@ def survey(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 for s in shingles(part, width):
                     held.append(s)
                     n_held += len(s)
-                    if n_held > 1 << 20:
+                    if n_held > 1 << 19:
                         pour()
                     sets.append((len(s), *set_digest(s)))
                 n, hi, lo = zip(*sets, strict=True)
