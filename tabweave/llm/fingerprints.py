@@ -2,8 +2,9 @@
 
 A text is parsed into phrases: each is the longest known phrase at its place and one more character, and becomes known
 (the last one may be a known one). The set of phrases, hashed, is summed up by a minimum-hash signature: N_HASHES
-positions, each the least value of one hash function over the set, kept to 16 bits and written as four hex digits. The likeness of
-two fingerprints is the share of equal positions, an estimate of the phrase sets' Jaccard similarity.
+positions, each the low 16 bits of the least value of one hash function over the set, written as four hex digits. (The high
+bits of a minimum only tell how large the set is.) The likeness of two fingerprints is the share of equal positions, an estimate
+of the phrase sets' Jaccard similarity.
 
 An edited text has the same beginning up to its cut as its source, so the parse up to the cut is shared: what the source's
 own end has added to the dictionary is taken back, and the parse goes on with the new end.
@@ -74,7 +75,7 @@ def phrases_with_edit(text: str, edited: str, cut: int) -> tuple[list[str], list
 
 
 def signature(parts: list[str]) -> np.ndarray:
-    """16-bit minimum hashes of a set of phrases."""
+    """The low 16 bits of the minimum hashes of a set of phrases."""
     least = np.full(N_HASHES, 0xFFFFFFFF, np.uint32)
     if parts:
         h = np.fromiter((crc32(p.encode()) for p in parts), np.uint32, len(parts))
@@ -83,7 +84,7 @@ def signature(parts: list[str]) -> np.ndarray:
         h ^= h >> np.uint32(16)
         for i in range(0, len(h), 2048):
             np.minimum(least, (h[i : i + 2048] * _FACTORS + _SHIFTS).min(1), out=least)
-    return (least >> np.uint32(16)).astype(np.uint16)
+    return (least & np.uint32(0xFFFF)).astype(np.uint16)
 
 
 def fingerprint(text: str | None) -> str:

@@ -189,6 +189,24 @@ def test_fingerprints_of_odd_rows(spark):
     assert len({r.fingerprint for r in got if r.doc_id in (2, 3)}) == 1
 
 
+def test_likeness_of_long_texts_estimates_jaccard():
+    import random
+
+    def words(seed, alphabet, n):
+        rnd = random.Random(seed)
+        return " ".join("".join(rnd.choices(alphabet, k=rnd.randint(2, 9))) for _ in range(n))
+
+    low, high, n = "abcdefghijklm", "nopqrstuvwxyz", 100_000
+    text = words(1, low, n)
+    others = [words(2, high, n).replace(" ", "_"), words(3, low, n), text[: len(text) // 2] + words(4, high, n // 2), text[: len(text) * 9 // 10] + words(5, low, n // 10), words(6, high, 2 * n)]
+    mine = fingerprints.phrases(text)
+    for other in others:
+        its = fingerprints.phrases(other)
+        true = len(set(mine) & set(its)) / len(set(mine) | set(its))
+        error = (true * (1 - true) / fingerprints.N_HASHES) ** 0.5
+        assert abs(fingerprints.likeness(fingerprints.signature(mine), fingerprints.signature(its)) - true) <= 3.5 * error + 0.01
+
+
 # Chat
 
 
