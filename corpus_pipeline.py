@@ -2,8 +2,9 @@
 
 1. Language identification: documents without a letter, or whose language has a probability under one half, go.
 2. Quality rules: documents that fail the base rule or whose host is rejected go.
-3. N-gram Jaccard join: of each group of near duplicates the document with the least id stays; of rows with one id, the one
-   with the least text. Rows without an id cannot be named as members of a group, and stay.
+3. N-gram Jaccard join: of each group of near duplicates one row stays, the one with the least id (null ids last); of rows
+   with one id, the one with the least hash. Rows are told apart by 64 bits hashed from id and text, so different texts
+   with one id, or without an id, are different documents; two rows get one hash with a probability of about n²/2⁶⁵.
 4. Mixing: every document is repeated as often as its source's weight asks, once at least.
 5. SentencePiece: the remaining texts are encoded, decoded and compared.
 
@@ -32,11 +33,12 @@ def quality_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    found = ngram_join.near_duplicates(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
+    found = ngram_join.near_duplicates(keyed, "_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    ids = keyed.select("_key", "doc_id").distinct()
+    first = found.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("m")).select("m._key")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy([c for c, t in docs.dtypes if "map<" not in t]))
+    return keyed.join(first, "_key", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -378,3 +378,16 @@ def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, str(tmp_path))
     assert none.count() == 0
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    def text(name, n=40):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    rows = [(7, text("a")), (7, text("b")), (8, text("b") + " more"), (9, text("c")), (9, text("c"))]
+    rows += [(None, text("a")), (None, text("d")), (None, text("d")), (None, text("d") + " more"), (None, text("e")), (10, " \n"), (11, " \n")]
+    kept = corpus_pipeline.one_of_each_group(spark, documents(spark, [(i, t, None, None) for i, t in rows]), "").collect()
+    got = sorted(((r.doc_id, r.text[:2]) for r in kept), key=str)
+    assert got == sorted([(7, "a0"), (7, "b0"), (9, "c0"), (None, "d0"), (None, "e0"), (10, " \n"), (11, " \n")], key=str)
