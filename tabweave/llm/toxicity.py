@@ -4,7 +4,8 @@ Features of a text are its distinct lower-cased words and the words' first four
 labelled rows used are counted per label; the hashes that stand out in toxic rows (at least ``min_docs`` rows, smoothed log odds
 of at least ``min_odds``), at most ``max_features`` of them by odds and rows, are the model's features, so a text is a short sparse
 row. Severity grades come from the labels: 0 for label 0, and for label 1 a grade by how many separate words carry a
-feature (up to ``GRADE_WORDS[0]``, up to ``GRADE_WORDS[1]``, more); labels that are grades already can be used as they are.
+feature (up to ``GRADE_WORDS[0]``, up to ``GRADE_WORDS[1]``, more). If a label to be learned is above 1, the labels are grades
+already and are used as they are (rounded up).
 
 The model has one weight vector and one increasing threshold per grade step: P(grade > k) = sigmoid(w x - threshold k). It is fitted on at most about ``max_rows`` labelled rows (toxic ones up
 to half of it), chosen by a hash of the id: features are counted over them in the executors, and the gradient
@@ -132,15 +133,16 @@ def _descend(rows: list[np.ndarray], grades: np.ndarray, n: int, steps: int = 40
 
 def train(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", min_docs: int = 6, min_odds: float = 2.0, max_features: int = 20_000, max_rows: int = 50_000) -> Ordinal:
     """Learn from labelled documents whose id satisfies ``where`` (a condition on ``doc_id``)."""
-    known = labels.select(F.col(id_col).alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("toxic")).where(where & F.col("toxic").isNotNull())
-    n = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
+    known = labels.select(F.col(id_col).alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("toxic"), F.greatest(F.ceil(label_col), F.lit(0)).cast("int").alias("given")).where(where & F.col("toxic").isNotNull())
+    found = known.groupBy("toxic").agg(F.count(F.lit(1)), F.max("given")).collect()
+    n, most = {r[0]: r[1] for r in found}, max((r[2] for r in found), default=0)
     if len(n) < 2:
         return Ordinal({}, np.array([60.0] * GRADES))
     # a bounded set of labelled ids goes to the texts, so no text is shuffled for the join
     toxic_rows = min(n[1], max_rows // 2)
     share = F.when(F.col("toxic") == 1, toxic_rows / n[1]).otherwise(min(1.0, (max_rows - toxic_rows) / n[0]))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic"))
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic", "given"))
     n = {0: 0, 1: 0} | {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("rows") - F.col("toxic") + 0.5) / (n[0] + 1))
     chosen = feature_counts(rows).where(F.col("toxic") >= min_docs).withColumn("odds", odds).where(F.col("odds") >= min_odds).orderBy(F.desc("odds"), F.desc("rows"), "h").limit(max_features)
@@ -155,18 +157,18 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_
                     hit = [[feature[h] for h in hashes[w] if h in feature] for w in distinct_words(text)]
                     found.append(sorted({x for one in hit for x in one}))
                     words.append(sum(map(bool, hit)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(words, pa.int32())], names=["toxic", "x", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32())), pa.array(words, pa.int32())], names=["toxic", "given", "x", "n"])
 
-    table = rows.select("toxic", "text").mapInArrow(rows_of, "toxic int, x array<int>, n int").toArrow()
+    table = rows.select("toxic", "given", "text").mapInArrow(rows_of, "toxic int, given int, x array<int>, n int").toArrow()
     toxic, words = table["toxic"].to_numpy(), table["n"].to_numpy()
-    grades = np.where(toxic == 0, 0, 1 + (words > GRADE_WORDS[0]).astype(int) + (words > GRADE_WORDS[1]))
+    grades = table["given"].to_numpy() if most > 1 else np.where(toxic == 0, 0, 1 + (words > GRADE_WORDS[0]).astype(int) + (words > GRADE_WORDS[1]))
     present = np.unique(grades)
     if len(present) < 2 or not feature:
         return Ordinal({}, np.array([60.0] * GRADES))
     dense = np.searchsorted(present, grades)
     w, theta = _descend([np.array(x, np.int64) for x in table["x"].to_pylist()], dense, len(feature))
     # a grade that no row has is never predicted: its step shares the next present one's threshold
-    steps = np.array([theta[np.searchsorted(present, k) - 1] if k <= present[-1] else 60.0 for k in range(1, GRADES + 1)])
+    steps = np.array([theta[np.searchsorted(present, k) - 1] if k <= present[-1] else 60.0 for k in range(1, max(GRADES, most) + 1)])
     return Ordinal({h: float(w[i]) for h, i in feature.items()}, steps)
 
 

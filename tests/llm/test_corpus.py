@@ -358,6 +358,15 @@ def test_toxicity(spark):
     assert all(r.predicted == 0 for r in toxicity.grade(docs, untrained, ["doc_id"]).collect())
 
 
+def test_given_grades_are_kept(spark):
+    rows = [(200 * g + i, f"a plain text with number word{i % 17} {words}", None, None) for g, words in enumerate(["", "scum", "idiot", "moron"]) for i in range(60)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, i // 200) for i, _, _, _ in rows], "doc_id long, severity int")
+    model = toxicity.train(docs, labels, F.col("doc_id") % 4 != 0, label_col="severity")
+    got = {r.doc_id: r.grade for r in toxicity.grade(docs, model, ["doc_id"]).collect()}
+    assert got == {i: i // 200 for i, _, _, _ in rows}
+
+
 # Pipeline
 
 
