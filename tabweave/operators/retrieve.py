@@ -64,16 +64,15 @@ def retrieve(gs: GraphSet, index: DataFrame, queries: DataFrame, top_k: int = 10
     return Retrieved(queries, seeds, gs.nodes.join(ids, ["graph_id", "node_id"]), edges, multi_graph)
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, key: list[str], max_hops: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame, key: list[str]) -> DataFrame:
     """``key``, start, node, path (array of nodes): a shortest path from every start to what it can reach along edges (u, v of each key,
     both directions given); among equally short ones the least by node ids. Runs until nothing new is reached."""
     reached = hold(starts.select(*key, "start", F.col("start").alias("node"), F.array("start").alias("path")))
     frontier = reached
-    for _ in range(max_hops):
+    while True:
         step = frontier.join(edges.withColumnRenamed("u", "node"), [*key, "node"]).select(*key, "start", F.col("v").alias("node"), "path")
         step = step.join(reached.select(*key, "start", "node"), [*key, "start", "node"], "left_anti").groupBy(*key, "start", "node").agg(F.min("path").alias("path"))
         frontier = hold(step.withColumn("path", F.concat("path", F.array("node"))))
         if frontier.isEmpty():
             return reached
         reached = reached.unionByName(frontier)
-    return reached

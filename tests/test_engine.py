@@ -216,3 +216,10 @@ def test_shortest_paths(spark):
     both = e.unionByName(e.selectExpr("query_id", "v as u", "u as v"))
     got = retrieve.shortest_paths(both, spark.createDataFrame([(0, "a")], "query_id long, start string"), ["query_id"])
     assert {r.node: r.path for r in got.collect()}["d"] == ["a", "e", "d"]
+
+
+def test_shortest_paths_of_many_hops(spark):
+    both = spark.range(66).selectExpr("0L as query_id", "id as u", "id + 1 as v")
+    both = both.unionByName(both.selectExpr("query_id", "v as u", "u as v")).selectExpr("query_id", "cast(u as string) as u", "cast(v as string) as v")
+    got = retrieve.shortest_paths(both, spark.createDataFrame([(0, "0")], "query_id long, start string"), ["query_id"])
+    assert {r.node: len(r.path) for r in got.collect()} == {str(i): i + 1 for i in range(67)}
