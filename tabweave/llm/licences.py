@@ -3,8 +3,12 @@
 A text is put into canonical form: lower case, copyright lines dropped, equivalent spellings made one, everything but
 letters and digits of any script turned into single spaces. The SHA-256 of the whole canonical text is joined to the
 digests of known licence texts. The same join is made for the single lines and blank-line-separated paragraphs of a
-text, so that a licence text or notice inside a document is found as well; only units whose canonical length is one
-of the known lengths are kept for it. The registry is a literal table, so its broadcast has a fixed size.
+text, so that a notice of one line or paragraph inside a document is found as well; only units whose canonical length is
+one of the known lengths are kept for it. The registry is a literal table, so its broadcast has a fixed size.
+
+Not covered: a known text of several paragraphs (MIT, ISC, BSD-2-Clause, zlib, the Apache notice) is found only if it is the
+whole document, but for the known titles and copyright lines. The registry has no full text of Apache-2.0, BSD-3-Clause, GPL,
+LGPL or MPL, so a document that is one of these has no whole licence.
 
 Cases: null and empty texts match nothing. A text that holds a licence several times counts each. A licence known under two
 names with one canonical text is reported under the alphabetically first. Repeated rows are each reported; extra columns
