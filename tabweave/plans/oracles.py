@@ -119,6 +119,7 @@ ORACLES["edge_labels_text"] = f"""with {_YEARS}
 select 'time_' || j as src, 'time_' || (j + 1) as dst, '[NEXT]' as relation from cl, k where j < k
 union all select 'metric_' || i, 'time_' || j, '[AT_TIME (value=' || v || ', metric=' || r || ', period=' || c || ')]' from g"""
 ORACLES["wide_table"] = 'select distinct o_orderpriority as "Priority" from orders'
+ORACLES["wide_table_cells"] = f"""with {_YEARS} select r as "Priority", c as "year", v as "orders" from g"""
 
 _PLACES = """pl as (
   select r_regionkey as k0, -1 as k1, -1 as k2, 0 as level, r_name as name, '' as balance from region

@@ -501,6 +501,13 @@ def wide_table(spark, sf_dir):
     return ts.to_wide(0).select("Priority")
 
 
+@query
+def wide_table_cells(spark, sf_dir):
+    """Every cell of the grid of years as a DataFrame, in long form, as the columns depend on the data."""
+    wide = year_grid(spark, sf_dir).to_wide(0)
+    return wide.unpivot("Priority", wide.columns[1:], "year", "orders")
+
+
 @query
 def pipeline_end_to_end(spark, sf_dir):
     """From aggregates of lineitem to retrieved context: grid, features, type, graph, index, seeds, hops, text."""

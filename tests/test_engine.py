@@ -204,6 +204,20 @@ def test_facade(spark):
     assert [r.Value for r in TableSet(ts.tables, ts.rows).to_wide(0).collect()] == ["Blue", "Blue"]
 
 
+def test_every_cell_of_the_wide_table(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from tabweave.plans.oracles import ORACLES
+    from tabweave.plans.queries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"create view orders as from '{sf_dir}/orders.parquet'")
+    got = QUERIES["wide_table_cells"](spark, sf_dir)
+    rows = db.execute(ORACLES["wide_table_cells"])
+    assert got.columns == [x[0] for x in rows.description]
+    assert sorted(map(tuple, got.collect())) == sorted(rows.fetchall())
+
+
 def test_flat_chunks(spark):
     ts = grids.from_lists(spark, [KV | {"source_file": "kv"}, SERIES | {"source_file": "ts"}])
     chunks = index.flat_chunks(ts.tables, ts.rows)
