@@ -74,11 +74,22 @@ def id_remainder(id_col: Column, mod: int) -> Column:
 
 def join_small(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join a large table to a summary with one row per key. The summary's rows are counted: up to BROADCAST_ROWS it is
-    broadcast; beyond, each of its rows is repeated for 16 salts, so that a hot key is dealt over 16 tasks."""
+    broadcast; beyond, each of its rows is repeated for 16 salts, so that a hot key is dealt over 16 tasks. A row's salt is a hash
+    of the row, so a task that is run again deals it as before."""
     if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), key, how)
-    salted = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(16)])))
-    return left.withColumn("_salt", (F.rand(7) * 16).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+    salt = fresh("_salt", left.columns, right.columns)
+    salted = right.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(16)])))
+    row = [f"`{c}`" for c, t in left.dtypes if "map<" not in t and "variant" not in t]
+    return left.withColumn(salt, F.pmod(F.xxhash64(*row), F.lit(16)).cast("int")).join(salted, [key, salt], how).drop(salt)
+
+
+def fresh(name: str, *taken: list[str]) -> str:
+    """A column name made from ``name`` that none of the lists has, in any case."""
+    used = {c.lower() for names in taken for c in names}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def texts(batch: pa.RecordBatch, at: int = -1, step: int = 512):

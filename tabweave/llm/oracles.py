@@ -7,7 +7,8 @@ from tabweave.llm.licence_texts import LICENCES
 from tabweave.llm.licences import COPYRIGHT_LINE, SPELLINGS
 from tabweave.llm.mixing import BLOCK_DOCS, MAX_REPEATS, SEED
 from tabweave.llm.ngram_join import PERCENT, WIDTH
-from tabweave.llm.quality_rules import MAX_HOST_RATE, MAX_REPEAT_PCT, MIN_WORDS
+from tabweave.llm.quality_rules import DEFAULT as LIMITS
+from tabweave.llm.quality_rules import SOFT, Z
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -92,6 +93,15 @@ k as (
 select doc_id, source, tokens, round(weight, 9) as weight, repeats, epoch::int as epoch, block, position::bigint as position from k where epoch < whole or run <= quota
 """
 
+_KINDS = ("any", *SOFT)
+
+
+def _low(r: str) -> str:
+    """The lower end of a host's posterior rate of a kind of failure."""
+    mean = f"((f_{r} + m_{r} * w_{r}) / (n + w_{r}))"
+    return f"case when w_{r} is null then m_{r} else {mean} - {Z} * sqrt({mean} * (1 - {mean}) / (n + w_{r} + 1)) end"
+
+
 RULES = f"""
 with d as (select doc_id, source, coalesce(text, '') as text, {_WORDS} as ws from documents),
 g as (
@@ -99,19 +109,28 @@ g as (
   from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from d)),
 r as (select doc_id, count(distinct i + k) as n from g, range(3) t(k) where c > 1 group by 1),
 l as (
-  select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(text, chr(10))) as line from d)
+  select doc_id, count(*) as lines, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(text, chr(10))) as line from d)
   where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by 1),
 s as (
   select d.doc_id, source, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
-    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(l.n, 0)::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(l.n, 0)::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words, coalesce(l.lines, 0) as n_lines
   from d left join l using (doc_id) left join r using (doc_id)),
-f as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words as base_failed from s),
-h as (select source, count(*) as n, sum(base_failed::int) as f, sum(base_failed::int) / count(*) as rate from f where source is not null group by 1),
-m as (select m, q - m * m as v from (select sum(f) / sum(n) as m, sum(n * rate * rate) / sum(n) as q from h)),
-a as (select m, v, m * (1 - m) / v - 1 as weight from m),
-hr as (select source, case when v <= 1e-12 then m when weight > 0 then (f + m * weight) / (n + weight) else rate end as rate from h, a)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(hr.rate, 0) <= {MAX_HOST_RATE} as kept
-from f left join hr on f.source = hr.source
+f as (
+  select *, n_words < {LIMITS.min_words} or 100 * n_repeat_words > {LIMITS.max_repeat_pct} * n_words as base_failed, 100 * n_symbols > {LIMITS.max_symbol_pct} * n_words as x_symbols,
+    100 * n_dup_lines > {LIMITS.max_dup_line_pct} * n_lines as x_lines, word_chars < {LIMITS.min_mean} * n_words or word_chars > {LIMITS.max_mean} * n_words as x_lengths from s),
+h as (
+  select source, count(*) as n, count(*) filter (base_failed or {" or ".join(f"x_{r}" for r in SOFT)}) as f_any, {", ".join(f"count(*) filter (x_{r}) as f_{r}" for r in SOFT)}
+  from f where source is not null group by 1),
+t as (
+  select sum(n)::double as nn, count(*) as k, sum(n * n)::double / sum(n) as sq, {", ".join(f"sum(f_{r}) / sum(n) as m_{r}, sum(f_{r} * f_{r} / n) - sum(f_{r})::double * sum(f_{r}) / sum(n) as v_{r}" for r in _KINDS)} from h),
+p as (
+  select *, {", ".join(f"case when nn - sq - (k - 1) <= 1e-9 or m_{r} <= 0 or m_{r} >= 1 then 0 else least(1, greatest(0, (v_{r} / (m_{r} * (1 - m_{r})) - (k - 1)) / (nn - sq - (k - 1)))) end as rho_{r}" for r in _KINDS)} from t),
+w as (select *, {", ".join(f"case when rho_{r} > 1e-9 then 1 / rho_{r} - 1 end as w_{r}" for r in _KINDS)} from p),
+v as (
+  select source, {_low("any")} > {LIMITS.max_host_rate} as rejected, {", ".join(f"{_low(r)} > {LIMITS.max_rule_rate} as bad_{r}" for r in SOFT)} from h, w),
+j as (
+  select f.*, coalesce(rejected or {" or ".join(f"(bad_{r} and x_{r})" for r in SOFT)}, false) as by_host from f left join v on f.source = v.source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, by_host, not base_failed and not by_host as kept from j
 """
 
 ORACLES = {"op3_ngram_jaccard": NGRAM, "op6_licences": LICENCE, "op7_chat": CHAT, "op8_mixing": MIXING, "op9_quality_rules": RULES}

@@ -50,7 +50,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(read_table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", *quality_rules.STATS, "base_failed", "kept")
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", *quality_rules.STATS, "base_failed", "by_host", "kept")
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -299,7 +299,7 @@ def brute_stats(text):
     many = collections.Counter(zip(w, w[1:], w[2:], strict=False))
     cover = {i + k for i in range(len(w) - 2) if many[w[i], w[i + 1], w[i + 2]] > 1 for k in range(3)}
     lines = [x for x in text.split("\n") if WORD.search(x)]
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(cover)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(cover), len(lines)
 
 
 @given(st.text(alphabet="ab é#\n\t|", max_size=60))
@@ -308,17 +308,77 @@ def test_text_stats(text):
     assert quality_rules.text_stats(text) == brute_stats(text)
 
 
+def brute_verdicts(rows, z=1.645):
+    """kept and by_host of (id, text, host) by the moments of the beta-binomial distribution, in plain numbers."""
+    kinds = ("any", "symbols", "lines", "lengths")
+    failed = {}
+    for i, t, _ in rows:
+        n, chars, symbols, dup, repeated, lines = brute_stats(t)
+        f = {"short": n < 50, "repeated": 100 * repeated > 50 * n, "symbols": 100 * symbols > 10 * n, "lines": 100 * dup > 30 * lines, "lengths": chars < 3 * n or chars > 10 * n}
+        failed[i] = f | {"any": any(f.values()), "base": f["short"] or f["repeated"]}
+    hosts = collections.defaultdict(list)
+    for i, _, h in rows:
+        if h is not None:
+            hosts[h].append(failed[i])
+    total = sum(map(len, hosts.values()))
+    low = {}
+    for kind in kinds:
+        m = sum(f[kind] for fs in hosts.values() for f in fs) / total
+        squares = sum(len(fs) * (sum(f[kind] for f in fs) / len(fs) - m) ** 2 for fs in hosts.values())
+        room = total - sum(len(fs) ** 2 for fs in hosts.values()) / total - (len(hosts) - 1)
+        rho = max(0, (squares / (m * (1 - m)) - (len(hosts) - 1)) / room) if room > 1e-9 and 0 < m < 1 else 0
+        for h, fs in hosts.items():
+            low[h, kind] = m
+            if rho > 1e-9:
+                a, b = m * (1 / rho - 1) + sum(f[kind] for f in fs), (1 - m) * (1 / rho - 1) + sum(not f[kind] for f in fs)
+                low[h, kind] = a / (a + b) - z * (a * b / (a + b) ** 2 / (a + b + 1)) ** 0.5
+    by_host = {i: h is not None and (low[h, "any"] > 0.5 or any(low[h, k] > 0.05 and failed[i][k] for k in kinds[1:])) for i, _, h in rows}
+    return {i: (not failed[i]["base"] and not by_host[i], by_host[i]) for i, _, _ in rows}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_host_verdicts_equal_brute_force(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    rows = []
+    for h in range(25):
+        bad = rnd.choice([0.0, 0.02, 0.1, 0.4, 0.9])
+        for _ in range(rnd.choice([1, 1, 3, 20, 60])):
+            kind = rnd.choice(["short", "symbols", "lines", "lengths"]) if rnd.random() < bad else "good"
+            text = {"short": "too short", "symbols": LONG + " #" * 60, "lines": LONG + "\none line" * 9, "lengths": "extraordinarily" + LONG.replace("word", "extraordinarily"), "good": LONG}[kind]
+            rows.append((len(rows), text, None if h == 0 else f"h{h}"))
+    docs = documents(spark, [(i, t, None, h) for i, t, h in rows])
+    got = {r.doc_id: (r.kept, r.by_host) for r in quality_rules.judge(docs, ["doc_id"]).collect()}
+    assert got == brute_verdicts(rows)
+    assert any(b for _, b in got.values())
+    assert {r.doc_id for r in quality_rules.keep_passing(docs).collect()} == {i for i, (k, _) in got.items() if k}
+
+
 def test_host_rules(spark):
-    good, bad = LONG, "short"
-    rows = [(i, bad if i % 10 else good, None, "bad.host") for i in range(200)] + [(i, good, None, "good.host") for i in range(200, 400)] + [(400, good, None, None), (401, None, None, "good.host"), (402, bad, None, "tiny.host")]
+    good, bad, marked = LONG, "short", LONG + " #" * 60
+    rows = [(i, bad if i % 10 else good, None, "bad.host") for i in range(200)] + [(i, good if i % 5 else marked, None, "marked.host") for i in range(200, 400)]
+    rows += [(400, good, None, None), (401, None, None, "good.host"), (402, bad, None, "tiny.host"), (403, marked, None, None)] + [(i, good, None, "good.host") for i in range(410, 600)] + [(600, marked, None, "good.host")]
     got = {r.doc_id: r for r in quality_rules.judge(documents(spark, rows), ["doc_id"]).collect()}
-    assert not any(got[i].kept for i in range(200)) and all(got[i].kept for i in range(200, 401)) and not got[401].kept
+    assert not any(got[i].kept for i in range(200)) and all(got[i].kept == (i % 5 > 0) for i in range(200, 400)) and not got[401].kept
+    assert got[400].kept and got[403].kept and got[600].kept  # one marked text on a host without others stays
     kept = quality_rules.keep_passing(documents(spark, rows))
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
-    assert quality_rules.judge(odd(spark), ["doc_id", "n_words"]).count() == 10 and quality_rules.keep_passing(odd(spark)).columns == odd(spark).columns
+    clash = odd(spark).withColumn("rejected", F.lit("extra"))
+    assert quality_rules.judge(clash, ["doc_id", "n_words", "_text"]).select("_text").distinct().count() == 1
+    assert quality_rules.judge(clash, ["doc_id"]).count() == 10 and quality_rules.keep_passing(clash).columns == clash.columns
     assert quality_rules.judge(empty(spark), ["doc_id"]).count() == 0 and quality_rules.keep_passing(empty(spark)).count() == 0
 
 
+def test_spread_of_hosts_with_one_document():
+    ones = [0, 1] * 20
+    n, f = len(ones), sum(ones)
+    assert quality_rules.spread_of(n, n, n, f, sum(x * x for x in ones)) == 0.0
+    # hosts that fail all or nothing have all their spread between them
+    assert quality_rules.spread_of(400, 40, 4000, 200, 200) > 0.9
+    assert quality_rules.spread_of(0, 0, 0, 0, 0) == 0.0
+
+
 def test_quality(spark):
     clean = [(i, f"This is a plain text, number {i}. It has some words in it and ends well.", None, None) for i in range(60)]
     junk = [(100 + i, "buy$$$ now### " * (10 + i), None, None) for i in range(60)]
