@@ -2,17 +2,23 @@
 
 Features of a text are its distinct lower-cased words and the words' first four to eight characters, hashed. For every hash the
 labelled rows used are counted per label; the hashes that stand out in toxic rows (at least ``min_docs`` rows, smoothed log odds
-of at least ``min_odds``), at most ``max_features`` of them by odds and rows, are the model's features, so a text is a short sparse
-row. Severity grades come from the labels: 0 for label 0, and for label 1 a grade by how many separate words carry a
-feature (up to ``GRADE_WORDS[0]``, up to ``GRADE_WORDS[1]``, more). If a label to be learned is above 1, the labels are grades
-already and are used as they are (rounded up).
+of at least ``min_odds``) are the model's features, so a text is a short sparse row.
 
-The model has one weight vector and one increasing threshold per grade step: P(grade > k) = sigmoid(w x - threshold k). It is fitted on at most about ``max_rows`` labelled rows (toxic ones up
-to half of it), chosen by a hash of the id: features are counted over them in the executors, and the gradient
-descent has their sparse rows on the driver. A text's expected severity is the sum of P(grade > k); ``score`` is P(grade > 0).
+Severity grades come from the labels. If a label to be learned is above 1, the labels are grades already and are used as they
+are (rounded up). With labels 0 and 1, grades 1 to 3 of the toxic rows are made from how often abusive words occur in a row,
+repeats counted, cut at the terciles of all toxic rows. So that a grade is no echo of the features that predict it, the words that
+count in a row are those that stand out among the rows of the other of two folds (by a hash of the id); the row's own words do not
+decide which words are abusive.
+
+The model has one weight vector and one increasing threshold per grade step: P(grade > k) = sigmoid(w x - threshold k). It is fitted
+on at most about ``max_rows`` labelled rows (toxic ones up to half of it), chosen by a hash of the id: features are counted over them
+in the executors, and the gradient descent has their sparse rows on the driver. What comes to the driver is thus bounded by
+``max_rows``. A text's expected severity is the sum of P(grade > k); ``score`` is P(grade > 0).
 
 Cases: null and empty texts have no features and get the thresholds' score. Null labels are not learned. Without toxic or
-clean rows nothing is learned and all scores are 0. Repeated rows count each time. Extra columns are ignored.
+clean rows nothing is learned and all scores are 0. Ties at a tercile take the lower grade; of equally probable grades the lower
+one is predicted. Repeated rows count each time. Very long texts are read whole, as sets of words. An empty table gives no rows.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +37,6 @@ from tabweave.llm.common import materialize, texts, without
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7, 8)
-GRADE_WORDS = (1, 3)
 GRADES = 3
 
 
@@ -73,34 +78,49 @@ class Ordinal:
 
 
 def feature_counts(labelled: DataFrame) -> DataFrame:
-    """h, toxic, rows of each feature hash that occurs in a toxic row or not; per task, rare clean ones are summed as well."""
+    """h, fold, toxic, rows: in how many (toxic) rows of a fold each feature hash occurs; a task sums its rows first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        toxic: dict[int, int] = {}
-        rows: dict[int, int] = {}
+        toxic: tuple[dict[int, int], ...] = ({}, {})
+        rows: tuple[dict[int, int], ...] = ({}, {})
 
-        def out() -> pa.RecordBatch:
-            keys = np.fromiter(rows, np.int64, len(rows))
-            got = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([toxic.get(k, 0) for k in rows], pa.int64()), pa.array(list(rows.values()), pa.int64())], names=["h", "toxic", "rows"])
-            rows.clear()
-            toxic.clear()
-            return got
+        def out(fold: int) -> pa.RecordBatch:
+            keys = list(rows[fold])
+            columns = [pa.array(keys, pa.int64()), pa.array([fold] * len(keys), pa.int32()), pa.array([toxic[fold].get(k, 0) for k in keys], pa.int64()), pa.array(list(rows[fold].values()), pa.int64())]
+            rows[fold].clear()
+            toxic[fold].clear()
+            return pa.RecordBatch.from_arrays(columns, names=["h", "fold", "toxic", "rows"])
 
         for batch in batches:
-            marks = batch.column(0).to_pylist()
+            marks, folds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first, part in texts(batch):
-                for text, mark in zip(part, marks[first : first + len(part)], strict=True):
+                for text, mark, fold in zip(part, marks[first:], folds[first:], strict=False):
+                    mine, marked = rows[fold], toxic[fold]
                     for h in {h for w in distinct_words(text) for h in hashes[w]}:
-                        rows[h] = rows.get(h, 0) + 1
+                        mine[h] = mine.get(h, 0) + 1
                         if mark:
-                            toxic[h] = toxic.get(h, 0) + 1
-                if len(rows) > 500_000:
-                    yield out()
-        if rows:
-            yield out()
+                            marked[h] = marked.get(h, 0) + 1
+                for fold in (0, 1):
+                    if len(rows[fold]) > 300_000:
+                        yield out(fold)
+        for fold in (0, 1):
+            if rows[fold]:
+                yield out(fold)
+
+    return labelled.select("toxic", "fold", "text").mapInArrow(run, "h long, fold int, toxic long, rows long").groupBy("h", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows"))
+
+
+def standing_out(counts: DataFrame, n: dict[int, int], min_docs: int, min_odds: float) -> DataFrame:
+    """The hashes of ``counts`` (h, toxic, rows) that are more frequent in toxic rows than in others, among n[1] and n[0] rows."""
+    odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("rows") - F.col("toxic") + 0.5) / (n[0] + 1))
+    return counts.where((F.col("toxic") >= min_docs) & (odds >= min_odds))
+
 
-    return labelled.select("toxic", "text").mapInArrow(run, "h long, toxic long, rows long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows"))
+def terciles(occurrences: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Grades: 0 for rows that are not toxic, 1 to 3 by the terciles of the toxic rows' occurrences."""
+    cuts = np.quantile(occurrences[toxic > 0], [1 / 3, 2 / 3], method="inverted_cdf") if (toxic > 0).any() else np.zeros(2)
+    return np.where(toxic == 0, 0, 1 + (occurrences > cuts[0]).astype(int) + (occurrences > cuts[1]))
 
 
 def _descend(rows: list[np.ndarray], grades: np.ndarray, n: int, steps: int = 400, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +151,7 @@ def _descend(rows: list[np.ndarray], grades: np.ndarray, n: int, steps: int = 40
     return params[:n], np.cumsum(np.concatenate([[params[n]], np.exp(params[n + 1 :])]))
 
 
-def train(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", min_docs: int = 6, min_odds: float = 2.0, max_features: int = 20_000, max_rows: int = 50_000) -> Ordinal:
+def train(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", min_docs: int = 6, min_odds: float = 2.0, max_rows: int = 50_000) -> Ordinal:
     """Learn from labelled documents whose id satisfies ``where`` (a condition on ``doc_id``)."""
     known = labels.select(F.col(id_col).alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("toxic"), F.greatest(F.ceil(label_col), F.lit(0)).cast("int").alias("given")).where(where & F.col("toxic").isNotNull())
     found = known.groupBy("toxic").agg(F.count(F.lit(1)), F.max("given")).collect()
@@ -142,26 +162,34 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_
     toxic_rows = min(n[1], max_rows // 2)
     share = F.when(F.col("toxic") == 1, toxic_rows / n[1]).otherwise(min(1.0, (max_rows - toxic_rows) / n[0]))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic", "given"))
-    n = {0: 0, 1: 0} | {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("rows") - F.col("toxic") + 0.5) / (n[0] + 1))
-    chosen = feature_counts(rows).where(F.col("toxic") >= min_docs).withColumn("odds", odds).where(F.col("odds") >= min_odds).orderBy(F.desc("odds"), F.desc("rows"), "h").limit(max_features)
-    feature = {r["h"]: i for i, r in enumerate(chosen.select("h").collect())}
+    known = known.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int"))
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic", "given", "fold"))
+    of = {(r["fold"], r["toxic"]): r["count"] for r in rows.groupBy("fold", "toxic").count().collect()}
+    n = {k: of.get((0, k), 0) + of.get((1, k), 0) for k in (0, 1)}
+    counts = materialize(feature_counts(rows))
+    both = counts.groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows"))
+    feature = {h: i for i, h in enumerate(np.sort(standing_out(both, n, min_docs, min_odds).select("h").toArrow()["h"].to_numpy()).tolist())}
+    # what counts as abusive in a row of one fold is learned from the other fold
+    abusive = tuple(
+        frozenset(standing_out(counts.where(F.col("fold") == 1 - fold), {k: of.get((1 - fold, k), 0) for k in (0, 1)}, min_docs // 2, min_odds).select("h").toArrow()["h"].to_pylist())
+        for fold in (0, 1)
+    )
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            found, words = [], []
-            for _, part in texts(batch):
-                for text in part:
-                    hit = [[feature[h] for h in hashes[w] if h in feature] for w in distinct_words(text)]
-                    found.append(sorted({x for one in hit for x in one}))
-                    words.append(sum(map(bool, hit)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32())), pa.array(words, pa.int32())], names=["toxic", "given", "x", "n"])
-
-    table = rows.select("toxic", "given", "text").mapInArrow(rows_of, "toxic int, given int, x array<int>, n int").toArrow()
-    toxic, words = table["toxic"].to_numpy(), table["n"].to_numpy()
-    grades = table["given"].to_numpy() if most > 1 else np.where(toxic == 0, 0, 1 + (words > GRADE_WORDS[0]).astype(int) + (words > GRADE_WORDS[1]))
+            found, often = [], []
+            folds = batch.column(2).to_pylist()
+            for first, part in texts(batch):
+                for text, fold in zip(part, folds[first:], strict=False):
+                    words = _WORD.findall(text.lower()) if text else []
+                    found.append(sorted({feature[h] for w in set(words) for h in hashes[w] if h in feature}))
+                    often.append(sum(hashes[w][0] in abusive[fold] for w in words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32())), pa.array(often, pa.int32())], names=["toxic", "given", "x", "n"])
+
+    table = rows.select("toxic", "given", "fold", "text").mapInArrow(rows_of, "toxic int, given int, x array<int>, n int").toArrow()
+    toxic = table["toxic"].to_numpy()
+    grades = table["given"].to_numpy() if most > 1 else terciles(table["n"].to_numpy(), toxic)
     present = np.unique(grades)
     if len(present) < 2 or not feature:
         return Ordinal({}, np.array([60.0] * GRADES))
