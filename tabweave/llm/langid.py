@@ -1,15 +1,19 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts hashed 1- to 3-grams of lower-cased code points per language in the executors, sums them per
-(language, bucket) and brings the table of ``languages x buckets`` counts to the driver; its size does not depend on the
-input. The log-probability matrix is broadcast and each batch of texts is scored in numpy: the hashed grams of a batch
-are a sparse (document, bucket) list, gathered from the matrix and summed by document.
+(language, bucket) and brings the table of ``languages x buckets`` counts to the driver. The log-probability matrix is broadcast
+and each batch of texts is scored in numpy: the hashed grams of a batch are a sparse (document, bucket) list, gathered from the
+matrix in pieces of bounded size and summed by document.
 
-Training uses at most ``per_lang`` documents of each language, chosen by a hash of id and text length.
+The matrix has at most MAX_CELLS cells (256 MB) whatever the input is: there are ``2 ** bits`` buckets, and half as many for each
+doubling of the languages beyond MAX_CELLS / 2 ** bits (1,024 with 16 bits). The languages are a label set, whose names are on the driver.
+
+Training uses at most about ``per_lang`` documents of each language, chosen by a hash of id and text length.
 
 Cases: null or empty text, or one without a letter: ``und`` with score 0. Null languages are not learned. If nothing
 can be learned, every text is ``und``. Ties go to the alphabetically first language. Repeated rows and null ids are
-scored like any other row. Extra columns are ignored.
+scored like any other row. Very long texts are hashed whole and scored in pieces. An empty table gives no rows. Extra columns
+are ignored by ``detect`` and passed through by ``keep_known``.
 """
 
 from __future__ import annotations
@@ -23,10 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.llm.common import texts, without
+from tabweave.llm.common import join_small, materialize, texts, without
 
 UNDETERMINED = "und"
-MAX_LANGS = 1024
+#: Cells of the log-probability matrix, and of what is gathered from it at once.
+MAX_CELLS = 1 << 26
+MAX_GATHERED = 1 << 21
+#: Languages whose counters a training task holds at once.
+HELD_LANGS = 128
 _WORDY = re.compile(r"[^\W\d_]")
 
 
@@ -80,24 +88,37 @@ def blocks(parts: list[str], most: int = 200_000) -> Iterator[tuple[int, list[st
         yield first, parts[first:]
 
 
+def buckets_for(langs: int, bits: int) -> int:
+    """The bits of a bucket, at most ``bits``, with which a matrix for so many languages has at most MAX_CELLS cells (2 buckets at least)."""
+    while bits > 1 and langs << bits > MAX_CELLS:
+        bits -= 1
+    return bits
+
+
 def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bits: int = 16, per_lang: int = 20_000, smoothing: float = 0.5) -> LangModel:
     """Learn from the rows that satisfy ``where`` and have a language and a text."""
     rows = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    found = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col)).count().limit(MAX_LANGS + 1).collect()}
-    if len(found) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    langs = sorted(found)
+    sizes = materialize(rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("docs")))
+    table = sizes.orderBy("lang").toArrow()
+    langs, docs_of = table["lang"].to_pylist(), table["docs"].to_numpy().astype(float)
+    bits = buckets_for(len(langs), bits)
     size = 1 << bits
     if not langs:
         return LangModel([], np.zeros((size, 0), np.float32), np.zeros(0), bits)
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_lang / found[k])))])
-    taken = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id")).where(
-        (F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    )
+    share = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("docs")).alias("share"))
+    known = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
+    taken = join_small(known, share, "lang", "inner").where(F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     index = {k: i for i, k in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), size), np.int64)
+        totals: dict[int, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, total in totals.items():
+                bucket = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), lang, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[bucket])], names=["lang", "bucket", "n"])
+            totals.clear()
+
         for batch in batches:
             names = batch.column(0).to_pylist()
             for first, part in texts(batch):
@@ -105,17 +126,19 @@ def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str
                 for name, text in zip(names[first : first + len(part)], part, strict=True):
                     by.setdefault(name, []).append(text)
                 for name, group in by.items():
+                    if index[name] not in totals:
+                        if len(totals) >= HELD_LANGS:
+                            yield from out()
+                        totals[index[name]] = np.zeros(size, np.int64)
                     for _, some in blocks(group):
                         for buckets, _ in gram_codes(*code_points(some), bits):
-                            total[index[name]] += np.bincount(buckets, minlength=size)
-        lang, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[lang, bucket], pa.int64())], names=["lang", "bucket", "n"])
+                            totals[index[name]] += np.bincount(buckets, minlength=size)
+        yield from out()
 
     counted = taken.select("lang", "text").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counted.toArrow()
     grams = np.full((size, len(langs)), smoothing)
     grams[table["bucket"].to_numpy(), table["lang"].to_numpy()] += table["n"].to_numpy()
-    docs_of = np.array([found[k] for k in langs], float)
     return LangModel(langs, np.log(grams / grams.sum(0)).astype(np.float32), np.log(docs_of / docs_of.sum()), bits)
 
 
@@ -128,13 +151,12 @@ def score_texts(model: LangModel, parts: list[str | None]) -> tuple[list[str], n
     for first, some in blocks([parts[i] for i in at]):
         codes, ends = code_points(some)
         sums = np.tile(model.prior, (len(some), 1))
-        starts = np.concatenate([[0], ends[:-1]])
+        step = max(1, MAX_GATHERED // len(model.langs))
         for buckets, where in gram_codes(codes, ends, model.bits):
-            taken = model.logp[buckets]
-            cut = np.searchsorted(where, starts)
-            some_has = np.diff(np.append(cut, len(where))) > 0
-            if some_has.any():
-                sums[some_has] += np.add.reduceat(taken, cut[some_has], axis=0, dtype=np.float64)
+            of = np.searchsorted(ends, where, side="right")  # the text of each gram
+            for a in range(0, len(buckets), step):
+                firsts = np.flatnonzero(np.diff(of[a : a + step], prepend=-1))
+                sums[of[a : a + step][firsts]] += np.add.reduceat(model.logp[buckets[a : a + step]], firsts, axis=0, dtype=np.float64)
         best = sums.argmax(1)
         top = sums[np.arange(len(some)), best]
         prob = 1 / np.exp(sums - top[:, None]).sum(1)
