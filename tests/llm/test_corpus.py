@@ -391,6 +391,27 @@ def test_quality(spark):
     assert {r.score for r in quality.classify(docs, labels.limit(0), F.lit(False)).collect()} == {0.5}
 
 
+def test_quality_scores_equal_brute_force(spark):
+    """Moments, shrinkage, densities and posterior once more, from the features and in another way."""
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    rows = [(i, " ".join(rnd.choice(["a", "The", "x#", "word.", "9", "lo!"], 5 + i % 40)) + "\n" * (i % 3), None, None) for i in range(160)]
+    labels = {i: int(rnd.random() < (0.8 if i % 40 > 20 else 0.3)) for i in range(160)}
+    got = {r.doc_id: r.score for r in quality.classify(documents(spark, rows), spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), F.col("doc_id") % 5 == 0).collect()}
+    x = {i: np.array(quality.features(t)) for i, t, _, _ in rows}
+    own = {k: np.array([x[i] for i in x if i % 5 and labels[i] == k]) for k in (0, 1)}
+    n = {k: len(v) for k, v in own.items()}
+    covs = {k: np.cov(v.T, bias=True) for k, v in own.items()}
+    pooled = sum(n[k] * covs[k] for k in (0, 1)) / sum(n.values())
+    d = len(quality.FEATURES)
+    for k in (0, 1):
+        covs[k] = 0.89 * covs[k] + 0.1 * pooled + 0.01 * max(np.trace(pooled) / d, 1e-6) * np.eye(d)
+    for i, v in x.items():
+        logs = [np.log(n[k]) - 0.5 * np.linalg.slogdet(covs[k])[1] - 0.5 * (v - own[k].mean(0)) @ np.linalg.solve(covs[k], v - own[k].mean(0)) for k in (0, 1)]
+        assert abs(got[i] - 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))) < 1e-6
+
+
 def test_language(spark):
     rows = [(i, f"the house and the garden number {i} are there", "en", None) for i in range(40)] + [(100 + i, f"das Haus und der Garten Nummer {i} sind dort", "de", None) for i in range(40)]
     model = langid.train(documents(spark, rows), F.lit(True))
@@ -404,6 +425,45 @@ def test_language(spark):
     assert langid.detect(empty(spark), model, ["doc_id"]).count() == 0
 
 
+@given(st.lists(st.text(alphabet="abc é1ß", max_size=40), min_size=1, max_size=6), st.sampled_from([3, 7, 1 << 21]))
+@settings(max_examples=60, deadline=None)
+def test_language_scores_equal_brute_force(parts, gathered):
+    """Sums of log probabilities gram by gram, in plain numbers, whatever is gathered at once."""
+    import math
+    from unittest import mock
+
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    logp = np.log(rnd.dirichlet(np.ones(256), 3).T).astype(np.float32)
+    model = langid.LangModel(["a", "b", "c"], logp, np.log([0.5, 0.3, 0.2]), 8)
+    with mock.patch.object(langid, "MAX_GATHERED", gathered):
+        names, scores = langid.score_texts(model, parts)
+    for text, name, score in zip(parts, names, scores, strict=True):
+        if not any(c.isalpha() for c in text):
+            assert (name, score) == ("und", 0.0)
+            continue
+        low = text.lower()
+        sums = list(model.prior)
+        for n in (1, 2, 3):
+            for i in range(len(low) - n + 1):
+                codes, ends = langid.code_points([low[i : i + n]])
+                bucket = list(langid.gram_codes(codes, ends, 8))[n - 1][0][0]
+                sums = [s + float(logp[bucket, k]) for k, s in enumerate(sums)]
+        top = max(range(3), key=sums.__getitem__)
+        assert name == "abc"[top] and abs(score - 1 / sum(math.exp(s - sums[top]) for s in sums)) < 1e-4
+
+
+def test_many_languages(spark):
+    """More languages than a task holds counters for, and fewer buckets for them."""
+    assert [langid.buckets_for(n, 16) for n in (1, 1024, 1025, 5000, 1 << 26)] == [16, 16, 15, 13, 1]
+    rows = [(10 * k + i, f"{chr(0x4E00 + 5 * k)}{chr(0x4E01 + 5 * k)} {chr(0x4E02 + 5 * k)}", f"l{k:04d}", None) for k in range(1500) for i in range(2)]
+    model = langid.train(documents(spark, rows).repartition(2), F.lit(True))
+    assert model.bits == 15 and len(model.langs) == 1500 and model.logp.size <= langid.MAX_CELLS
+    names, _ = langid.score_texts(model, [rows[2 * k][1] for k in range(0, 1500, 100)])
+    assert names == [f"l{k:04d}" for k in range(0, 1500, 100)]
+
+
 def test_toxicity(spark):
     rows = [(i, f"a kind and plain text with number word{i % 17}", None, None) for i in range(120)] + [(200 + i, f"you {'idiot ' * (1 + i % 2)}{'scum trash moron ' if i % 3 == 0 else ''}number word{i % 17}", None, None) for i in range(60)]
     docs = documents(spark, rows)
@@ -418,6 +478,40 @@ def test_toxicity(spark):
     assert all(r.predicted == 0 for r in toxicity.grade(docs, untrained, ["doc_id"]).collect())
 
 
+def test_ordinal_fit_equals_brute_force():
+    """The gradient fit against the likelihood of nearby parameters: nothing close by is better by more than the steps' error."""
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    rows = [np.flatnonzero(rnd.random(3) < 0.5) for _ in range(600)]
+    true, cuts = np.array([2.0, -1.0, 0.5]), np.array([0.3, 1.5])
+    margins = np.array([true[r].sum() for r in rows])
+    grades = (margins[:, None] + rnd.logistic(size=(600, 1)) > cuts).sum(1)
+    w, theta = toxicity._descend(rows, grades, 3, steps=800, rate=0.05)
+
+    def likelihood(w, theta):
+        total = 0.0
+        for r, g in zip(rows, grades, strict=True):
+            below = [0.0] + [1 / (1 + np.exp(-(t - w[r].sum()))) for t in theta] + [1.0]
+            total += np.log(below[g + 1] - below[g])
+        return total / len(rows)
+
+    here = likelihood(w, theta)
+    for at in range(5):
+        for d in (-0.15, 0.15):
+            p = np.concatenate([w, theta])
+            p[at] += d
+            assert likelihood(p[:3], p[3:]) < here
+    assert here >= likelihood(true, cuts) and theta[0] < theta[1]
+
+
+def test_terciles():
+    import numpy as np
+
+    assert toxicity.terciles(np.array([9, 1, 1, 2, 5, 7, 8]), np.array([0, 1, 1, 1, 1, 1, 1])).tolist() == [0, 1, 1, 2, 2, 3, 3]
+    assert toxicity.terciles(np.array([4, 4, 4]), np.array([1, 1, 0])).tolist() == [1, 1, 0]
+
+
 def test_given_grades_are_kept(spark):
     rows = [(200 * g + i, f"a plain text with number word{i % 17} {words}", None, None) for g, words in enumerate(["", "scum", "idiot", "moron"]) for i in range(60)]
     docs = documents(spark, rows)
