@@ -84,13 +84,14 @@ m as (
 q as (
   select *, floor(repeats)::int as whole, floor((repeats - floor(repeats)) * tokens)::bigint as quota, greatest(ceil(docs / {BLOCK_DOCS}), 1)::bigint as blocks from m),
 r as (
-  select d.*, weight, repeats, whole, quota, blocks, e.epoch, md5('{SEED}:' || e.epoch || ':' || id) as o
+  select d.*, q.tokens as src_tokens, weight, repeats, whole, quota, blocks, e.epoch, md5('{SEED}:' || e.epoch || ':' || id) as o
   from d join q on d.source is not distinct from q.source, lateral (select unnest(range(0, whole + 1)) as epoch) e
   where e.epoch < whole or quota > 0),
 b as (select *, floor(('0x' || o[1:8])::bigint * blocks / 4294967296.0)::bigint as block from r),
 k as (
   select *, row_number() over (partition by source, epoch, block order by o, tie) as position, sum(tokens) over (partition by source, epoch order by block, o, tie rows unbounded preceding) as run from b)
-select doc_id, source, tokens, round(weight, 9) as weight, repeats, epoch::int as epoch, block, position::bigint as position from k where epoch < whole or run <= quota
+select doc_id, source, tokens, round(weight, 9) as weight, repeats, epoch::int as epoch, block, position::bigint as position,
+  round(case when whole * src_tokens + quota > 0 then (epoch * src_tokens + run - tokens / 2) / (whole * src_tokens + quota) else 0.0 end, 9) as slot from k where epoch < whole or run <= quota
 """
 
 _KINDS = ("any", *SOFT)

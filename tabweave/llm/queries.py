@@ -46,7 +46,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
+    return mixing.mix(read_table(spark, sf_dir, "documents")).withColumns({k: F.round(k, 9) for k in ("weight", "slot")})
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

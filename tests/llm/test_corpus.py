@@ -282,6 +282,41 @@ def test_mixing_targets(spark):
     assert abs((0.9 / 0.01) ** (1 - t) - 4.0) < 1e-6
 
 
+def test_mixing_to_a_budget_and_in_order(spark):
+    rows = [(i, "w " * (1 + i % 7), None, "big" if i < 700 else "small") for i in range(800)]
+    total = {s: sum(1 + i % 7 for i, _, _, x in rows if x == s) for s in ("big", "small")}
+    got = mixing.in_order(mixing.mix(documents(spark, rows), max_repeats=2.0, budget=1200, block_docs=16)).collect()
+    weight = {r.source: r.weight for r in got}
+    assert abs(sum(weight.values()) - 1) < 1e-9
+    read = collections.Counter()
+    for r in got:
+        read[r.source] += r.tokens
+    for s in total:
+        assert 1200 * weight[s] - 7 <= read[s] <= 1200 * weight[s] + 1
+    assert [r.slot for r in got] == sorted(r.slot for r in got)
+    # every stretch of the order has about the target weights
+    for a in range(0, len(got) - 80, 40):
+        some = got[a : a + 80]
+        assert abs(sum(r.tokens for r in some if r.source == "small") / sum(r.tokens for r in some) - weight["small"]) < 0.08
+
+
+def test_running_sums_have_two_levels(spark):
+    from unittest import mock
+
+    rows = [(i, "w " * (1 + i % 5), None, "a" if i % 3 else "b") for i in range(300)]
+    take = lambda: sorted((r.source, r.epoch, r.block, r.position, r.doc_id, round(r.slot, 9)) for r in mixing.mix(documents(spark, rows), block_docs=4).collect())
+    one = take()
+    with mock.patch.object(mixing, "GROUP_BLOCKS", 3):
+        assert take() == one
+
+
+def test_mixing_keeps_columns_with_clashing_names(spark):
+    names = ("_id", "_tie", "_of", "_nth", "_each", "_reads", "_copies", "_s", "source_", "tokens", "epoch")
+    frame = odd(spark).withColumns({k: F.lit("keep") for k in names})
+    out = mixing.repeat_documents(frame)
+    assert out.columns == frame.columns and all(r[k] == "keep" for r in out.collect() for k in names)
+
+
 def test_mixing_of_odd_rows(spark):
     frame = odd(spark)
     assert sum(r.epoch == 0 for r in mixing.mix(frame).collect()) == 10
