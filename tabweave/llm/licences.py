@@ -1,26 +1,39 @@
 """Licence scan by canonical digests, in built-in expressions only.
 
 A text is put into canonical form: lower case, copyright lines dropped, equivalent spellings made one, everything but
-letters and digits of any script turned into single spaces. The SHA-256 of the whole canonical text is joined to the
-digests of known licence texts. The same join is made for the single lines and blank-line-separated paragraphs of a
-text, so that a notice of one line or paragraph inside a document is found as well; only units whose canonical length is
-one of the known lengths are kept for it. The registry is a literal table, so its broadcast has a fixed size.
-
-Not covered: a known text of several paragraphs (MIT, ISC, BSD-2-Clause, zlib, the Apache notice) is found only if it is the
-whole document, but for the known titles and copyright lines. The registry has no full text of Apache-2.0, BSD-3-Clause, GPL,
-LGPL or MPL, so a document that is one of these has no whole licence.
-
-Cases: null and empty texts match nothing. A text that holds a licence several times counts each. A licence known under two
-names with one canonical text is reported under the alphabetically first. Repeated rows are each reported; extra columns
-are ignored.
+letters and digits of any script turned into single spaces. The SHA-256 of the whole canonical text is joined to the digests of
+known licence texts: ``whole_licence``. Long licences (GPL, LGPL, MPL, Apache, CC0 and others) are known by their digests only.
+
+Two more results come from the same digests. ``bodies``: licences that lie anywhere inside the text. Where a known licence's first
+HEAD_WORDS words occur, as many characters as it has are taken and their digest is compared, so paragraphs, line breaks
+and what stands around do not matter. ``notices``: one-line notices, by the digests of single lines and paragraphs.
+
+Most texts have none of a few words of which every known text has one in a spelling that the canonical form leaves alone
+(``anchors``); these texts match nothing, and their canonical form is not made. The registry is a parameter table on the driver of at
+most MAX_KNOWN rows, and its broadcast and the literals made from it have that bound.
+
+Cases: null and empty texts match nothing. A text that holds a notice several times counts each; a body counts once. A
+licence known under two names with one canonical text is reported under the alphabetically first. Texts within each other (a licence
+with and without its title) are all reported as bodies. Repeated rows are each reported. Very long texts are scanned whole; a
+head costs a pass over the text for each of its occurrences. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm.licence_texts import LICENCES
+from tabweave.llm.licence_texts import DIGESTS, LICENCES
+
+#: Known texts of a registry, at most.
+MAX_KNOWN = 5_000
+HEAD_WORDS = 6
+#: Known texts of at least so many characters are looked for inside others, shorter ones are notices.
+BODY_LENGTH = 400
 
 #: Equivalent spellings, as pairs (found, written), applied to lower-case text in this order.
 SPELLINGS = (
@@ -55,31 +68,91 @@ def canonical(c: Column, keep_lines: bool = False) -> Column:
     return F.btrim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
 
 
-def registry(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """digest, licence and length of each known canonical text."""
-    rows = spark.createDataFrame(sorted((LICENCES if texts is None else texts).items()), "licence string, text string")
-    rows = rows.select("licence", canonical(F.col("text")).alias("c")).where("c <> ''")
-    return rows.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("licence").alias("licence"), F.min(F.length("c")).alias("length"))
+@dataclass(frozen=True)
+class Known:
+    """A known text: name, SHA-256 and length of its canonical form, and its first words."""
+
+    licence: str
+    digest: str
+    length: int
+    head: str
+
+
+def registry(spark: SparkSession, texts: dict[str, str] | None = None, digests: tuple[tuple[str, str, int, str], ...] | None = None) -> list[Known]:
+    """The known texts and digests, one for each canonical form (the built-in ones without arguments)."""
+    texts = LICENCES if texts is None else texts
+    digests = digests if digests is not None else DIGESTS if texts is LICENCES else ()
+    if len(texts) + len(digests) > MAX_KNOWN:
+        raise ValueError(f"a registry has at most {MAX_KNOWN} texts")
+    found = {d: Known(name, d, n, head) for name, d, n, head in sorted(digests, reverse=True)}
+    if texts:
+        rows = spark.createDataFrame(sorted(texts.items()), "licence string, text string").select("licence", canonical(F.col("text")).alias("c")).where("c <> ''")
+        for r in rows.orderBy(F.desc("licence")).collect():
+            d = hashlib.sha256(r["c"].encode()).hexdigest()
+            found[d] = Known(min(r["licence"], found[d].licence) if d in found else r["licence"], d, len(r["c"]), " ".join(r["c"].split(" ")[:HEAD_WORDS]))
+    return sorted(found.values(), key=lambda k: k.licence)
+
+
+def anchors(known: list[Known]) -> list[str]:
+    """Few words of which every known text has one among its first words, none of them touched by the spellings: a text whose
+    canonical form has such a word has it in its lower-case form as well. No words if some known text has none."""
+    changed = {w for _, written in SPELLINGS for w in re.findall(r"[^\W_]+", written)}
+    heads = [{w for w in k.head.split(" ") if len(w) > 2 and not any(c in w for c in changed)} for k in known]
+    chosen: list[str] = []
+    while heads:
+        if not all(heads):
+            return []
+        best = min({w for h in heads for w in h}, key=lambda w: (-sum(w in h for h in heads), -len(w), w))
+        chosen.append(best)
+        heads = [h for h in heads if best not in h]
+    return chosen
+
+
+def bodies_in(c: Column, known: list[Known]) -> Column:
+    """The names of the known texts that lie inside a canonical text, between spaces or its ends."""
+    long = [k for k in known if k.length >= BODY_LENGTH]
+    if not long:
+        return F.array().cast("array<string>")
+    padded = F.concat(F.lit(" "), c, F.lit(" "))
+    table = F.array(*[F.struct(F.lit(k.licence).alias("licence"), F.lit(f" {k.head}").alias("head"), F.lit(k.length).alias("length"), F.lit(k.digest).alias("digest")) for k in long])
+
+    def lies(k: Column) -> Column:
+        pieces = F.split(padded, k["head"])
+
+        def here(i: Column) -> Column:
+            # what follows the i-th occurrence of the head, the head in front again
+            text = F.concat(k["head"], F.call_function("array_join", F.slice(pieces, i + 1, F.size(pieces)), k["head"]))
+            return (F.substring(text, k["length"] + 2, F.lit(1)) == " ") & (F.sha2(F.substring(text, F.lit(2), k["length"]), 256) == k["digest"])
+
+        return F.contains(padded, k["head"]) & F.exists(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), here)
+
+    return F.transform(F.filter(table, lies), lambda k: k["licence"])
 
 
-def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, whole_licence (null if the whole text is none), n_notices, notices (sorted names, comma-separated)."""
-    known = F.broadcast(known)
-    lengths = sorted(r[0] for r in known.select("length").distinct().collect())
-    base = docs.select(F.col(id_col).alias("doc_id"), canonical(F.coalesce(F.col(text_col), F.lit("")), True).alias("c"))
-    whole = F.replace(F.col("c"), F.lit("\n"), F.lit(" "))
-    whole = F.regexp_replace(whole, " {2,}", " ")
-    units = F.concat(F.split("c", "\n"), F.transform(F.filter(F.split("c", r"\n{2,}"), lambda p: F.contains(p, F.lit("\n"))), lambda p: F.replace(p, F.lit("\n"), F.lit(" "))))
-    units = F.filter(units, lambda u: F.length(u).isin(lengths)) if lengths else F.array().cast("array<string>")
+def scan(docs: DataFrame, known: list[Known], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, whole_licence (null if the whole text is none), bodies, n_notices, notices (names in order, comma-separated)."""
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    low, words = F.lower(text), anchors(known)
+    some = F.lit(bool(known))
+    if words:
+        some = F.contains(low, F.lit(words[0]))
+        for w in words[1:]:
+            some = some | F.contains(low, F.lit(w))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.when(some, canonical(text, True)).otherwise("").alias("c"))
+    whole = F.regexp_replace(F.col("c"), "[ \n]+", " ")
+    lengths = sorted({k.length for k in known}) or [-1]
+    short = sorted({k.length for k in known if k.length < BODY_LENGTH}) or [-1]
+    units = F.concat(F.split("c", "\n"), F.transform(F.filter(F.split("c", r"\n{2,}"), lambda p: F.contains(p, F.lit("\n"))), lambda p: F.regexp_replace(p, "\n", " ")))
+    units = F.when(F.col("c") == "", F.array().cast("array<string>")).otherwise(F.filter(units, lambda u: F.length(u).isin(short)))
+    lookup = F.create_map(*[F.lit(x) for k in known if k.length < BODY_LENGTH for x in (k.digest, k.licence)]) if short != [-1] else F.create_map().cast("map<string,string>")
+    found = F.array_sort(F.filter(F.transform(units, lambda u: F.try_element_at(lookup, F.sha2(u, 256))), lambda n: n.isNotNull()))
     per_doc = base.select(
         "doc_id",
-        F.when(F.length(whole).isin(lengths or [-1]), F.sha2(whole, 256)).alias("whole_digest"),
-        F.transform(units, lambda u: F.sha2(u, 256)).alias("digests"),
+        F.when(F.length(whole).isin(lengths), F.sha2(whole, 256)).alias("whole_digest"),
+        F.when(F.col("c") == "", "").otherwise(F.array_join(bodies_in(whole, known), ",")).alias("bodies"),
+        found.alias("found"),
     )
-    # the registry is a few dozen rows: as a map it is looked up in the row, without exploding or regrouping documents
-    table = known.agg(F.map_from_entries(F.collect_list(F.struct("digest", "licence"))).alias("names"))
-    joined = per_doc.join(F.broadcast(known.select(F.col("digest").alias("whole_digest"), F.col("licence").alias("whole_licence"))), "whole_digest", "left")
-    names = table.first()["names"] or {}
-    lookup = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv]) if names else F.create_map().cast("map<string,string>")
-    found = F.array_sort(F.filter(F.transform("digests", lambda d: F.try_element_at(lookup, d)), lambda n: n.isNotNull()))
-    return joined.select("doc_id", "whole_licence", F.size(found).cast("long").alias("n_notices"), F.array_join(F.array_distinct(found), ",").alias("notices"))
+    table = spark.createDataFrame([(k.digest, k.licence) for k in known], "whole_digest string, whole_licence string")
+    joined = per_doc.join(F.broadcast(table), "whole_digest", "left")
+    return joined.select("doc_id", "whole_licence", "bodies", F.size("found").cast("long").alias("n_notices"), F.array_join(F.array_distinct("found"), ",").alias("notices"))

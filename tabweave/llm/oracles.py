@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from tabweave.llm.chat import CLOSE, MASKED_ROLE, OPEN, SEP
-from tabweave.llm.licence_texts import LICENCES
-from tabweave.llm.licences import COPYRIGHT_LINE, SPELLINGS
+from tabweave.llm.licence_texts import DIGESTS, LICENCES
+from tabweave.llm.licences import BODY_LENGTH, COPYRIGHT_LINE, HEAD_WORDS, SPELLINGS
 from tabweave.llm.mixing import BLOCK_DOCS, MAX_REPEATS, SEED
 from tabweave.llm.ngram_join import PERCENT, WIDTH
 from tabweave.llm.quality_rules import DEFAULT as LIMITS
@@ -45,15 +45,27 @@ def _canonical(c: str) -> str:
 
 LICENCE = f"""
 with raw(licence, text) as (values {", ".join(f"({_text(k)}, {_text(v)})" for k, v in LICENCES.items())}),
-known as (select min(licence) as licence, c from (select licence, regexp_replace({_canonical("text")}, '[ \\n]+', ' ', 'g') as c from raw) group by c),
+canon as (select licence, regexp_replace({_canonical("text")}, '[ \\n]+', ' ', 'g') as c from raw),
+listed as (
+  select licence, sha256(c) as digest, length(c) as n, array_to_string(string_split(c, ' ')[1:{HEAD_WORDS}], ' ') as head from canon
+  {"".join(f" union all select {_text(name)}, {_text(digest)}, {n}, {_text(head)}" for name, digest, n, head in DIGESTS)}),
+known as (select min(licence) as licence, digest, n, head from listed group by digest, n, head),
 d as (select doc_id, {_canonical("coalesce(text, '')")} as c from documents),
+w as (select doc_id, regexp_replace(c, '[ \\n]+', ' ', 'g') as c from d),
 units as (
   select doc_id, unnest(string_split(c, chr(10))) as u from d
   union all
   select doc_id, replace(u, chr(10), ' ') from (select doc_id, unnest(regexp_split_to_array(c, '\\n{{2,}}')) as u from d) where contains(u, chr(10))),
-found as (select doc_id, count(*) as n, string_agg(distinct licence, ',' order by licence) as names from units join known on u = known.c group by 1)
-select d.doc_id, known.licence as whole_licence, coalesce(found.n, 0)::bigint as n_notices, coalesce(found.names, '') as notices
-from d left join known on known.c = regexp_replace(d.c, '[ \\n]+', ' ', 'g') left join found using (doc_id)
+found as (select doc_id, count(*) as n, string_agg(distinct licence, ',' order by licence) as names from units join known on sha256(u) = digest and known.n < {BODY_LENGTH} group by 1),
+heads as (
+  select doc_id, ' ' || c || ' ' as p, licence, digest, n, ' ' || head as head from w join known on contains(' ' || c || ' ', ' ' || head) where n >= {BODY_LENGTH}),
+places as (select *, string_split(p, head) as pieces, unnest(range(1, len(string_split(p, head)))) as i from heads),
+starts as (select *, list_sum(list_transform(pieces[1:i], lambda x: length(x))) + (i - 1) * length(head) as s from places),
+inside as (
+  select doc_id, string_agg(distinct licence, ',' order by licence) as names from starts
+  where sha256(substr(p, s::bigint + 2, n::bigint)) = digest and substr(p, s::bigint + 2 + n::bigint, 1) = ' ' group by 1)
+select w.doc_id, known.licence as whole_licence, coalesce(inside.names, '') as bodies, coalesce(found.n, 0)::bigint as n_notices, coalesce(found.names, '') as notices
+from w left join known on known.digest = sha256(w.c) left join found using (doc_id) left join inside using (doc_id)
 """
 
 _BODY = f"replace(replace(replace(text, '\\', '\\\\'), '{OPEN}', '#\\## '), '{CLOSE}', '<\\/turn>')"
