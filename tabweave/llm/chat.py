@@ -7,14 +7,18 @@ is and parsed again; if that does not give back its role and text, its backslash
 into each control string (``#\## ``, ``<\/turn>`` and, in roles, ``:\ ``), so that no control string is left, and it is
 parsed once more. Whole conversations are parsed again from the output; ``round_trip`` tells whether all turns came back.
 
+``loss_spans`` is the loss mask: for each turn of the masked role, where its text starts and ends in the output (in code
+points, from 0, the end left out) and whether it is escaped there.
+
 Cases: null roles and texts count as empty. Turns are ordered by turn, role and text (nulls first), so ties and repeated
-rows have one order and each gives a turn. Rows without a conversation id form one conversation with a null id. An empty
-table gives no rows. Extra columns are ignored. The grouping brings one conversation, which is one output, together.
+rows have one order and each gives a turn. Rows without a conversation id form one conversation with a null id. Very long texts
+are formatted whole. An empty table gives no rows. Extra columns are ignored. The grouping brings one conversation, which is one
+output, together; offsets are summed in it before, by the same partitioning.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, SEP, CLOSE = "### ", ": ", "</turn>"
@@ -57,30 +61,47 @@ def parse(output: Column) -> Column:
     return F.when(F.startswith(output, F.lit(OPEN)), F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), turn)).otherwise(F.array(F.lit(None).cast("struct<role:string,text:string>")))
 
 
-def format_turn(role: Column, text: Column) -> Column:
-    """The plain rendering if the parser gives the turn back from it, else the escaped one."""
-    plain = render(role, text)
-    # the same tests as parse(), on the parts: a control string, a separator in the role or a backslash changes what comes back
-    back = F.get(parse(plain), F.lit(0))
-    same = (F.size(parse(plain)) == 1) & back.isNotNull() & (back["role"] == role) & (back["text"] == text)
-    return F.when(F.coalesce(same, F.lit(False)), plain).otherwise(render(escape(role, True), escape(text)))
+def plain_is_enough(role: Column, text: Column) -> Column:
+    """Whether the parser gives a turn back from its plain rendering."""
+    back = parse(render(role, text))
+    turn = F.get(back, F.lit(0))
+    return F.coalesce((F.size(back) == 1) & turn.isNotNull() & (turn["role"] == role) & (turn["text"] == text), F.lit(False))
+
+
+def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", masked_role: str = MASKED_ROLE) -> DataFrame:
+    """conv_id, formatted, turns (parsed from ``formatted``), loss_spans, round_trip."""
+    role, text = F.col("role"), F.col("text")
+    one = rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    one = one.withColumn("escaped", ~plain_is_enough(role, text))
+    as_is = lambda c, is_role=False: F.when(F.col("escaped"), escape(c, is_role)).otherwise(c)
+    one = one.withColumns({"written_role": as_is(role, True), "written": as_is(text)})
+    head = len(OPEN + SEP) + F.length("written_role")
+    length = head + F.length("written") + len(CLOSE) + 1
+    before = F.sum(length).over(Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)) - length
+    one = one.withColumns({"at": before.cast("long"), "from": (before + head).cast("long")})
+    span = F.struct(F.col("from").alias("start"), (F.col("from") + F.length("written")).alias("end"), "escaped")
+    out = render(F.col("written_role"), F.col("written"))
+    made = one.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "at", out.alias("out"), span.alias("span")))).alias("t"))
+    source = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    spans = F.transform(F.filter("t", lambda x: x["role"] == masked_role), lambda x: x["span"])
+    made = made.select("conv_id", F.array_join(F.col("t.out"), "").alias("formatted"), source.alias("source_turns"), spans.alias("loss_spans"))
+    made = made.withColumn("turns", parse(F.col("formatted")))
+    return made.select("conv_id", "formatted", "turns", "loss_spans", F.coalesce(F.col("turns") == F.col("source_turns"), F.lit(False)).alias("round_trip"))
 
 
-def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, formatted, turns (parsed from ``formatted``), round_trip."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    role = F.coalesce(F.col(role_col), F.lit(""))
-    one = rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
-    one = one.withColumn("out", format_turn(F.col("role"), F.col("text")))
-    made = one.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "out"))).alias("t"))
-    made = made.select("conv_id", F.array_join(F.col("t.out"), "").alias("formatted"), F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source_turns"))
-    made = made.withColumn("turns", parse(F.col("formatted")))
-    return made.withColumn("round_trip", F.coalesce(F.col("turns") == F.col("source_turns"), F.lit(False))).drop("source_turns")
+def masked_text(output: Column, spans: Column) -> Column:
+    """All text under the loss mask, read from the output and unescaped."""
+
+    def one(s: Column) -> Column:
+        raw = F.substring(output, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+        return F.when(s["escaped"], unescape(raw)).otherwise(raw)
+
+    return F.array_join(F.transform(spans, one), "")
 
 
-def digests(formatted: DataFrame, masked_role: str = MASKED_ROLE) -> DataFrame:
-    """The digest columns, all read from ``turns``, which were parsed from the output."""
-    said = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == masked_role), lambda x: x["text"]), "")
+def digests(formatted: DataFrame) -> DataFrame:
+    """The digest columns: the turns as they were parsed from the output, and the text that the loss mask cuts from it."""
+    said = masked_text(F.col("formatted"), F.col("loss_spans"))
     all_turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return formatted.select(
         "conv_id",
