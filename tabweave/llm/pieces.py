@@ -6,18 +6,19 @@ segmented on their own. The distinct words of a batch that are not yet known are
 depth-first order of their trie, so the forward states of a word are kept up to the prefix it shares with the next word
 and only the rest is computed. Known words are kept per task in a table of bounded size.
 
-Lattice and scores. Arcs are pieces (or single unknown characters). For a unigram model a path scores the sum of its
-pieces' scores and the best path wins. For a merge (BPE) model two adjacent pieces are allowed only if merging their
-characters by piece score gives back exactly the two; every other transition scores minus infinity. A prefix then has
-exactly one allowed path, which is the merge result, and the forward state of a prefix is its last piece. Whether two
-pieces may stand together is worked out once per pair and kept. Ids equal those of the sentencepiece library.
+Lattice and scores. Arcs are pieces (or single unknown characters); a path scores the sum of its pieces' scores, and the best
+path to each prefix is kept. For a unigram model all paths are allowed. For a merge (BPE) model two adjacent pieces are allowed
+only if merging their characters by piece score gives back exactly the two; every other transition scores minus infinity. Of a
+prefix's paths through all its pieces then only the merge result has a finite score, and the forward state of a prefix is its last
+piece. Whether two pieces may stand together is worked out once per pair and kept. Ids equal those of the sentencepiece library.
 
 Unknown characters become their UTF-8 bytes' pieces. The tokenizer file is read on the driver and its piece table is
 broadcast (32,000 pieces).
 
 Cases: null and empty texts have no ids. The mark character itself in a text is encoded like a space, as the library
-does, and comes back as one: ``round_trip`` is then false. Repeated rows, null ids: encoded like any row. Extra columns
-are ignored.
+does, and comes back as one: ``round_trip`` is then false. Of paths with equal scores the one whose last piece is longest wins;
+equal merge scores go leftmost first, as in the library. Repeated rows, null ids: encoded like any row. Very long texts are encoded
+whole; a word costs time in proportion to its length. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 from os.path import commonprefix
 
 import numpy as np
@@ -106,18 +108,26 @@ class Encoder:
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
-        """Merge characters by piece score, leftmost first among equals, until no pair is a piece."""
-        parts, scores = list(text), self.v.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = scores.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """Merge characters by piece score, leftmost first among equals, until no pair is a piece. Pairs wait in a heap."""
+        scores, n = self.v.scores, len(text)
+        parts: list[str] = list(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [(-s, i, pair) for i, pair in enumerate(map(str.__add__, parts, parts[1:])) if (s := scores.get(pair)) is not None]
+        heapify(waiting)
+        while waiting:
+            _, i, pair = heappop(waiting)
+            j = after[i]
+            if not parts[i] or j >= n or parts[i] + parts[j] != pair:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = pair, ""
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (s := scores.get(more := pair + parts[after[i]])) is not None:
+                    heappush(waiting, (-s, i, more))
+            if before[i] >= 0 and (s := scores.get(more := parts[before[i]] + pair)) is not None:
+                heappush(waiting, (-s, before[i], more))
+        return [p for p in parts if p]
 
     def allowed(self, left: str, right: str) -> bool:
         """Whether merging keeps the two pieces as they are (with an empty left one: whether it makes the right one)."""
@@ -142,17 +152,12 @@ class Encoder:
                 if before is None or piece is None:
                     continue
                 if merges:
-                    left = before[0]
-                    ok = pairs.get((left, piece))
-                    if ok is None:
-                        ok = self.allowed(left, piece)
-                    if ok:
-                        best = (piece, 0.0)
-                        break
-                else:
-                    total = before[1] + scores[piece]
-                    if best is None or total > best[1]:
-                        best = (piece, total)
+                    pair = before[0], piece
+                    if not (pairs[pair] if pair in pairs else self.allowed(*pair)):
+                        continue
+                total = before[1] + scores[piece]
+                if best is None or total >= best[1]:
+                    best = (piece, total)
             if best is None and state[end - 1] is not None and word[end - 1] not in scores:
                 best = (word[end - 1], state[end - 1][1] + UNKNOWN_SCORE)  # an unknown character stands alone
             state.append(best)
