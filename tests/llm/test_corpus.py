@@ -1,6 +1,7 @@
 """Corpus operators against brute force, round trips and odd inputs."""
 
 import collections
+import functools
 import hashlib
 import re
 
@@ -132,6 +133,60 @@ def test_pieces_equal_the_library_and_round_trip(spark):
     assert pieces.encode_documents(empty(spark), ["doc_id"]).count() == 0
 
 
+@given(st.lists(st.text(alphabet="ab ▁éinto", min_size=1, max_size=30), min_size=1, max_size=4))
+@settings(max_examples=60, deadline=None)
+def test_merges_equal_a_plain_loop(texts):
+    """The heap of pairs against merging the best pair, the leftmost among equals, over and over."""
+    v = _vocabulary()
+    for text in texts:
+        parts = list(text)
+        while True:
+            pairs = [(-v.scores[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in v.scores]
+            if not pairs:
+                break
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert pieces.Encoder(v).merged(text) == parts
+
+
+@functools.cache
+def _vocabulary():
+    return pieces.load()
+
+
+def test_lattice_scores_of_merge_and_unigram_models():
+    """The best path's score against all segmentations, the forbidden neighbours left out for the merge model."""
+    v = _vocabulary()
+    for merges in (True, False):
+        encoder = pieces.Encoder(pieces.Vocabulary(v.ids, v.scores, v.byte_ids, v.surface, merges, v.unk))
+        for word in ("▁interest", "▁hello", "▁▁▁abcde", "▁winter"):
+            found = []
+
+            def cut(rest, path, found=found, encoder=encoder, merges=merges):
+                if not rest:
+                    found.append((sum(v.scores[p] for p in path), path))
+                for n in range(1, len(rest) + 1):
+                    if rest[:n] in v.scores and (not merges or encoder.allowed(path[-1] if path else "", rest[:n])):
+                        cut(rest[n:], [*path, rest[:n]])
+
+            cut(word, [])
+            best = max(found)
+            state = [("", 0.0)]
+            encoder.forward(word, state)
+            assert abs(state[-1][1] - best[0]) < 1e-6 and state[-1][0] == best[1][-1]
+            assert not merges or (len(found) == 1 and best[1] == encoder.merged(word))
+
+
+def test_a_very_long_word():
+    v = _vocabulary()
+    import numpy as np
+
+    text = "ab" * 100_000
+    ids = np.frombuffer(pieces.Encoder(v).encode([text])[0], np.int32).tolist()
+    assert pieces.decode(v, ids) == text and len(ids) < len(text)
+    assert "".join(pieces.Encoder(v).merged("日x" * 20_000)) == "日x" * 20_000
+
+
 def test_unigram_lattice():
     v = pieces.Vocabulary({"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4}, {"▁": -1.0, "a": -1.0, "b": -1.0, "ab": -1.5, "▁a": -1.9}, [9] * 256, [b" ", b"a", b"b", b"ab", b" a"], False, 8)
     import numpy as np
@@ -211,13 +266,15 @@ def test_likeness_of_long_texts_estimates_jaccard():
 
 
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a: b", "### ", "\\", ""]), st.text(alphabet="\\#< /turn>:\n a", max_size=25)), min_size=1, max_size=4))
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=12, deadline=None)
 def test_chat_round_trip(spark, turns):
     turns = turns + [("assistant", "</turn>\n### user: x"), ("user", "\\### Assistant: </turn> ok")]
     rows = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
     made = chat.format_conversations(rows).collect()
     assert len(made) == 1 and made[0].round_trip
     assert [(t.role, t.text) for t in made[0].turns] == turns
+    masked = [re.sub(r"(?s)\\(.)", r"\1", made[0].formatted[s.start : s.end]) if s.escaped else made[0].formatted[s.start : s.end] for s in made[0].loss_spans]
+    assert masked == [t for r, t in turns if r == "assistant"]
 
 
 def test_chat_digests_and_odd_rows(spark):
@@ -243,12 +300,45 @@ def test_licences(spark):
     assert (got[3].n_notices, got[4].n_notices, got[5].n_notices, got[6].n_notices) == (0, 0, 0, 2)
     assert licences.scan(odd(spark), licences.registry(spark)).count() == 10
     assert licences.scan(empty(spark), licences.registry(spark)).count() == 0
-
-
-def test_every_licence_is_found_whole(spark):
-    rows = [(i, t, None, None) for i, t in enumerate(LICENCES.values())]
-    got = licences.scan(documents(spark, rows), licences.registry(spark)).collect()
-    assert all(r.whole_licence for r in got)
+    assert {r.bodies for r in licences.scan(documents(spark, rows), []).collect()} == {""}
+
+
+def test_every_licence_is_found_whole_and_inside(spark):
+    names = list(LICENCES)
+    whole = [(i, LICENCES[n], None, None) for i, n in enumerate(names)]
+    inside = [(100 + i, f"Some words before.\n{LICENCES[n].replace(chr(10) + chr(10), chr(10))} Permission is hereby granted, free of charge, to any\nand more", None, None) for i, n in enumerate(names)]
+    cut = [(200 + i, LICENCES[n][: -len(LICENCES[n]) // 10], None, None) for i, n in enumerate(names)]
+    got = {r.doc_id: r for r in licences.scan(documents(spark, whole + inside + cut), licences.registry(spark)).collect()}
+    for i, n in enumerate(names):
+        assert got[i].whole_licence == n
+        long = len(LICENCES[n]) > 450
+        assert (n in got[i].bodies.split(",")) == (n in got[100 + i].bodies.split(",")) == long
+        assert got[100 + i].whole_licence is None and n not in got[200 + i].bodies.split(",")
+
+
+def test_long_licences_by_their_digests(spark):
+    import pathlib
+
+    folder = pathlib.Path("/usr/share/common-licenses")
+    files = {"apache-2.0": "Apache-2.0", "gpl-2.0": "GPL-2", "gpl-3.0": "GPL-3", "lgpl-2.1": "LGPL-2.1", "lgpl-3.0": "LGPL-3", "mpl-2.0": "MPL-2.0", "cc0-1.0": "CC0-1.0"}
+    texts = {n: (folder / f).read_text() for n, f in files.items() if (folder / f).exists()}
+    if not texts:
+        pytest.skip("no licence texts on this machine")
+    rows = [(i, t.replace("  ", " ").upper(), None, None) for i, t in enumerate(texts.values())] + [(100 + i, "x\n" + t + "\ny", None, None) for i, t in enumerate(texts.values())]
+    got = {r.doc_id: r for r in licences.scan(documents(spark, rows), licences.registry(spark)).collect()}
+    for i, n in enumerate(texts):
+        assert got[i].whole_licence == n and got[100 + i].whole_licence is None
+        assert n in got[100 + i].bodies.split(",")  # the Apache licence has its own notice inside as well
+
+
+def test_anchors_leave_nothing_out(spark):
+    """A text with a known text in it holds an anchor in its lower-case form, whatever stands around."""
+    words = licences.anchors(licences.registry(spark))
+    assert words
+    for around in ("", "before", "e-mail a(c)b", "HTTPS://www.x.org", "favour 1"):
+        for text in LICENCES.values():
+            assert any(w in f"{around} {text.upper()}{around}".lower() for w in words)
+    assert licences.anchors([licences.Known("x", "", 9, "license")]) == []
 
 
 # Mixing
