@@ -15,8 +15,9 @@ to the last), marked, and only ends the stream there. So each text is shuffled o
 Ranges are cut at approximate quantiles of the id; only their first ids (one per range) come to the driver.
 
 Cases: null texts count as empty; the empty text has the phrase set {} and a constant fingerprint. Rows with equal ids
-are ordered by text, null ids come first. With a single row, the next document is the row itself. An empty table
-gives no rows. Extra columns are ignored.
+are ordered by text, null ids come first. With a single row, the next document is the row itself. Fully equal rows are
+interchangeable. Very long texts are parsed whole. An empty table gives no rows. Extra columns are ignored. Rows of one id lie in
+one range, as each needs its successor: ids are taken to be ids.
 """
 
 from __future__ import annotations
@@ -154,11 +155,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
+        def rows(batch: pa.RecordBatch, step: int = 64) -> Iterator[tuple]:
+            for a in range(0, len(batch), step):
+                yield from zip(*(batch.column(k).slice(a, step).to_pylist() for k in (0, 1, 3)), strict=True)
+
         waiting: dict = {}  # the held document's range has closed if its end row was seen
         for batch in batches:
-            for i in range(len(batch)):
-                doc_id, text, end = (batch.column(k)[i].as_py() for k in (0, 1, 3))
-                if held and held[0][0] is not None or held:
+            for doc_id, text, end in rows(batch):
+                if held:
                     before_id, before = held.pop()
                     new, cut = edited_text(before, text)
                     mine, changed = phrases_with_edit(before, new, cut)

@@ -25,7 +25,7 @@ def documents(spark, rows):
 def odd(spark):
     """Nulls in every column, empty and blank texts, ties and repeated rows, a long text; and columns with clashing names."""
     rows = [(1, LONG, "en", "a"), (1, LONG, "en", "a"), (2, None, None, None), (None, "some words here", "en", "a"), (3, "", "en", "b"), (4, " \n\t", "fr", "b"), (5, LONG + " more", "en", None), (6, "1234 5678", None, "a"), (7, "x" * 50_000, "de", "b"), (None, None, None, None)]
-    extra = {k: F.lit("extra") for k in ("_text", "score", "held_out", "n_words", "ids", "features", "_host", "token", "cid", "root", "label", "severity")}
+    extra = {k: F.lit("extra") for k in ("_text", "score", "held_out", "n_words", "ids", "features", "_host", "token", "cid", "root", "label", "severity", "_key", "_nth", "_id", "_salt", "rejected", "_failed")}
     return documents(spark, rows).withColumns(extra)
 
 
