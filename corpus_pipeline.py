@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over ``documents``. Each stage's rows are written as Parquet and read again by the next.
 
 1. Language identification: documents without a letter, or whose language has a probability under one half, go.
-2. Quality rules: documents that fail the base rule or whose host is rejected go.
+2. Quality rules: documents that fail the base rule go, and those that their host's verdict rejects.
 3. N-gram Jaccard join: of each group of near duplicates one row stays, the one with the least id (null ids last); of rows
    with one id, the one with the least hash. Rows are told apart by 64 bits hashed from id and text, so different texts
    with one id, or without an id, are different documents; two rows get one hash with a probability of about n²/2⁶⁵.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabweave.llm import langid, mixing, ngram_join, pieces, quality_rules
-from tabweave.llm.common import id_remainder, materialize, read_table, small_batches
+from tabweave.llm.common import fresh, id_remainder, materialize, read_table, small_batches
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +33,16 @@ def quality_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
-    found = ngram_join.near_duplicates(keyed, "_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    ids = keyed.select("_key", "doc_id").distinct()
-    first = found.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("m")).select("m._key")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy([c for c, t in docs.dtypes if "map<" not in t]))
-    return keyed.join(first, "_key", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    # names that no column of the documents has
+    key, nth = fresh("_key", docs.columns), fresh("_nth", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
+    found = ngram_join.near_duplicates(keyed, key).select(F.col("doc_id").alias(key), "component_id").distinct()
+    ids = keyed.select(key, "doc_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key")))
+    first = found.join(ids, key).groupBy("component_id").agg(least.alias("m")).select(F.col("m.key").alias(key))
+    order = [f"`{c}`" for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    numbered = keyed.join(first, key, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return numbered.where(F.col(nth) == 1).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
