@@ -57,7 +57,10 @@ VERIFY = 4
 WHOLE = 8
 #: Sizes of one band differ by at most this factor.
 BAND = 1.05
-FILTER_BITS = 24
+#: The least and the largest size of a filter of class ids, as powers of two; between them it has about FILTER_ROOM bits for an id.
+FILTER_BITS = (24, 30)
+FILTER_ROOM = 12
+_FILTER_SHIFTS = (0, 17, 34)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -266,15 +269,16 @@ def shared_lists(packed: DataFrame, percent: int = PERCENT) -> DataFrame:
     return materialize(scored.where(F.col("c") >= least).drop("c"))
 
 
-def _filter_bits(ids: DataFrame) -> np.ndarray:
-    """A bit table of 2**FILTER_BITS bits that holds three places of every class id; its size is fixed."""
-    mask = F.lit((1 << FILTER_BITS) - 1)
-    places = F.explode(F.array(*[F.shiftrightunsigned("cid", k).bitwiseAND(mask) for k in (0, 20, 40)]))
+def _filter_bits(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit table that holds three places of every class id, and its size as a power of two: by the number of ids, 128 MB at most."""
+    bits = min(max((FILTER_ROOM * ids.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    mask = F.lit((1 << bits) - 1)
+    places = F.explode(F.array(*[F.shiftrightunsigned("cid", k).bitwiseAND(mask) for k in _FILTER_SHIFTS]))
     words = ids.select(places.alias("at")).select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
     table = words.toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[table["w"].to_numpy()] = table["bits"].to_numpy()
-    return out
+    return out, bits
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -283,7 +287,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, mask = bits.value, (1 << FILTER_BITS) - 1
+        table, size = bits.value
+        mask = (1 << size) - 1
         for batch in batches:
             for _, part in texts(batch):
                 cids, sets = [], []
@@ -292,7 +297,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
                         continue
                     cid = set_digest(s)[1]
                     u = cid & 0xFFFFFFFFFFFFFFFF
-                    if all(int(table[at >> 6]) >> (at & 63) & 1 for at in ((u >> k) & mask for k in (0, 20, 40))):
+                    if all(int(table[at >> 6]) >> (at & 63) & 1 for at in ((u >> k) & mask for k in _FILTER_SHIFTS)):
                         cids.append(cid)
                         sets.append(s.view(np.int64))
                 if cids:

@@ -85,6 +85,18 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert got == brute_components(rows)
 
 
+def test_filter_of_class_ids_grows_with_them(spark):
+    from unittest import mock
+
+    ids = spark.range(3000).select(F.xxhash64("id").alias("cid"))
+    with mock.patch.object(ngram_join, "FILTER_BITS", (10, 16)):
+        table, bits = ngram_join._filter_bits(ids)
+    assert bits == 16 and len(table) == 1 << 10
+    for r in ids.limit(200).collect():
+        u = r.cid & 0xFFFFFFFFFFFFFFFF
+        assert all(int(table[at >> 6]) >> (at & 63) & 1 for at in ((u >> k) & 0xFFFF for k in ngram_join._FILTER_SHIFTS))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = ngram_join.near_duplicates(odd(spark)).collect()
     assert len(got) == 10
