@@ -406,7 +406,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = shared_lists(postings(rows, counts, width, percent).dropDuplicates(["cid"]), percent)
     roots = None
     for step in [proposals] * ROUNDS + [all_between]:
-        pairs = materialize(step(with_roots(lists, roots), percent))
+        # what is left between components is a small part of the lists; held, it is made once and the plans on it stay small
+        own = with_roots(lists, roots) if roots is None else materialize(with_roots(lists, roots))
+        pairs = materialize(step(own, percent))
         if not pairs.isEmpty():
             roots = merged(roots, materialize(verify(rows, pairs, width, percent)))
     if roots is None:
