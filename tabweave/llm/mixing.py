@@ -2,8 +2,8 @@
 
 A source's share p is its part of all tokens. Temperature mixing weighs it by ``p ** t`` over the sum. The exponent t is
 found by bisection: with a target entropy, the t whose weights have it; with a repetition limit R, the smallest t at
-which no source is repeated more than R times as often as another. A pass evaluates 15 interior exponents with one
-aggregate over the table of shares, so sources are never collected. A source is read ``weight * budget / tokens`` times. The
+which no source is repeated more than R times as often as another. A pass evaluates 255 interior exponents with one
+aggregate over the table of shares, one row an exponent, so sources are never collected. A source is read ``weight * budget / tokens`` times. The
 budget is a number of tokens; without one it is the smallest at which every source is read at least once, so that no document is
 dropped. A smaller budget reads some sources in part.
 
@@ -37,8 +37,8 @@ BLOCK_DOCS = 512
 #: Blocks whose running sums one window makes.
 GROUP_BLOCKS = 1024
 SEED = 17
-_PASSES = 12
-_INNER = 15
+_PASSES = 6
+_INNER = 255
 
 
 def n_tokens(text):
@@ -68,14 +68,20 @@ def exponent(shares: DataFrame, target_entropy: float | None = None, max_repeats
         return 1.0
     p = F.col("tokens") / F.lit(float(total))
 
+    def each(at: list[float], **found) -> list:
+        """One row of aggregates for each exponent, in order; within a pass they are evenly spaced."""
+        step = at[1] - at[0]
+        t = F.lit(at[0]) + F.col("i") * F.lit(step)
+        rows = with_any.select(p.alias("p"), F.explode(F.sequence(F.lit(0), F.lit(len(at) - 1))).alias("i")).withColumn("t", t)
+        return rows.groupBy("i").agg(*[x.alias(k) for k, x in found.items()]).orderBy("i").collect()
+
     def entropies(at: list[float]) -> list[float]:
-        sums = with_any.agg(*[x for i, t in enumerate(at) for x in (F.sum(F.pow(p, F.lit(t))).alias(f"z{i}"), F.sum(F.pow(p, F.lit(t)) * F.log(p) * t).alias(f"e{i}"))]).first()
-        return [math.log(sums[f"z{i}"]) - sums[f"e{i}"] / sums[f"z{i}"] for i in range(len(at))]
+        z, e = F.sum(F.pow("p", "t")), F.sum(F.pow("p", "t") * F.log("p") * F.col("t"))
+        return [math.log(r["z"]) - r["e"] / r["z"] for r in each(at, z=z, e=e)]
 
     def spreads(at: list[float]) -> list[float]:
-        reads = [F.pow(p, F.lit(t - 1)) for t in at]
-        got = with_any.agg(*[(F.max(r) / F.min(r)).alias(f"r{i}") for i, r in enumerate(reads)]).first()
-        return list(got)
+        reads = F.pow("p", F.col("t") - 1)
+        return [r["spread"] for r in each(at, spread=F.max(reads) / F.min(reads))]
 
     if target_entropy is not None:
         return _bisect(0.0, 1.0, entropies, lambda h: h > target_entropy)
