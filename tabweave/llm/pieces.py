@@ -56,7 +56,8 @@ def default_model() -> str:
 
 @dataclass
 class Vocabulary:
-    """ids and scores of ordinary pieces; byte_ids: 256 ids; surface: the bytes an id decodes to."""
+    """ids and scores of ordinary pieces; byte_ids: 256 ids; surface: the bytes an id decodes to. What encoding needs beyond that is made by
+    the Encoder, in the executors."""
 
     ids: dict[str, int]
     scores: dict[str, float]
@@ -64,18 +65,10 @@ class Vocabulary:
     surface: list[bytes]
     merges: bool
     unk: int
-    ends: dict = field(init=False, repr=False)
     key: int = field(init=False)
 
     def __post_init__(self) -> None:
-        """ends: a trie of the pieces read backwards; the key "" holds the piece that starts there."""
-        self.ends = {}
         self.key = zlib.crc32(repr((sorted(self.scores.items()), self.merges)).encode())
-        for piece in self.ids:
-            node = self.ends
-            for ch in reversed(piece):
-                node = node.setdefault(ch, {})
-            node[""] = piece
 
 
 def load(model_file: str | None = None, merges: bool = True) -> Vocabulary:
@@ -106,6 +99,13 @@ class Encoder:
         self.v = vocabulary
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        # a trie of the pieces read backwards; the key "" holds the piece that starts there
+        self.ends: dict = {}
+        for piece in vocabulary.ids:
+            node = self.ends
+            for ch in reversed(piece):
+                node = node.setdefault(ch, {})
+            node[""] = piece
 
     def merged(self, text: str) -> list[str]:
         """Merge characters by piece score, leftmost first among equals, until no pair is a piece. Pairs wait in a heap."""
@@ -141,7 +141,7 @@ class Encoder:
         scores, merges, pairs = self.v.scores, self.v.merges, self.pairs
         for end in range(len(state), len(word) + 1):
             best: tuple[str, float] | None = None
-            node: dict | None = self.v.ends
+            node: dict | None = self.ends
             start = end
             while start > 0:
                 start -= 1
@@ -152,8 +152,10 @@ class Encoder:
                 if before is None or piece is None:
                     continue
                 if merges:
-                    pair = before[0], piece
-                    if not (pairs[pair] if pair in pairs else self.allowed(*pair)):
+                    ok = pairs.get((before[0], piece))
+                    if ok is None:
+                        ok = self.allowed(before[0], piece)
+                    if not ok:
                         continue
                 total = before[1] + scores[piece]
                 if best is None or total >= best[1]:
