@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -46,12 +47,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _remove_made() -> None:
+    """Delete the tables made, each on its own; those of an ended session go with the folder that the cluster names."""
     for spark, path in _made:
-        try:
+        with contextlib.suppress(Exception):
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended before
-            return
 
 
 def materialize(df: DataFrame) -> DataFrame:

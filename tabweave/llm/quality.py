@@ -9,7 +9,9 @@ difference of the two log densities.
 
 Cases: null and empty texts have zero counts and get a score like any text. Null labels and labels other than 0 and 1
 are not learned; a document with several labels counts once for each. If a class has no labelled row, the score is the
-share of label 1 (0.5 without any). Repeated rows and null ids are scored like any row. Extra columns are ignored.
+share of label 1 (0.5 without any). Repeated rows and null ids are scored like any row; a label of a null id is not learned. Very
+long texts are counted whole. Ties cannot arise: a score at the threshold is predicted 1. An empty table gives no rows. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
