@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.functions.text import tokens
+from tabweave.plans.shared import hold
 from tabweave.schema import GraphSet
 
-#: Queries whose tokens are broadcast to the index; more are joined by a shuffle.
-BROADCAST_QUERIES = 10_000
+#: A token of at most so many nodes is rare: all its nodes are scored for every query that has it.
+RARE_NODES = 64
 
 
 def _texts(extra):
@@ -56,13 +57,47 @@ def search(index: DataFrame, queries: DataFrame, max_results: int = 50) -> DataF
     """query_id, rank (from 1), graph_id, node_id, score: the best nodes of each query.
 
     A score is the sum of the weights of the query's distinct tokens, over the number of its tokens. Equal scores keep the order in
-    which the nodes are met: by the query's tokens, then by place. queries: query_id, query."""
-    asked = query_tokens(queries)
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        asked = F.broadcast(asked)
-    met = index.join(asked, "token").groupBy("query_id", "graph_id", "node_id").agg((F.sum("weight") / F.first("n")).alias("score"), F.min(F.struct("pos", "graph_id", "place")).alias("first"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "first")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_results).select("query_id", "rank", "graph_id", "node_id", "score")
+    which the nodes are met: by the query's tokens, then by place. queries: query_id, query.
+
+    Not every pair of a query and a node that share a token is scored:
+
+    1. The nodes of a query's rare tokens are scored in full. Their ``max_results``-th sum is a bound for the query.
+    2. Of its other tokens, the most frequent ones whose weights together stay below the bound cannot bring a node in on their own;
+       the rest must be looked up. Without a rest the query is done.
+    3. Nodes with none of the rare tokens are ranked by the other tokens alone, whatever the rare ones are. So this is done once for
+       all queries that have the same other tokens at the same places, and only the ``max_results`` best are handed to them. A node
+       beyond these has as many others before it in every such query, as rare tokens can only add to a sum or bring a node forward.
+    """
+    tokens_of = query_tokens(queries)
+    # the lists of the tokens that are asked for, read several times
+    lists = hold(index.join(tokens_of.select("token").distinct(), "token", "left_semi"))
+    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("nodes"), F.max("weight").alias("most"))
+    asked = hold(tokens_of.join(sizes, "token"))
+    rare = asked.where(F.col("nodes") <= RARE_NODES)
+    node = ["graph_id", "node_id"]
+    summed = lambda df, key: df.groupBy(key, *node).agg(F.sum("weight").alias("sum"), F.min(F.struct("pos", "graph_id", "place")).alias("first"))
+
+    def in_full(found: DataFrame, said: DataFrame, key: str) -> DataFrame:
+        """The sums of the found nodes (key and node) over the tokens said (key, token, pos)."""
+        return summed(found.join(said.select(key, "token", "pos"), key).join(lists, ["token", *node]), key)
+
+    best = lambda key: Window.partitionBy(key).orderBy(F.desc("sum"), "first")
+    near = hold(in_full(lists.join(rare.select("query_id", "token"), "token").select("query_id", *node).distinct(), asked, "query_id"))
+    bounds = near.withColumn("nth", F.row_number().over(best("query_id"))).where(F.col("nth") == max_results).select("query_id", F.col("sum").alias("bound"))
+    others = asked.where(F.col("nodes") > RARE_NODES).join(bounds, "query_id", "left")
+    upto = F.sum("most").over(Window.partitionBy("query_id").orderBy(F.desc("nodes"), "token").rowsBetween(Window.unboundedPreceding, 0))
+    others = others.withColumn("needed", F.coalesce(upto >= F.col("bound") - 1e-9, F.lit(True)))
+    # queries with the same other tokens, of which some are needed, share one lookup
+    alike = others.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("token", "pos", "needed"))).alias("said")).where(F.exists("said", lambda x: x["needed"]))
+    alike = hold(alike.withColumn("like", F.md5(F.to_json("said").cast("binary"))))
+    said = alike.groupBy("like").agg(F.first("said").alias("said")).select("like", F.explode("said").alias("x")).select("like", "x.*")
+    looked_up = summed(lists.join(said.where("needed"), "token"), "like")
+    more = in_full(looked_up.select("like", *node), said.where("not needed"), "like")
+    far = looked_up.unionByName(more).groupBy("like", *node).agg(F.sum("sum").alias("sum"), F.min("first").alias("first"))
+    far = far.withColumn("nth", F.row_number().over(best("like"))).where(F.col("nth") <= max_results).drop("nth")
+    both = near.unionByName(alike.select("query_id", "like").join(far, "like").drop("like")).groupBy("query_id", *node).agg(F.max("sum").alias("sum"), F.min("first").alias("first"))
+    ranked = both.withColumn("rank", F.row_number().over(best("query_id"))).where(F.col("rank") <= max_results)
+    return ranked.join(tokens_of.groupBy("query_id").agg(F.first("n").alias("n")), "query_id").select("query_id", "rank", *node, (F.col("sum") / F.col("n")).alias("score"))
 
 
 def flat_chunks(gs_tables: DataFrame, rows: DataFrame) -> DataFrame:
@@ -70,20 +105,28 @@ def flat_chunks(gs_tables: DataFrame, rows: DataFrame) -> DataFrame:
     joined = rows.join(gs_tables.select("table_id", "source_file", "headers"), "table_id")
     heads = F.array_join(F.get("headers", F.lit(0)), " | ")
     cells = F.array_join(F.transform("cells", lambda c: F.coalesce(c["v"], F.lit("None"))), " | ")
-    name = F.concat(F.lit("["), F.col("source_file"), F.lit(" Row "), (F.col("row_idx") + 1).cast("string"), F.lit("] "))
+    name = F.concat(F.lit("["), F.col("source_file"), F.lit(" Row "), F.col("row_idx").cast("string"), F.lit("] "))
     return joined.select(F.struct("table_id", "row_idx").alias("chunk_id"), F.concat(name, heads, F.lit(" => "), cells).alias("chunk"))
 
 
+#: Characters of a gram by which words meet the words that contain them.
+GRAM = 3
+
+
 def best_chunk(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, chunk, score: for each query the first chunk that contains most of its words as substrings.
+    """query_id, chunk_id, chunk, score: for each query the first chunk that contains most of its distinct words as substrings. Question
+    marks, apostrophes and commas of a query are left out.
 
-    Words meet chunks through the chunks' own words: a chunk contains a query word iff one of its blank-separated words does, so only the
-    distinct words of all chunks are tested, and pairs of query and chunk arise where there is a match."""
-    words = queries.select("query_id", F.explode(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "")).alias("word"))
+    Words meet chunks through the chunks' own words: a chunk contains a query word iff one of its blank-separated words does, and then
+    that word has the query word's first GRAM characters in it. So distinct words are joined by equal grams and tested after that."""
+    plain = F.translate(F.lower("query"), "?',", "")
+    words = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(plain, r"\s+"), lambda w: w != ""))).alias("word"))
     parts = chunks.select("chunk_id", F.explode(F.array_distinct(F.split(F.lower("chunk"), r"\s+"))).alias("part"))
-    asked = words.select("word").distinct()
-    has = parts.select("part").distinct().join(F.broadcast(asked) if asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else asked, F.expr("contains(part, word)"))
-    met = parts.join(has, "part").select("chunk_id", "word").distinct().join(words.groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("times")), "word")
-    scored = met.groupBy("query_id", "chunk_id").agg(F.sum("times").alias("score"))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("part") - (n - 1), F.lit(1))), lambda i: F.substring("part", i, F.lit(n)))
+    gram = F.substring("word", 1, GRAM)
+    by_gram = parts.select("part").distinct().select("part", F.explode(F.array_distinct(F.concat(*[grams(n) for n in range(1, GRAM + 1)]))).alias("gram"))
+    has = words.select("word", gram.alias("gram")).distinct().join(by_gram, "gram").where(F.expr("contains(part, word)")).select("part", "word")
+    met = parts.join(has, "part").select("chunk_id", "word").distinct().join(words, "word")
+    scored = met.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("score"))
     best = scored.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "chunk_id")).alias("b"))
     return best.select("query_id", F.col("b.chunk_id").alias("chunk_id"), (-F.col("b.minus")).alias("score")).join(chunks, "chunk_id")

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
+#: Tables made by ``hold``: session, path and the thread that made it.
+_made: list[tuple[SparkSession, str, int]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -40,32 +44,54 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _remove_made() -> None:
-    for spark, path in _made:
-        try:
+def _remove(tables: list[tuple[SparkSession, str, int]]) -> None:
+    """Delete tables, each on its own; those of an ended session go with the folder that the cluster names."""
+    for one in tables:
+        spark, path, _ = one
+        with contextlib.suppress(Exception):
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended before
-            return
+        _made.remove(one)
+
+
+atexit.register(lambda: _remove(list(_made)))
+
+
+@contextlib.contextmanager
+def held_for_now() -> Iterator[None]:
+    """Tables that this thread holds inside the block are deleted at its end; for jobs that write their results, over and over."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        _remove([t for t in _made[before:] if t[2] == threading.get_ident()])
 
 
 def hold(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, so that it is computed once and outlives executors."""
+    """Write ``df`` as a table in the shared folder and read it back, so that it is computed once and outlives executors. The table goes
+    when the driver's Python ends, or at the end of a block of ``held_for_now``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tabweave-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_remove_made)
-    _made.append((spark, path))
+    _made.append((spark, path, threading.get_ident()))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def number_rows(df: DataFrame, order: list[Column], name: str = "row_idx") -> DataFrame:
-    """Rows numbered from 0 in the given order. The sort is a range partitioning; numbers are counted in each part and moved
-    on by the sizes of the parts before, one row per part, so no task sees more than its part."""
-    sorted_parts = hold(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
-    sizes = sorted_parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+def _counted_up(held: DataFrame, name: str) -> DataFrame:
+    """Rows of a held table with _part and _at, numbered by part and then by _at: numbers are counted in each part and moved on by the
+    sizes of the parts before, one row per part, so no task sees more than its part."""
+    sizes = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.withColumn("_before", before).select("_part", "_before")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy("_at")) - 1
-    return sorted_parts.withColumn("_inside", inside).join(offsets, "_part").withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_at", "_inside", "_before")
+    return held.withColumn("_inside", inside).join(offsets, "_part").withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_at", "_inside", "_before")
+
+
+def number_as_they_come(df: DataFrame, name: str = "row_idx") -> DataFrame:
+    """Rows numbered from 0 in the order that the DataFrame has when it is computed once: by partition, then as they come."""
+    return _counted_up(hold(df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})), name)
+
+
+def number_rows(df: DataFrame, order: list[Column], name: str = "row_idx") -> DataFrame:
+    """Rows numbered from 0 in the given order; the sort is a range partitioning."""
+    return number_as_they_come(df.orderBy(*order), name)

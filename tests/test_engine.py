@@ -9,7 +9,7 @@ from tabweave.schema import TableSet
 from tabweave.sources import grids
 
 KV = {"headers": [["Property", "Value"]], "rows": [["Color", "Blue"], ["Size", "Large"], ["Weight", "5kg"]]}
-COMPARISON = {"headers": [["Feature", "Product A", "Product B"]], "rows": [["Price", "$10", "$20"], ["Weight", "1kg", "2kg"]]}
+COMPARISON = {"headers": [["Trait", "Left", "Right"]], "rows": [["Depth", "4 m", "9 m"], ["Colour", "red", "grey"]]}
 SERIES = {"headers": [["Metric", "2021", "2022", "2023"]], "rows": [["Revenue", "100", "120", "140"], ["Cost", "80", "90", "100"]]}
 TREE = {"headers": [["Account", "Amount"]], "rows": [["Assets", "1"], ["  Current", "2"], ["    Cash", "3"], ["    Stock", "4"], ["  Fixed", "5"]]}
 MATRIX = {"headers": [["", "A", "B", "C"]], "rows": [["A", "0", "10", "5"], ["B", "10", "0", "8"], ["C", "5", "8", "0"]]}
@@ -130,6 +130,117 @@ def test_search_and_ties(store):
     assert store.search_nodes("the of and").count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_search_equals_scoring_everything(spark, monkeypatch, seed):
+    import random
+
+    rnd = random.Random(seed)
+    words = [f"w{i:02d}" for i in range(40)]
+    place = {}
+    posted = {}
+    for n in range(150):
+        graph, node = n % 3, f"n{n}"
+        place[graph, node] = (rnd.randrange(2), n, 0, 0)
+        for i, w in enumerate(words):
+            if rnd.random() < 1 / (1 + i):
+                posted[w, graph, node] = rnd.choice([1.0, 1.0, 0.5])
+    rows = [(w, g, n, x, place[g, n]) for (w, g, n), x in posted.items()]
+    lists = spark.createDataFrame(rows, "token string, graph_id long, node_id string, weight double, place struct<kind:int,ord:int,seq:int,end:int>")
+    asked = [" ".join(rnd.choices(words, weights=[1 / (1 + i % 7) for i in range(40)], k=rnd.randint(1, 7))) for _ in range(25)] + ["nothing here", ""]
+    monkeypatch.setattr(index, "RARE_NODES", rnd.choice([2, 6, 20]))
+    got = {}
+    for r in index.search(lists, api.as_queries(spark, asked), 4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.graph_id, r.node_id, r.score))
+    want = {}
+    for q, text in enumerate(asked):
+        tokens = text.split()
+        scored = []
+        for g, n in place:
+            met = [(tokens.index(w), posted[w, g, n]) for w in set(tokens) if (w, g, n) in posted]
+            if met:
+                scored.append((-sum(x for _, x in met), min(p for p, _ in met), g, place[g, n], n))
+        for i, (minus, _, g, _, n) in enumerate(sorted(scored)[:4]):
+            want.setdefault(q, []).append((i + 1, g, n, -minus / len(tokens)))
+    assert {q: sorted(x) for q, x in got.items()} == want
+
+
+def test_search_does_not_score_every_pair(spark):
+    """Every query shares two words with every node; the nodes looked up for the shared words do not grow with the queries."""
+    nodes = spark.range(500).select(F.lit(0).cast("long").alias("graph_id"), F.concat(F.lit("n"), "id").alias("node_id"), F.col("id"), F.explode(F.array(F.lit("balance"), F.lit("supplier"), F.concat(F.lit("id"), "id"))).alias("token"))
+    lists = nodes.select("token", "graph_id", "node_id", F.lit(1.0).alias("weight"), F.struct(F.lit(0).alias("kind"), F.col("id").alias("ord"), F.lit(0).alias("seq"), F.lit(0).alias("end")).alias("place"))
+    queries = spark.range(300).select(F.col("id").alias("query_id"), F.concat(F.lit("balance supplier id"), "id").alias("query"))
+    found = index.search(lists, queries, 3)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.node_id)
+    assert got == {i: [f"n{i}", *[f"n{k}" for k in range(4) if k != i][:2]] for i in range(300)}
+
+
+def test_latency_stats_equal_sorting(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "b", None]), float(rnd.randrange(30)) if rnd.random() < 0.95 else None) for _ in range(500)]
+    got = {(r.kind, r.is_total): (r.n, round(r.mean, 9), r.median, r.p95) for r in api.latency_stats(spark.createDataFrame(rows, "kind string, t double"), "t", ["kind"]).collect()}
+    want = {}
+    for kind, total in (("a", 0), ("b", 0), (None, 0), (None, 1)):
+        v = sorted(t for k, t in rows if t is not None and (total or k == kind))
+        want[kind, total] = (len(v), round(sum(v) / len(v), 9), v[len(v) // 2], v[int(len(v) * 0.95)])
+    assert got == want
+
+
+def test_stitching_equals_a_plain_loop(spark):
+    import random
+
+    rnd = random.Random(6)
+    kinds = [["A", "B"], ["a ", "B"], ["C", "D"], ["A", "B", "C", "D", "E"], ["A", "B", "C", "D"], None]
+    tables = []
+    for source in ("s", "t"):
+        for page in range(25):
+            head = rnd.choice(kinds)
+            tables.append({"headers": [head] if head else [], "rows": [[f"{source}{page}.{k}"] for k in range(rnd.randrange(3))], "page_number": page, "source_file": source})
+    got = normalize.multipage_stitch(grids.from_lists(spark, tables))
+    chains, last = {}, {}
+    for i, t in enumerate(tables):
+        mine = {h.strip().lower() for h in t["headers"][0]} if t["headers"] else None
+        head, theirs = last.get(t["source_file"], (None, None))
+        if mine and theirs and len(mine & theirs) / len(mine | theirs) >= 0.8:
+            chains[head] += t["rows"]
+        else:
+            last[t["source_file"]] = (i, mine)
+            chains[i] = list(t["rows"])
+    rows = {}
+    for r in got.rows.orderBy("table_id", "row_idx").collect():
+        rows.setdefault(r.table_id, []).append([c.v for c in r["cells"]])
+    assert rows == {i: c for i, c in chains.items() if c} and {r.table_id for r in got.tables.collect()} == set(chains)
+
+
+def test_held_tables_go_at_the_end_of_a_block(spark):
+    import pathlib
+
+    from tabweave.plans.shared import held_for_now, hold, shared_dir
+
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file://"))
+    kept = hold(spark.range(3))
+    before = set(folder.iterdir())
+    with held_for_now():
+        assert hold(spark.range(4)).count() == 4 and len(set(folder.iterdir())) == len(before) + 1
+    assert set(folder.iterdir()) == before and kept.count() == 3
+
+
+def test_suite_of_literal_queries(spark, tmp_path):
+    import json
+
+    from tabweave.plans import suite
+
+    tables = [{"name": "plans", "headers": [["Property", "Value"]], "rows": [["Colour", "teal"], ["Width", "31 cm"]]}, {"name": "yearly", "headers": [["Metric", "2021", "2022", "2023"]], "rows": [["Revenue", "100", "120", "140"], ["Cost", "80", "90", "100"]]}]
+    queries = [{"archetype": "key_value", "query": "What is the colour?", "targets": ["Teal"]}, {"archetype": "time_series", "query": "What was the revenue in 2022?", "targets": ["120"]}, {"archetype": "time_series", "query": "Which cost and revenue in 2021?", "targets": ["80", "100"]}, {"archetype": "time_series", "query": "revenue", "targets": ["not there"]}]
+    (tmp_path / "suite.json").write_text(json.dumps({"tables": tables, "queries": queries}))
+    found = suite.answers(*suite.load(spark, str(tmp_path / "suite.json")))
+    assert [(r.graph_hit, r.flat_hit) for r in found.orderBy("query_id").collect()] == [(True, True), (True, True), (True, False), (False, False)]
+    assert {r.archetype: (r.asked, r.graph_hits, r.flat_hits) for r in suite.rates(found).collect()} == {"key_value": (1, 1, 1), "time_series": (3, 2, 1), None: (4, 3, 2)}
+
+
 def test_hops_and_induced_edges(store):
     sizes = [api.GraphRetriever(store, 1, k).retrieve("metric_0 revenue").nodes.count() for k in (0, 1, 2)]
     assert sizes[0] == 1 and sizes[0] < sizes[1] <= sizes[2]
@@ -191,7 +302,7 @@ def test_facade(spark):
     assert "Blue" in api.retrieve_context(gs, "color").first().context
     with pytest.raises(ValueError):
         api.extract_tables(spark, object())
-    assert "Table Graph" in api.joined(api.table_to_graph(spark, "| a | b |\n|---|---|\n| x | 1 |\n"))
+    assert "Table Graph" in api.joined(api.export_graphs(spark, "| a | b |\n|---|---|\n| x | 1 |\n"))
     with pytest.raises(KeyError):
         api.build_graphs(grids.from_nested(spark, []))
     with api.monitor(spark, "count") as m:
@@ -218,11 +329,20 @@ def test_every_cell_of_the_wide_table(spark):
     assert sorted(map(tuple, got.collect())) == sorted(rows.fetchall())
 
 
+def test_public_names():
+    import tabweave
+
+    assert all(getattr(tabweave, n) is not None for n in tabweave.__all__)
+    assert tabweave.extract_tables is api.extract_tables
+    with pytest.raises(AttributeError):
+        tabweave.nope  # noqa: B018
+
+
 def test_flat_chunks(spark):
     ts = grids.from_lists(spark, [KV | {"source_file": "kv"}, SERIES | {"source_file": "ts"}])
     chunks = index.flat_chunks(ts.tables, ts.rows)
     got = index.best_chunk(chunks, api.as_queries(spark, ["revenue in 2022", "large size"])).collect()
-    assert {r.query_id: r.chunk for r in got} == {0: "[ts Row 1] Metric | 2021 | 2022 | 2023 => Revenue | 100 | 120 | 140", 1: "[kv Row 2] Property | Value => Size | Large"}
+    assert {r.query_id: r.chunk for r in got} == {0: "[ts Row 0] Metric | 2021 | 2022 | 2023 => Revenue | 100 | 120 | 140", 1: "[kv Row 1] Property | Value => Size | Large"}
 
 
 def test_shortest_paths(spark):
