@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweave.functions.text import float_repr
-from tabweave.plans.shared import number_rows
+from tabweave.plans.shared import number_as_they_come, number_rows
 from tabweave.schema import CELL, ROWS, TABLES, TableSet
 from tabweave.sources.text_tables import table_columns
 
@@ -67,22 +67,31 @@ def cell_column(c: Column, kind: T.DataType) -> Column:
     return F.struct(v.alias("v"), F.when(v.isNull(), "none").otherwise(t).alias("t")).cast(CELL)
 
 
-def from_spark(df: DataFrame, order: list[str | Column], table_id: int = 0, source_file: str = "dataframe", headers: list[list[str]] | None = None) -> TableSet:
-    """One table from a Spark DataFrame of any size, its rows in ascending order of the given columns; ``headers`` replaces the column names."""
+def from_spark(df: DataFrame, order: list[str | Column] | None, table_id: int = 0, source_file: str = "dataframe", headers: list[list[str]] | None = None, numbered: bool = True) -> TableSet:
+    """One table from a Spark DataFrame of any size, its rows in ascending order of the given columns; ``headers`` replaces the column
+    names. Without an order the rows stay as the DataFrame has them. Rows that are not ``numbered`` have null numbers and cost no sort:
+    types, profiles, features and classification of tables with headers read no numbers."""
     spark = df.sparkSession
     cells = F.array(*[cell_column(F.col(f"`{f.name}`"), f.dataType) for f in df.schema])
-    named = {f"_order{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
     # the id is stored with the rows: as a literal it would make joins on it products
     own = F.lit(table_id).cast("long").alias("table_id")
-    rows = number_rows(df.select(own, cells.alias("cells"), *[c.alias(k) for k, c in named.items()]), [F.col(k) for k in named]).select("table_id", "row_idx", "cells")
+    if not numbered:
+        rows = df.select(own, F.lit(None).cast("long").alias("row_idx"), cells.alias("cells"))
+    elif order is None:
+        rows = number_as_they_come(df.select(own, cells.alias("cells"))).select("table_id", "row_idx", "cells")
+    else:
+        named = {f"_order{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
+        rows = number_rows(df.select(own, cells.alias("cells"), *[c.alias(k) for k, c in named.items()]), [F.col(k) for k in named]).select("table_id", "row_idx", "cells")
     one = spark.createDataFrame([(table_id, headers or [df.columns])], "table_id long, headers array<array<string>>").coalesce(1)
     return TableSet(one.select(*table_columns(table_id=F.col("table_id"), source_file=F.lit(source_file), table_index=F.lit(0), extraction_method=F.lit("dataframe"), headers=F.col("headers"))), rows)
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", table_id: int = 0) -> TableSet:
-    """One table from a CSV file of any size: row 0 is the header, column types are inferred from all values. Whole numbers print as
-    such, or as floats if their column has a gap; texts that stand for missing values are null."""
-    raw = spark.read.csv(path, header=True, sep=sep, inferSchema=False, quote='"', escape='"', multiLine=False).withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+def read_csv(spark: SparkSession, path: str, sep: str = ",", table_id: int = 0, multi_line: bool = True) -> TableSet:
+    """One table from a CSV file: row 0 is the header, column types are inferred from all values. Whole numbers print as
+    such, or as floats if their column has a gap; texts that stand for missing values are null. Quoted line feeds are part of a
+    cell. A file is then read by one task, as only its beginning tells what is quoted; without quoted line feeds, ``multi_line=False``
+    lets many tasks read a large file."""
+    raw = spark.read.csv(path, header=True, sep=sep, inferSchema=False, quote='"', escape='"', multiLine=multi_line).withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
     names = [c for c in raw.columns if c not in ("_file", "_start", "_at")]
     clean = raw.select(*[F.when(~F.col(f"`{n}`").isin(*MISSING), F.col(f"`{n}`")).alias(f"c{i}") for i, n in enumerate(names)], "_file", "_start", "_at")
     columns = [F.col(f"c{i}") for i in range(len(names))]
@@ -110,5 +119,5 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", table_id: int = 0)
     return TableSet(tables, rows.select("table_id", "row_idx", "cells"))
 
 
-def read_tsv(spark: SparkSession, path: str, table_id: int = 0) -> TableSet:
-    return read_csv(spark, path, "\t", table_id)
+def read_tsv(spark: SparkSession, path: str, table_id: int = 0, multi_line: bool = True) -> TableSet:
+    return read_csv(spark, path, "\t", table_id, multi_line)

@@ -101,24 +101,31 @@ def merge_continuations(tables: DataFrame) -> DataFrame:
     """Tables that go on over pages made one, per document in order of page and table. A table joins the one before if it is on the
     page after that one's last part, has as many columns (not none), and either repeats the headers of the chain's first part, or
     that last part was cut off by the page (then its own headers are rows). The joined table has the first part's headers and index
-    and the last part's page and box. tables: doc_id, source_file, page_number, table_index, bbox, headers, rows and others."""
-    parts = tables.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "table_index", "source_file", "headers", "rows", "bbox"))).alias("t"))
-    kind = parts.schema["t"].dataType.elementType.simpleString()
-    width = lambda t: F.when(F.size(t["headers"]) > 0, F.size(F.get(t["headers"], F.lit(0)))).when(F.size(t["rows"]) > 0, F.size(F.get(t["rows"], F.lit(0)))).otherwise(0)
-
-    def step(done: Column, t: Column) -> Column:
-        last = F.element_at(done, -1)
-        follows = (t["page_number"] == last["page_number"] + 1) & (width(t) == width(last)) & (width(last) > 0)
-        same = (F.size(last["headers"]) > 0) & (F.size(t["headers"]) > 0) & (last["headers"] == t["headers"])
-        cut = F.coalesce(last["bbox"]["y1"] > CUT_OFF, F.lit(False))
-        rows = F.when(same, F.concat(last["rows"], t["rows"])).otherwise(F.concat(last["rows"], t["headers"], t["rows"]))
-        joined = F.struct(t["page_number"].alias("page_number"), last["table_index"].alias("table_index"), last["source_file"].alias("source_file"), last["headers"].alias("headers"), rows.alias("rows"), t["bbox"].alias("bbox")).cast(kind)
-        merged = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))
-        goes_on = (F.size(done) > 0) & F.coalesce(follows & (same | cut), F.lit(False))
-        return F.when(goes_on, merged).otherwise(F.concat(done, F.array(t)))
-
-    done = F.aggregate("t", F.array().cast(f"array<{kind}>"), step)
-    return parts.select("doc_id", F.explode(done).alias("t")).select("doc_id", "t.*")
+    and the last part's page and box. tables: doc_id, source_file, page_number, table_index, bbox, headers, rows and others.
+
+    A chain's last part is always the table just before, so page and box are compared by a window, which cuts a document into runs of
+    tables on following pages. Only headers are folded, one run at a time; rows are gathered by the table that they become."""
+    width = F.when(F.size("headers") > 0, F.size(F.get("headers", F.lit(0)))).when(F.size("rows") > 0, F.size(F.get("rows", F.lit(0)))).otherwise(0)
+    order = Window.partitionBy("doc_id").orderBy("page_number", "table_index", "source_file", "headers")
+    t = tables.withColumns({"_n": F.row_number().over(order), "_width": width.cast("int"), "_follows": F.coalesce(F.col("page_number") == F.lag("page_number").over(order) + 1, F.lit(False)), "_cut": F.coalesce(F.lag("bbox.y1").over(order) > CUT_OFF, F.lit(False))})
+    t = t.withColumn("_run", F.sum(F.when(F.col("_follows"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = t.groupBy("doc_id", "_run").agg(F.sort_array(F.collect_list(F.struct("_n", "_width", "_cut", "headers"))).alias("t"))
+    kind = "struct<headers:array<array<string>>,width:int,head:int,done:array<struct<_n:int,_head:int,_same:boolean>>>"
+
+    def step(now: Column, x: Column) -> Column:
+        same = (F.size(now["headers"]) > 0) & (F.size(x["headers"]) > 0) & (now["headers"] == x["headers"])
+        joins = F.coalesce(now["head"].isNotNull() & (now["width"] == x["_width"]) & (x["_width"] > 0) & (same | x["_cut"]), F.lit(False))
+        head = F.when(joins, now["head"]).otherwise(x["_n"])
+        mine = F.struct(x["_n"].alias("_n"), head.alias("_head"), F.coalesce(~joins | same, F.lit(True)).alias("_same"))
+        return F.struct(F.when(joins, now["headers"]).otherwise(x["headers"]).alias("headers"), F.when(joins, now["width"]).otherwise(x["_width"]).alias("width"), head.alias("head"), F.concat(now["done"], F.array(mine)).alias("done")).cast(kind)
+
+    none = F.struct(F.lit(None).alias("headers"), F.lit(None).alias("width"), F.lit(None).alias("head"), F.array().alias("done")).cast(kind)
+    placed = runs.select("doc_id", F.explode(F.aggregate("t", none, step)["done"]).alias("x")).select("doc_id", "x.*")
+    parts = t.join(placed, ["doc_id", "_n"]).withColumn("_said", F.when(F.col("_same"), F.col("rows")).otherwise(F.concat("headers", "rows")))
+    first = lambda c: F.min_by(c, "_n").alias(c)
+    last = lambda c: F.max_by(c, "_n").alias(c)
+    rows = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_said"))), lambda x: x["_said"])).alias("rows")
+    return parts.groupBy("doc_id", "_head").agg(last("page_number"), first("table_index"), first("source_file"), first("headers"), rows, last("bbox")).drop("_head")
 
 
 def to_table_set(tables: DataFrame, contexts: DataFrame | None = None, method: str = "pdf") -> TableSet:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.functions.text import strip
+from tabweave.plans.shared import hold
 from tabweave.schema import CELL, ROWS, TABLES, TableSet
 
 _MARK = "\x00"
@@ -185,24 +186,25 @@ def html_tables(page: str | None) -> list[tuple[list[list[str]], list[list[tuple
     return found
 
 
-def read_html(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_file: Column | None = None) -> TableSet:
-    """The HTML tables of a column of pages, with spans expanded. Pages are parsed in Arrow batches, where they lie."""
-    keep = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.lit("html") if source_file is None else source_file).alias("source_file"), F.col(text_col).alias("text"))
+def read_html(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_file: Column | None = None, first_index: Column | None = None) -> TableSet:
+    """The HTML tables of a column of pages, with spans expanded; a page's table indexes begin at ``first_index`` (0 unless given). Pages are parsed in Arrow batches, where they lie."""
+    keep = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.lit("html") if source_file is None else source_file).alias("source_file"), F.col(text_col).alias("text"), (F.lit(0) if first_index is None else first_index).cast("int").alias("first"))
     schema = "doc_id long, source_file string, table_index int, headers array<array<string>>, rows array<array<struct<v:string,t:string>>>"
     cell = pa.struct([("v", pa.string()), ("t", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, name, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc_id, name, page, first in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 for i, (headers, rows) in enumerate(html_tables(page)):
-                    out.append((doc_id, name, i, headers, [[{"v": v, "t": t} for v, t in r] for r in rows]))
+                    out.append((doc_id, name, first + i, headers, [[{"v": v, "t": t} for v, t in r] for r in rows]))
             if out:
                 columns = list(zip(*out, strict=True))
                 types = [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.list_(pa.string())), pa.list_(pa.list_(cell))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "source_file", "table_index", "headers", "rows"])
 
-    found = keep.where(has_html(F.col("text"))).mapInArrow(run, schema)
+    # tables and rows are read from it: each page is parsed once
+    found = hold(keep.where(has_html(F.col("text"))).mapInArrow(run, schema))
     ids = table_ids(F.col("doc_id"), F.col("table_index")).alias("table_id")
     tables = found.select(*table_columns(table_id=ids, source_file=F.col("source_file"), table_index=F.col("table_index"), extraction_method=F.lit("dataframe"), headers=F.col("headers")))
     rows = found.select(ids, F.posexplode("rows").alias("row_idx", "cells")).select("table_id", F.col("row_idx").cast("long").alias("row_idx"), "cells")

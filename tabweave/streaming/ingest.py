@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tabweave.operators import index
 from tabweave.plans.api import build_graphs, classify_tables, normalize_tables
-from tabweave.plans.shared import hold
+from tabweave.plans.shared import held_for_now, hold
 from tabweave.schema import GraphSet, TableSet
 from tabweave.sources import text_tables
 
@@ -21,21 +21,25 @@ DOCUMENTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("
 
 def tables_of(docs: DataFrame) -> TableSet:
     """The Markdown and HTML tables of documents; HTML tables come after a document's Markdown tables."""
-    md = text_tables.read_markdown(docs.where(~text_tables.has_html(F.col("text"))))
-    html = text_tables.read_html(docs)
+    # pipes on a page of HTML make a table only if there is a rule as well
+    marked = ~text_tables.has_html(F.col("text")) | text_tables.has_markdown(F.col("text"))
+    md = text_tables.read_markdown(docs.where(marked))
+    before = F.when(marked & F.col("text").contains("|"), F.size(text_tables.markdown_grids(F.col("text")))).otherwise(0)
+    html = text_tables.read_html(docs, first_index=F.coalesce(before, F.lit(0)))
     return TableSet(md.tables.unionByName(html.tables), md.rows.unionByName(html.rows))
 
 
 def ingest_batch(docs: DataFrame, out: str, batch_id: int) -> None:
     """Append the graphs and postings of one batch under ``out``/{graphs,nodes,edges,postings}/batch=N."""
-    found = normalize_tables(tables_of(docs))
-    ts = TableSet(hold(found.tables), hold(found.rows))
-    types = hold(classify_tables(ts))
-    if types.where("table_type <> 'unknown'").isEmpty():
-        return
-    gs = build_graphs(ts, types)
-    for name, df in (("graphs", gs.graphs), ("nodes", gs.nodes), ("edges", gs.edges), ("postings", index.postings(gs))):
-        df.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+    with held_for_now():
+        found = normalize_tables(tables_of(docs))
+        ts = TableSet(hold(found.tables), hold(found.rows))
+        types = hold(classify_tables(ts))
+        if types.where("table_type <> 'unknown'").isEmpty():
+            return
+        gs = build_graphs(ts, types)
+        for name, df in (("graphs", gs.graphs), ("nodes", gs.nodes), ("edges", gs.edges), ("postings", index.postings(gs))):
+            df.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
 
 
 def ingest_stream(spark: SparkSession, source: str, out: str, checkpoint: str, schema: T.StructType = DOCUMENTS, max_files: int = 64) -> StreamingQuery:

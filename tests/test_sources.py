@@ -64,6 +64,73 @@ def test_csv_and_tsv(spark, tmp_path):
     assert cells(api.extract_tables(spark, str(tmp_path / "a.tsv"))) == {0: [["a", "1"]]}
 
 
+def test_quoted_line_feeds_and_their_row_numbers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,said\n1,"one\ntwo"\n2,"a ""b"""\n3,last\n')
+    ts = api.extract_tables(spark, str(tmp_path / "a.csv"), api.PipelineConfig(normalizer_chain=[]))
+    assert cells(ts) == {0: [["1", "one\ntwo"], ["2", 'a "b"'], ["3", "last"]]}
+
+
+def test_a_spark_frame_keeps_its_order(spark):
+    df = spark.range(0, 400, 1, 5).orderBy(F.desc("id")).select((F.col("id") % 7).alias("a"), "id")
+    got = cells(api.extract_tables(spark, df, api.PipelineConfig(normalizer_chain=[])))
+    assert got == {0: [[str(i % 7), str(i)] for i in range(399, -1, -1)]}
+
+
+def test_rows_without_numbers(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "a long, b string")
+    with_numbers, without = (grids.from_spark(df, ["a"], 4, "t", numbered=n) for n in (True, False))
+    assert without.rows.select("row_idx").distinct().first()[0] is None
+    from tabweave.operators import classify
+
+    assert classify.classify(with_numbers).collect() == classify.classify(without).collect()
+
+
+def test_tables_of_documents_with_both_kinds(spark):
+    both = "| a | b |\n|---|---|\n| 1 | 2 |\n\n<table><tr><th>x</th></tr><tr><td>y</td></tr></table>"
+    docs = spark.createDataFrame([(1, both), (2, "<p>a | b</p><table><tr><td>z</td></tr></table>"), (3, "| k |\n|---|\n| v |"), (4, None)], "doc_id long, text string")
+    got = ingest.tables_of(docs)
+    room = text_tables.ROOM
+    assert cells(got) == {room: [["1", "2"]], room + 1: [["y"]], 2 * room: [["z"]], 3 * room: [["v"]]}
+    assert got.tables.count() == 4
+
+
+def merged_by_hand(tables):
+    """The tables of one document, one after the other."""
+    done = []
+    for t in sorted(tables, key=lambda t: (t["page_number"], t["table_index"])):
+        last = done[-1] if done else None
+        wide = lambda x: len(x["headers"][0]) if x["headers"] else len(x["rows"][0]) if x["rows"] else 0
+        if last and t["page_number"] == last["page_number"] + 1 and wide(t) == wide(last) > 0:
+            same = bool(last["headers"]) and last["headers"] == t["headers"]
+            if same or (last["y1"] or 0) > pages.CUT_OFF:
+                last["rows"] += t["rows"] if same else t["headers"] + t["rows"]
+                last["page_number"], last["y1"] = t["page_number"], t["y1"]
+                continue
+        done.append({**t, "rows": list(t["rows"])})
+    return [(t["page_number"], t["table_index"], t["headers"], t["rows"]) for t in done]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_continuations_equal_a_plain_loop(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    docs = {}
+    for d in range(30):
+        page, made = 1, []
+        for i in range(rnd.randrange(9)):
+            page += rnd.choice([0, 1, 1, 1, 2])
+            head = rnd.choice([[["a", "b"]], [["a", "b"]], [["c", "d"]], [["x"]], []])
+            made.append({"page_number": page, "table_index": i, "headers": head, "rows": [[f"{d}.{i}.{k}", "v"] for k in range(rnd.randrange(3))], "y1": rnd.choice([300.0, 750.0, None])})
+        docs[d] = made
+    rows = [(d, "f", t["page_number"], t["table_index"], None if t["y1"] is None else (0.0, 0.0, 1.0, t["y1"]), t["headers"], t["rows"]) for d, made in docs.items() for t in made]
+    frame = spark.createDataFrame(rows, "doc_id long, source_file string, page_number int, table_index int, bbox struct<x0:double,y0:double,x1:double,y1:double>, headers array<array<string>>, rows array<array<string>>")
+    got = {}
+    for r in pages.merge_continuations(frame).orderBy("doc_id", "page_number", "table_index").collect():
+        got.setdefault(r.doc_id, []).append((r.page_number, r.table_index, r.headers, r["rows"]))
+    assert got == {d: sorted(merged_by_hand(made), key=lambda t: t[:2]) for d, made in docs.items() if made}
+
+
 def test_large_grid_is_numbered_in_order(spark):
     df = spark.range(0, 5000, 1, 7).select((4999 - F.col("id")).alias("k"), (F.col("id") / 2).alias("v"))
     ts = grids.from_spark(df, ["k"])
