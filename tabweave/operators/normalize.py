@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from tabweave.functions.text import ISO_DATE, NUMERIC, SLASH_DATE, is_blank, squeeze, strip
+from tabweave.functions.text import ISO_DATE, NUMERIC, SLASH_DATE, squeeze, strip
 from tabweave.schema import CELL, TableSet
 
 
@@ -78,20 +76,27 @@ def header_similarity(a: Column, b: Column) -> Column:
 def multipage_stitch(ts: TableSet, by: str = "source_file", threshold: float = 0.8) -> TableSet:
     """Tables of one source, in order, whose first header row is like that of the chain before them, appended to it.
 
-    The fold sees the headers only; rows are moved by their new table id and place, and never gathered."""
+    The fold sees the headers only, and of neighbours with equal headers, which share their fate, one; rows are moved by their new table
+    id and place, and never gathered."""
     order = F.struct("page_number", "table_index", "table_id")
-    parts = ts.tables.withColumn("_by", F.col(by)).groupBy("_by").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("table_id").alias("id"), F.get("headers", F.lit(0)).alias("h")))).alias("t"))
-    kind = "struct<head:bigint,h:array<string>,ids:array<bigint>>"
-
-    def step(done: Column, t: Column) -> Column:
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & last["h"].isNotNull() & t["h"].isNotNull() & (header_similarity(last["h"], t["h"]) >= threshold)
-        more = F.struct(last["head"].alias("head"), last["h"].alias("h"), F.concat(last["ids"], F.array(t["id"])).alias("ids")).cast(kind)
-        new = F.struct(t["id"].alias("head"), t["h"].alias("h"), F.array(t["id"]).alias("ids")).cast(kind)
-        return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(more))).otherwise(F.concat(done, F.array(new)))
-
-    chains = parts.select(F.explode(F.aggregate("t", F.array().cast(f"array<{kind}>"), step)).alias("c"))
-    moved = chains.select("c.head", F.posexplode("c.ids").alias("nth", "table_id"))
+    t = ts.tables.select(F.col(by).alias("_by"), order.alias("o"), F.col("table_id").alias("id"), F.get("headers", F.lit(0)).alias("h"))
+    w = Window.partitionBy("_by").orderBy("o")
+    goes_on = F.coalesce((F.size("h") > 0) & (F.col("h") == F.lag("h").over(w)), F.lit(False))
+    t = t.withColumn("_run", F.sum(F.when(goes_on, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = t.groupBy("_by", "_run").agg(F.min("o").alias("o"), F.min_by("id", "o").alias("id"), F.min_by("h", "o").alias("h"))
+    parts = runs.groupBy("_by").agg(F.sort_array(F.collect_list(F.struct("_run", "id", "h"))).alias("t"))
+    kind = "struct<head:bigint,h:array<string>,done:array<struct<_run:bigint,head:bigint>>>"
+
+    def step(now: Column, x: Column) -> Column:
+        joins = F.coalesce(now["h"].isNotNull() & x["h"].isNotNull() & (header_similarity(now["h"], x["h"]) >= threshold), F.lit(False))
+        head = F.when(joins, now["head"]).otherwise(x["id"])
+        return F.struct(head.alias("head"), F.when(joins, now["h"]).otherwise(x["h"]).alias("h"), F.concat(now["done"], F.array(F.struct(x["_run"].alias("_run"), head.alias("head")))).alias("done")).cast(kind)
+
+    none = F.struct(F.lit(None).alias("head"), F.lit(None).alias("h"), F.array().alias("done")).cast(kind)
+    heads = parts.select("_by", F.explode(F.aggregate("t", none, step)["done"]).alias("x")).select("_by", "x.*")
+    same = (t["_by"].eqNullSafe(heads["_by"])) & (t["_run"] == heads["_run"])
+    joined = t.join(heads, same).select(F.col("head"), F.col("id").alias("table_id"), "o")
+    moved = joined.withColumn("nth", F.row_number().over(Window.partitionBy("head").orderBy("o")) - 1).drop("o")
     sizes = ts.rows.groupBy("table_id").agg((F.max("row_idx") + 1).alias("n"))
     w = Window.partitionBy("head").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     offsets = moved.join(sizes, "table_id", "left").withColumn("before", F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(w), F.lit(0))).select("table_id", "head", "before")
@@ -101,9 +106,3 @@ def multipage_stitch(ts: TableSet, by: str = "source_file", threshold: float = 0
 
 #: The names that a chain of normalizers is made of.
 DEFAULT_CHAIN = ("whitespace", "merged_cells", "data_types")
-
-
-def drop_blank_values(ts: TableSet) -> TableSet:
-    """Cells without text become null; a helper for hand-made corpora."""
-    cells = F.transform("cells", lambda c: F.when(is_blank(c["v"]), F.struct(F.lit(None).cast("string").alias("v"), F.lit("none").alias("t"))).otherwise(c).cast(CELL))
-    return replace(ts, rows=ts.rows.withColumn("cells", cells))

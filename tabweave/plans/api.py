@@ -98,7 +98,7 @@ class GridExtractor:
 
     def extract(self, spark: SparkSession, source: Any, config: PipelineConfig | None = None) -> TableSet:
         if isinstance(source, DataFrame):
-            return grids.from_spark(source, list(source.columns))
+            return grids.from_spark(source, None)
         if not isinstance(source, (str, Path, list)):
             return grids.from_pandas(spark, source)
         if isinstance(source, list):
@@ -166,7 +166,7 @@ def build_graphs(ts: TableSet, types: DataFrame | None = None) -> GraphSet:
     return GraphSet(gs.graphs, hold(gs.nodes), hold(gs.edges))
 
 
-def table_to_graph(spark: SparkSession, source: Any, fmt: str = "markdown", classifier: str = "heuristic", config: PipelineConfig | None = None, depth: int | None = None) -> DataFrame:
+def export_graphs(spark: SparkSession, source: Any, fmt: str = "markdown", classifier: str = "heuristic", config: PipelineConfig | None = None, depth: int | None = None) -> DataFrame:
     """graph_id, text of every table of a source, as a graph in a format."""
     ts = extract_tables(spark, source, config)
     return registry.serializers.get(fmt)(build_graphs(ts, classify_tables(ts, classifier)), depth)
@@ -265,12 +265,20 @@ def evaluate(contexts: DataFrame, targets: DataFrame) -> DataFrame:
 def latency_stats(times: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Mean, median and 95th percentile (elements n/2 and 0.95 n of the sorted values) per group and in total (all of ``by`` null).
 
-    Ranks come from the counts of distinct values, so a group with many equal values is one row per value."""
+    Ranks come from the counts of distinct values. These are sorted by group and value over ranges; counts are summed in each part and
+    moved on by the sums of the parts before, so neither a large group nor the total is one task."""
     counted = times.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("k"))
     sets = counted.select(*by, value, "k", F.lit(0).alias("is_total")).unionByName(counted.groupBy(value).agg(F.sum("k").alias("k")).select(*[F.lit(None).cast(times.schema[b].dataType).alias(b) for b in by], value, "k", F.lit(1).alias("is_total")))
     key = [*by, "is_total"]
-    up = Window.partitionBy(*key).orderBy(value)
-    total = Window.partitionBy(*key)
-    ranked = sets.withColumns({"upto": F.sum("k").over(up.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("k").over(total)})
-    at = lambda i: F.min(F.when(F.col("upto") > i, F.col(value)))
-    return ranked.groupBy(*key).agg(F.max("n").alias("n"), (F.sum(F.col(value) * F.col("k")) / F.max("n")).alias("mean"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.col("n") * 0.95)).alias("p95"))
+    held = hold(sets.orderBy(*key, value).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    parts = held.groupBy("_part").agg(F.sum("k").alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.withColumn("_before", before).select("_part", "_before")
+    inside = F.sum("k").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    upto = held.withColumn("_inside", inside).join(offsets, "_part").withColumn("_upto", F.col("_before") + F.col("_inside"))
+    groups = upto.groupBy(*key).agg(F.sum("k").alias("n"), F.min(F.col("_upto") - F.col("k")).alias("_base"), F.sum(F.col(value) * F.col("k")).alias("_sum"))
+    # groups may be null: they are joined as one struct
+    of = lambda df: df.withColumn("_g", F.struct(*key))
+    ranked = of(upto).drop(*key).join(of(groups), "_g").withColumn("_rank", F.col("_upto") - F.col("_base"))
+    at = lambda i: F.min(F.when(F.col("_rank") > i, F.col(value)))
+    return ranked.groupBy(*key).agg(F.max("n").alias("n"), (F.max("_sum") / F.max("n")).alias("mean"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.col("n") * 0.95)).alias("p95"))
