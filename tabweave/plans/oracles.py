@@ -45,10 +45,22 @@ from (select user_id, event_id, case event_type when 'click' then null when 'err
 window w as (partition by user_id order by event_id rows between unbounded preceding and current row)"""
 ORACLES["detect_types"] = f"with {_cells()} select table_id::bigint as table_id, col_idx::int as col_idx, {_DATA_TYPE} as data_type, count(*) as n from c group by 1, 2, 3"
 ORACLES["header_similarity"] = f"""
-with {_cells()}, p as (select distinct table_id, lower(unnest(string_split(name, '_'))) as x from h), k as (select table_id, count(*) as n from p group by 1)
-select a.table_id::bigint as a, b.table_id::bigint as b, (select count(*) from p x join p y on x.x = y.x where x.table_id = a.table_id and y.table_id = b.table_id)
-  / (a.n + b.n - (select count(*) from p x join p y on x.x = y.x where x.table_id = a.table_id and y.table_id = b.table_id)) as similarity
-from k a join k b on a.table_id < b.table_id"""
+with {_cells()}, p as (select distinct table_id, lower(unnest(string_split(name, '_'))) as x from h), k as (select table_id, count(*) as n from p group by 1),
+m as (select x.table_id as a, y.table_id as b, count(*) as c from p x join p y on x.x = y.x and x.table_id < y.table_id group by 1, 2)
+select a::bigint as a, b::bigint as b, c / (ka.n + kb.n - c) as similarity from m join k ka on ka.table_id = a join k kb on kb.table_id = b"""
+ORACLES["merged_cells_table"] = """
+with e as (
+  select row_number() over (order by event_id) - 1 as row_idx, event_id::varchar as event_id, case event_type when 'click' then null when 'error' then '' else event_type end as kind, case when event_id % 3 = 1 then value::varchar end as value from events)
+select row_idx, event_id, coalesce(last_value(nullif(kind, '') ignore nulls) over w, first_value(kind) over w) as kind, coalesce(last_value(value ignore nulls) over w, first_value(value) over w) as value
+from e window w as (order by row_idx rows between unbounded preceding and current row)"""
+ORACLES["stitched_tables"] = """
+with recursive t as (select n_regionkey as d, n_nationkey as id, n_name as name, row_number() over (partition by n_regionkey order by n_nationkey) as p from nation),
+f(d, p, head, first, other, name, nth) as (
+  select d, p, id, p, p % 3 = 0, name, 0 from t where p = 1
+  union all
+  select t.d, t.p, case when (t.p % 3 = 0) = f.other then f.head else t.id end, case when (t.p % 3 = 0) = f.other then f.first else t.p end, t.p % 3 = 0, t.name, case when (t.p % 3 = 0) = f.other then f.nth + 1 else 0 end
+  from f join t on t.d = f.d and t.p = f.p + 1)
+select head::bigint as table_id, first::int as page_number, nth::bigint as row_idx, name from f"""
 
 _PROFILE = f"""{_cells()},
 s as (select *, {_strip("coalesce(v, '')")} as s from c),
@@ -118,6 +130,22 @@ select 0::bigint as graph_id, 'time_' || j as node_id, (j - 1)::bigint as node_o
 ORACLES["edge_labels_text"] = f"""with {_YEARS}
 select 'time_' || j as src, 'time_' || (j + 1) as dst, '[NEXT]' as relation from cl, k where j < k
 union all select 'metric_' || i, 'time_' || j, '[AT_TIME (value=' || v || ', metric=' || r || ', period=' || c || ')]' from g"""
+ORACLES["comparison_graph_nodes"] = f"""with {_BRANDS}
+select 0::bigint as graph_id, 'entity_' || j as node_id, (j - 1)::bigint as node_ord, 'Entity' as label, 'name=' || c as props from cl union all select 0, 'attr_' || i, k + i, 'Attribute', 'name=' || r from rw, k"""
+ORACLES["graphml_text"] = f"""with {_YEARS},
+n as (select 'time_' || j as id, j - 1 as o, 'TimePoint' as label, 'period' as k, c as v from cl union all select 'metric_' || i, k + i, 'Metric', 'name', r from rw, k),
+nl as (
+  select string_agg('    <node id="' || id || '">' || chr(10) || '      <data key="node_label">' || label || '</data>' || chr(10) || '      <data key="node_' || n.k || '">' || v || '</data>' || chr(10)
+    || '      <data key="node__source_file">orders</data>' || chr(10) || '      <data key="node__table_index">0</data>' || chr(10) || '    </node>', chr(10) order by o) as t from n),
+e as (
+  select 'time_' || j as a, 'time_' || (j + 1) as b, j - 1 as o, 0 as q, '' as more, 'NEXT' as label from cl, k where j < k
+  union all select 'metric_' || i, 'time_' || j, k + i, j, chr(10) || '      <data key="edge_value">' || v || '</data>' || chr(10) || '      <data key="edge_metric">' || r || '</data>' || chr(10) || '      <data key="edge_period">' || c || '</data>', 'AT_TIME' from g, k),
+el as (select string_agg('    <edge source="' || a || '" target="' || b || '">' || chr(10) || '      <data key="edge_label">' || label || '</data>' || more || chr(10) || '    </edge>', chr(10) order by o, q) as t from e),
+kl as (
+  select string_agg('  <key id="' || f || '_' || k || '" for="' || f || '" attr.name="' || k || '" attr.type="string"/>', chr(10) order by f, k) as t
+  from (values ('edge', 'label'), ('edge', 'metric'), ('edge', 'period'), ('edge', 'value'), ('node', '_source_file'), ('node', '_table_index'), ('node', 'label'), ('node', 'name'), ('node', 'period')) x(f, k))
+select 0::bigint as graph_id, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' || chr(10) || kl.t || chr(10) || '  <graph edgedefault="directed">' || chr(10)
+  || nl.t || chr(10) || el.t || chr(10) || '  </graph>' || chr(10) || '</graphml>' as text from kl, nl, el"""
 ORACLES["wide_table"] = 'select distinct o_orderpriority as "Priority" from orders'
 ORACLES["wide_table_cells"] = f"""with {_YEARS} select r as "Priority", c as "year", v as "orders" from g"""
 
@@ -142,6 +170,11 @@ o as (select id, min(o) as o from (select r as id, i as o from rw union all sele
 x as (select least(r, c) as a, greatest(r, c) as b, arg_min(v, i * {1 << 20} + j) as v, min(i * {1 << 20} + j) as seq from g where r <> c and v <> 'None' and v <> '0' group by 1, 2)
 select 0::bigint as graph_id, case when oa.o < ob.o then a else b end as src, case when oa.o < ob.o then b else a end as dst, least(oa.o, ob.o)::bigint as src_ord, seq::bigint as seq, 'CONNECTED' as label, 'weight=' || v || '.0|value=' || v as props
 from x join o oa on oa.id = a join o ob on ob.id = b"""
+ORACLES["matrix_graph_nodes"] = f"""with {_TRADE}, o as (select id, min(o) as o from (select r as id, i as o from rw union all select c, j + {1 << 40} from cl) group by 1)
+select 0::bigint as graph_id, id as node_id, o::bigint as node_ord, 'Node' as label, 'name=' || id as props from o"""
+ORACLES["relational_graph_nodes"] = """
+select 0::bigint as graph_id, 'entity_' || r as node_id, r::bigint as node_ord, 'Entity' as label, 'conv_id=' || conv_id || '|turn=' || turn || '|role=' || role || '|_entity_type=conv_id' as props
+from (select *, row_number() over (order by conv_id, turn) - 1 as r from conversations)"""
 ORACLES["relational_graph_edges"] = """
 with c as (select conv_id, row_number() over (order by conv_id, turn) - 1 as r from conversations), l as (select conv_id, max(r) as t from c group by 1)
 select 0::bigint as graph_id, 'entity_' || r as src, 'entity_' || t as dst, r::bigint as src_ord, 0::bigint as seq, 'REFERENCES' as label, 'via_column=conv_id' as props from c join l using (conv_id) where r <> t"""
@@ -176,6 +209,15 @@ px as (select token, node_id, min({{'kind': kind, 'ord': ord, 'seq': seq, 'endpo
 ORACLES["postings"] = f"with {_POSTINGS} select token, 0::bigint as graph_id, node_id, 1.0::double as weight, place.kind as kind, place.ord as ord, place.seq as seq, place.endpoint as endpoint from px"
 
 
+ORACLES["context_weights"] = f"""with {_KV},
+own as (
+  select 'entity_0' as node_id, unnest(list_concat({_tokens("'entity_0'")}, ['label', 'entity', 'name', 'nation', 'has', 'property', 'key', 'value'])) as token
+  union select 'entity_0', unnest({_tokens("n_name || ' ' || n_regionkey")}) from n
+  union select 'prop_' || r, unnest(list_concat({_tokens("'prop_' || r || ' ' || n_name || ' ' || n_regionkey")}, ['label', 'property', 'has', 'key', 'value'])) from n),
+said as (select unnest(list_distinct({_tokens("'Every nation with its region, as of 1997: FRANCE, GERMANY'")})) as token), ids as (select 'entity_0' as node_id union all select 'prop_' || r from n)
+select token, node_id, 1.0::double as weight from own union all select token, node_id, 0.5::double from said, ids where not exists (select 1 from own where own.token = said.token and own.node_id = ids.node_id)"""
+
+
 def _search(k: int) -> str:
     return f"""{_POSTINGS},
 qt as (select s_suppkey as query_id, {_tokens("'What is the balance of ' || s_name")} as ts from supplier),
@@ -238,6 +280,17 @@ blocks as (
   select s.query_id, string_agg('### Category: ' || sh || ' (relevance: ' || printf('%.2f', score) || ')' || coalesce(chr(10) || '  Connected to:' || chr(10) || t, '') || chr(10), chr(10) order by s.rank) as text
   from seeds s join dn on dn.id = s.node_id left join cn on cn.query_id = s.query_id and cn.rank = s.rank group by 1)"""
 ORACLES["node_centric_context"] = f"{_NODE_TEXT} select s_suppkey as query_id, {_HEAD.format('node-centric')} || text as context from supplier join blocks on blocks.query_id = s_suppkey"
+ORACLES["path_centric_context"] = f"""{_found(3, 1)}, {_SHOW},
+both_ways as (select query_id, src as u, dst as v, label, 0 as way from fe union all select query_id, dst, src, label, 1 from fe),
+rel as (select query_id, u, v, arg_min(label, way) as label from both_ways group by 1, 2, 3),
+pr as (select a.query_id, a.rank as i, b.rank as j, a.node_id as a, b.node_id as z from seeds a join seeds b on a.query_id = b.query_id and a.rank < b.rank),
+md as (select pr.query_id, i, j, min(x.v) as m from pr join rel x on x.query_id = pr.query_id and x.u = a join rel y on y.query_id = pr.query_id and y.u = x.v and y.v = z group by 1, 2, 3),
+st as (select pr.query_id, pr.i, pr.j, a, z, case when d.label is not null then null else m end as m, d.label as direct from pr left join rel d on d.query_id = pr.query_id and d.u = a and d.v = z left join md on md.query_id = pr.query_id and md.i = pr.i and md.j = pr.j),
+pl2 as (
+  select st.query_id, i, j, 'Path: ' || da.sh || ' —[' || case when direct is not null then direct else x.label || ']→ ' || dm.sh || ' —[' || y.label end || ']→ ' || dz.sh as line
+  from st join dn da on da.id = a join dn dz on dz.id = z left join dn dm on dm.id = m left join rel x on x.query_id = st.query_id and x.u = a and x.v = m left join rel y on y.query_id = st.query_id and y.u = m and y.v = z
+  where direct is not null or m is not null)
+select s_suppkey as query_id, {_HEAD.format('path-centric')} || (select string_agg(line, chr(10) order by i, j) from pl2 where pl2.query_id = s_suppkey) || chr(10) as context from supplier"""
 ORACLES["hit_rate"] = f"""{_NODE_TEXT},
 x as (select s_nationkey, contains(lower(text), 'balance=' || s_acctbal::varchar) as hit from supplier join blocks on blocks.query_id = s_suppkey)
 select s_nationkey, count(*) as asked, sum(hit::int)::bigint as hits from x group by rollup (s_nationkey)"""
@@ -247,8 +300,8 @@ with ch as (
   select 0 as t, row_number() over (order by r_regionkey) as i, 'region' as name, 'r_regionkey | r_name' as h, r_regionkey || ' | ' || r_name as cells from region
   union all select 1, row_number() over (order by n_nationkey), 'nation', 'n_nationkey | n_name | n_regionkey', n_nationkey || ' | ' || n_name || ' | ' || n_regionkey from nation
   union all select 2, row_number() over (order by s_suppkey), 'supplier', 's_suppkey | s_name | s_nationkey | s_acctbal', s_suppkey || ' | ' || s_name || ' | ' || s_nationkey || ' | ' || s_acctbal from supplier),
-c as (select t, i, '[' || name || ' Row ' || i || '] ' || h || ' => ' || cells as chunk from ch),
-x as (select s_suppkey as query_id, t, i, chunk, len(list_filter(string_split(lower('What is the balance of ' || s_name), ' '), lambda w: contains(lower(chunk), w)))::bigint as score from supplier, c)
+c as (select t, i, '[' || name || ' Row ' || (i - 1) || '] ' || h || ' => ' || cells as chunk from ch),
+x as (select s_suppkey as query_id, t, i, chunk, len(list_filter(list_distinct(string_split(lower('What is the balance of ' || s_name), ' ')), lambda w: contains(lower(chunk), w)))::bigint as score from supplier, c)
 select query_id, score, chunk from x where score > 0 qualify row_number() over (partition by query_id order by score desc, t, i) = 1"""
 ORACLES["latency_stats"] = """
 with e as (select event_type, 0 as is_total, value from events union all select null, 1, value from events), g as (select event_type, is_total, list(value order by value) as v from e group by 1, 2)
@@ -266,6 +319,12 @@ select 1::bigint as graph_id, 0 as section, 0::bigint as a, 0::bigint as b, '##
 union all select 1, 2, 0, 0, '### Nodes' || chr(10) union all select 1, 3, 0, 0, '  - **Entity** `entity_0`: name: Nation' union all select 1, 3, r + 1, 0, '  - **Property** `prop_' || r || '`: key: ' || n_name || ', value: ' || n_regionkey from n where r + 1 < 10
 union all select 1, 4, 0, 0, '  - ... (' || (count(*) + 1 - 10) || ' more nodes)' from n union all select 1, 5, 0, 0, chr(10) || '### Relationships' || chr(10)
 union all select 1, 6, 0, r, '  - `entity_0` —[HAS_PROPERTY]→ `prop_' || r || '`: key: ' || n_name || ', value: ' || n_regionkey from n where r < 10 union all select 1, 7, 0, 0, '  - ... (' || (count(*) - 10) || ' more relationships)' from n union all select 1, 8, 0, 0, ''"""
+ORACLES["json_text"] = f"""with {_KV},
+x as (
+  select string_agg('{{"id":"prop_' || r || '","label":"Property","key":"' || n_name || '","value":"' || n_regionkey || '"}}', ',' order by r) as nodes, count(*) as c,
+    string_agg('{{"source":"entity_0","target":"prop_' || r || '","label":"HAS_PROPERTY","key":"' || n_name || '","value":"' || n_regionkey || '"}}', ',' order by r) as edges from n)
+select 1::bigint as graph_id, '{{"metadata":{{"source_file":"nation","table_index":0,"table_type":"key_value","confidence":1.0,"node_count":' || (c + 1) || ',"edge_count":' || c || ',"graph_type":"digraph"}},"nodes":[{{"id":"entity_0","label":"Entity","name":"Nation"}},'
+  || nodes || '],"edges":[' || edges || ']}}' as text from x"""
 ORACLES["graph_summary"] = """
 select 1::bigint as graph_id, 'TableGraph: ' || (count(*) + 1) || ' nodes, ' || count(*) || ' edges' || chr(10) || '  Type: digraph' || chr(10) || '  Classification: key_value (confidence=1.00)' || chr(10) || '  Source: nation pNone' || chr(10)
   || '  Node types: Entity, Property' || chr(10) || '  Edge types: HAS_PROPERTY' as text from nation"""
@@ -283,6 +342,8 @@ select doc_id * 1048576 + tbl as table_id, row_idx, array_to_string(cells, '¦')
 ORACLES["html_table_parse"] = """
 with s as (select *, row_number() over (partition by s_nationkey order by s_suppkey) - 1 as r from supplier)
 select s_nationkey::bigint as doc_id, r as row_idx, unnest(range(3))::int as col_idx, unnest([s_suppkey::varchar, s_name, s_acctbal::varchar]) as v, unnest(['int', 'str', 'float']) as t from s"""
+ORACLES["html_pages"] = """
+select page_id, unnest([0, 0, 1, 1])::bigint as row_idx, unnest([0, 1, 0, 1])::int as col_idx, unnest(['id', page_id::varchar, 'url', regexp_replace(url, '\\s+', ' ', 'g')]) as v, 'str' as t from pages where contains(html, '</body>')"""
 ORACLES["header_rows"] = """
 select n_regionkey::bigint as doc_id, (case when n_regionkey % 2 = 0 then 2 else 3 end)::int as n_headers, count(*)::int as n_rows, n_regionkey % 2 = 1 as staggered from nation group by n_regionkey"""
 ORACLES["continuation_merge"] = """

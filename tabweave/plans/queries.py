@@ -38,12 +38,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> TableSet:
-    """The driver's tables as one TableSet."""
+def corpus(spark: SparkSession, sf_dir: str, names: list[str] | None = None, numbered: bool = True) -> TableSet:
+    """The driver's tables as one TableSet; without row numbers where no operator reads them."""
     parts = []
     for name in names or list(GRIDS):
         table_id, order, columns = GRIDS[name]
-        parts.append(grids.from_spark(read(spark, sf_dir, name).select(*columns), order, table_id, name))
+        parts.append(grids.from_spark(read(spark, sf_dir, name).select(*columns), order, table_id, name, numbered=numbered))
     tables, rows = parts[0].tables, parts[0].rows
     for p in parts[1:]:
         tables, rows = tables.unionByName(p.tables), rows.unionByName(p.rows)
@@ -146,16 +146,37 @@ def merged_cell_fill(spark, sf_dir):
 
 @query
 def detect_types(spark, sf_dir):
-    cells = corpus(spark, sf_dir).cells().withColumn("data_type", normalize.data_type(F.col("v"), F.col("t")))
+    cells = corpus(spark, sf_dir, numbered=False).cells().withColumn("data_type", normalize.data_type(F.col("v"), F.col("t")))
     return cells.groupBy("table_id", "col_idx", "data_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def header_similarity(spark, sf_dir):
-    """How alike the header rows of all pairs of the driver's tables are, by their parts between underscores."""
-    t = corpus(spark, sf_dir).tables.select("table_id", F.flatten(F.transform(F.get("headers", F.lit(0)), lambda h: F.split(h, "_"))).alias("h"))
-    a, b = t.select(F.col("table_id").alias("a"), F.col("h").alias("ha")), t.select(F.col("table_id").alias("b"), F.col("h").alias("hb"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", normalize.header_similarity(F.col("ha"), F.col("hb")).alias("similarity"))
+    """How alike the header rows of the driver's tables are, by their parts between underscores, for pairs of tables that share any."""
+    t = corpus(spark, sf_dir, numbered=False).tables.select("table_id", F.flatten(F.transform(F.get("headers", F.lit(0)), lambda h: F.split(h, "_"))).alias("h"))
+    part = t.select("table_id", F.explode(F.array_distinct(F.transform("h", F.lower))).alias("part"))
+    met = part.withColumnRenamed("table_id", "a").join(part.withColumnRenamed("table_id", "b"), "part").where("a < b").select("a", "b").distinct()
+    of = lambda x: t.select(F.col("table_id").alias(x), F.col("h").alias(f"h{x}"))
+    return met.join(of("a"), "a").join(of("b"), "b").select("a", "b", normalize.header_similarity(F.col("ha"), F.col("hb")).alias("similarity"))
+
+
+@query
+def merged_cells_table(spark, sf_dir):
+    """The gaps of a whole table filled from above, column by column."""
+    gaps = read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "click", None).when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("kind"), F.when(F.col("event_id") % 3 == 1, F.col("value").cast("string")).alias("value"))
+    ts = normalize.merged_cells(grids.from_spark(gaps, ["event_id"], 0, "events"))
+    return ts.rows.select("row_idx", *[F.get("cells", F.lit(i))["v"].alias(k) for i, k in enumerate(("event_id", "kind", "value"))])
+
+
+@query
+def stitched_tables(spark, sf_dir):
+    """The nations of each region as tables of one row on pages that follow each other, stitched where headers are alike."""
+    n = read(spark, sf_dir, "nation").withColumn("page", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).cast("int"))
+    head = F.when(F.col("page") % 3 == 0, F.array(F.lit("other"), F.lit("names"))).otherwise(F.array(F.lit("Key "), F.lit("name")))
+    tables = n.select(*text_tables.table_columns(table_id=F.col("n_nationkey"), source_file=F.col("n_regionkey").cast("string"), page_number=F.col("page"), table_index=F.lit(0), headers=F.array(head)))
+    rows = n.select(F.col("n_nationkey").cast("long").alias("table_id"), F.lit(0).cast("long").alias("row_idx"), F.array(F.struct(F.col("n_name").alias("v"), F.lit("str").alias("t"))).alias("cells"))
+    got = normalize.multipage_stitch(TableSet(tables, rows))
+    return got.rows.join(got.tables.select("table_id", "page_number"), "table_id").select("table_id", "page_number", "row_idx", F.get("cells", F.lit(0))["v"].alias("name"))
 
 
 # Features and classification.
@@ -163,18 +184,18 @@ def header_similarity(spark, sf_dir):
 
 @query
 def column_profile(spark, sf_dir):
-    return classify.column_profile(corpus(spark, sf_dir).cells())
+    return classify.column_profile(corpus(spark, sf_dir, numbered=False).cells())
 
 
 @query
 def table_features(spark, sf_dir):
-    f = classify.features(corpus(spark, sf_dir))
+    f = classify.features(corpus(spark, sf_dir, numbered=False))
     return f.select("table_id", "num_rows", "num_cols", "header_levels", "row_col_ratio", "is_square", F.array_join("col_types", ",").alias("col_types"), F.array_max("col_uniqueness").alias("max_uniqueness"), "numeric_density", "col0_label_ratio", "indent_ratio", "numbered_ratio", "temporal_headers", F.size("key_columns").alias("key_columns"), "header_overlap")
 
 
 @query
 def classify_tables(spark, sf_dir):
-    got = classify.classify(corpus(spark, sf_dir))
+    got = classify.classify(corpus(spark, sf_dir, numbered=False))
     return got.select("table_id", "table_type", "confidence", F.array_join("secondary_types", ",").alias("secondary"), *[F.col("scores")[k].alias(k) for k in classify.ARCHETYPES])
 
 
@@ -196,6 +217,22 @@ def comparison_graph_edges(spark, sf_dir):
     return plain_edges(one_type(brand_grid(spark, sf_dir), "comparison"))
 
 
+@query
+def comparison_graph_nodes(spark, sf_dir):
+    return plain_nodes(one_type(brand_grid(spark, sf_dir), "comparison"))
+
+
+@query
+def matrix_graph_nodes(spark, sf_dir):
+    return plain_nodes(one_type(trade_grid(spark, sf_dir), "matrix"))
+
+
+@query
+def relational_graph_nodes(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return plain_nodes(one_type(grids.from_spark(rows, ["conv_id", "turn"], 0, "conversations"), "relational"))
+
+
 @query
 def timeseries_graph_edges(spark, sf_dir):
     return plain_edges(one_type(year_grid(spark, sf_dir), "time_series"))
@@ -265,6 +302,14 @@ def postings(spark, sf_dir):
     return p.select("token", "graph_id", "node_id", "weight", F.col("place.kind").alias("kind"), F.col("place.ord").alias("ord"), F.col("place.seq").alias("seq"), F.col("place.end").alias("endpoint"))
 
 
+@query
+def context_weights(spark, sf_dir):
+    """The index of a graph whose table has words around it: they weigh half as much as a node's own."""
+    ts = nation_grid(spark, sf_dir)
+    said = TableSet(ts.tables.withColumn("context", F.lit("Every nation with its region, as of 1997: FRANCE, GERMANY")), ts.rows)
+    return index.postings(one_type(said, "key_value")).select("token", "node_id", "weight")
+
+
 @query
 def keyword_search_topk(spark, sf_dir):
     return index.search(index.postings(place_graph(spark, sf_dir)), supplier_queries(spark, sf_dir), 5)
@@ -441,6 +486,16 @@ def html_table_parse(spark, sf_dir):
     return cells.select((F.col("table_id") / text_tables.ROOM).cast("long").alias("doc_id"), "row_idx", "col_idx", "v", "t")
 
 
+@query
+def html_pages(spark, sf_dir):
+    """All pages, as they are but for a table that names the page; every table found in them, cell by cell."""
+    url = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    named = F.concat(F.lit("<table><thead><tr><th>part</th><th>of the page</th></tr></thead><tr><td>id</td><td>"), F.col("page_id").cast("string"), F.lit("</td></tr><tr><td>url</td><td><a href='#'>"), url, F.lit("</a></td></tr></table></body>"))
+    docs = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.replace(F.col("html"), F.lit("</body>"), named).alias("text"))
+    cells = text_tables.read_html(docs).cells()
+    return cells.select((F.col("table_id") / text_tables.ROOM).cast("long").alias("page_id"), "row_idx", "col_idx", "v", "t")
+
+
 @query
 def header_rows(spark, sf_dir):
     """Header rows of raw grids: the nations of each region, below a name row and a row that begins blank for even regions."""
