@@ -57,7 +57,15 @@ def search(index: DataFrame, queries: DataFrame, max_results: int = 50) -> DataF
     """query_id, rank (from 1), graph_id, node_id, score: the best nodes of each query.
 
     A score is the sum of the weights of the query's distinct tokens, over the number of its tokens. Equal scores keep the order in
-    which the nodes are met: by the query's tokens, then by place. queries: query_id, query.
+    which the nodes are met: by the query's tokens, then by place. queries: query_id, query."""
+    tokens_of = query_tokens(queries)
+    ranked = best_nodes(index, tokens_of, max_results)
+    return ranked.join(tokens_of.groupBy("query_id").agg(F.first("n").alias("n")), "query_id").select("query_id", "rank", "graph_id", "node_id", (F.col("sum") / F.col("n")).alias("score"))
+
+
+def best_nodes(index: DataFrame, tokens_of: DataFrame, max_results: int) -> DataFrame:
+    """query_id, rank, graph_id, node_id, sum: for each query the nodes with the largest sums of the weights of its tokens, ties by the least
+    (pos, graph_id, place). tokens_of: query_id, token, pos, one row a token.
 
     Not every pair of a query and a node that share a token is scored:
 
@@ -68,7 +76,6 @@ def search(index: DataFrame, queries: DataFrame, max_results: int = 50) -> DataF
        all queries that have the same other tokens at the same places, and only the ``max_results`` best are handed to them. A node
        beyond these has as many others before it in every such query, as rare tokens can only add to a sum or bring a node forward.
     """
-    tokens_of = query_tokens(queries)
     # the lists of the tokens that are asked for, read several times
     lists = hold(index.join(tokens_of.select("token").distinct(), "token", "left_semi"))
     sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("nodes"), F.max("weight").alias("most"))
@@ -97,7 +104,7 @@ def search(index: DataFrame, queries: DataFrame, max_results: int = 50) -> DataF
     far = far.withColumn("nth", F.row_number().over(best("like"))).where(F.col("nth") <= max_results).drop("nth")
     both = near.unionByName(alike.select("query_id", "like").join(far, "like").drop("like")).groupBy("query_id", *node).agg(F.max("sum").alias("sum"), F.min("first").alias("first"))
     ranked = both.withColumn("rank", F.row_number().over(best("query_id"))).where(F.col("rank") <= max_results)
-    return ranked.join(tokens_of.groupBy("query_id").agg(F.first("n").alias("n")), "query_id").select("query_id", "rank", *node, (F.col("sum") / F.col("n")).alias("score"))
+    return ranked.select("query_id", "rank", *node, "sum")
 
 
 def flat_chunks(gs_tables: DataFrame, rows: DataFrame) -> DataFrame:
@@ -126,7 +133,8 @@ def best_chunk(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     gram = F.substring("word", 1, GRAM)
     by_gram = parts.select("part").distinct().select("part", F.explode(F.array_distinct(F.concat(*[grams(n) for n in range(1, GRAM + 1)]))).alias("gram"))
     has = words.select("word", gram.alias("gram")).distinct().join(by_gram, "gram").where(F.expr("contains(part, word)")).select("part", "word")
-    met = parts.join(has, "part").select("chunk_id", "word").distinct().join(words, "word")
-    scored = met.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("score"))
-    best = scored.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "chunk_id")).alias("b"))
-    return best.select("query_id", F.col("b.chunk_id").alias("chunk_id"), (-F.col("b.minus")).alias("score")).join(chunks, "chunk_id")
+    zero = F.lit(0).cast("long")
+    met = parts.join(has, "part").select(F.col("word").alias("token"), zero.alias("graph_id"), F.col("chunk_id").alias("node_id")).distinct()
+    lists = met.select("*", F.lit(1.0).alias("weight"), F.col("node_id").alias("place"))
+    best = best_nodes(lists, words.select("query_id", F.col("word").alias("token"), F.lit(0).alias("pos")), 1)
+    return best.select("query_id", F.col("node_id").alias("chunk_id"), F.col("sum").cast("long").alias("score")).join(chunks, "chunk_id")

@@ -146,7 +146,6 @@ kl as (
   from (values ('edge', 'label'), ('edge', 'metric'), ('edge', 'period'), ('edge', 'value'), ('node', '_source_file'), ('node', '_table_index'), ('node', 'label'), ('node', 'name'), ('node', 'period')) x(f, k))
 select 0::bigint as graph_id, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' || chr(10) || kl.t || chr(10) || '  <graph edgedefault="directed">' || chr(10)
   || nl.t || chr(10) || el.t || chr(10) || '  </graph>' || chr(10) || '</graphml>' as text from kl, nl, el"""
-ORACLES["wide_table"] = 'select distinct o_orderpriority as "Priority" from orders'
 ORACLES["wide_table_cells"] = f"""with {_YEARS} select r as "Priority", c as "year", v as "orders" from g"""
 
 _PLACES = """pl as (
@@ -295,12 +294,13 @@ ORACLES["hit_rate"] = f"""{_NODE_TEXT},
 x as (select s_nationkey, contains(lower(text), 'balance=' || s_acctbal::varchar) as hit from supplier join blocks on blocks.query_id = s_suppkey)
 select s_nationkey, count(*) as asked, sum(hit::int)::bigint as hits from x group by rollup (s_nationkey)"""
 
-ORACLES["flat_chunk_best"] = """
-with ch as (
-  select 0 as t, row_number() over (order by r_regionkey) as i, 'region' as name, 'r_regionkey | r_name' as h, r_regionkey || ' | ' || r_name as cells from region
-  union all select 1, row_number() over (order by n_nationkey), 'nation', 'n_nationkey | n_name | n_regionkey', n_nationkey || ' | ' || n_name || ' | ' || n_regionkey from nation
-  union all select 2, row_number() over (order by s_suppkey), 'supplier', 's_suppkey | s_name | s_nationkey | s_acctbal', s_suppkey || ' | ' || s_name || ' | ' || s_nationkey || ' | ' || s_acctbal from supplier),
-c as (select t, i, '[' || name || ' Row ' || (i - 1) || '] ' || h || ' => ' || cells as chunk from ch),
+_CHUNKS = " union all ".join(
+    f"select {t} as t, row_number() over (order by {', '.join(order)}) - 1 as i, '{name}' as name, '{' | '.join(columns)}' as h, concat_ws(' | ', {', '.join(f"coalesce({c}::varchar, 'None')" for c in columns)}) as cells from {name}"
+    for name, (t, order, columns) in GRIDS.items()
+)
+ORACLES["flat_chunk_best"] = f"""
+with ch as ({_CHUNKS}),
+c as (select t, i, '[' || name || ' Row ' || i || '] ' || h || ' => ' || cells as chunk from ch),
 x as (select s_suppkey as query_id, t, i, chunk, len(list_filter(list_distinct(string_split(lower('What is the balance of ' || s_name), ' ')), lambda w: contains(lower(chunk), w)))::bigint as score from supplier, c)
 select query_id, score, chunk from x where score > 0 qualify row_number() over (partition by query_id order by score desc, t, i) = 1"""
 ORACLES["latency_stats"] = """

@@ -398,8 +398,8 @@ def path_centric_context(spark, sf_dir):
 
 @query
 def flat_chunk_best(spark, sf_dir):
-    """The best row of the driver's small tables, as text, for each supplier's query."""
-    ts = corpus(spark, sf_dir, ["region", "nation", "supplier"])
+    """The best row of all the driver's tables, as text, for each supplier's query."""
+    ts = corpus(spark, sf_dir)
     best = index.best_chunk(index.flat_chunks(ts.tables, ts.rows), supplier_queries(spark, sf_dir))
     return best.select("query_id", "score", "chunk")
 
@@ -549,13 +549,6 @@ def row_numbers(spark, sf_dir):
     return ts.rows.select("row_idx", F.get("cells", F.lit(1))["v"].alias("o_orderkey"))
 
 
-@query
-def wide_table(spark, sf_dir):
-    """The grid of years as a DataFrame again."""
-    ts = year_grid(spark, sf_dir)
-    return ts.to_wide(0).select("Priority")
-
-
 @query
 def wide_table_cells(spark, sf_dir):
     """Every cell of the grid of years as a DataFrame, in long form, as the columns depend on the data."""
