@@ -53,6 +53,8 @@ SPELLINGS = (
     ("per cent", "percent"),
     ("e-mail", "email"),
 )
+#: A word that spellings write, and what it begins with in every spelling of it.
+STEM = ("license", "licen")
 #: A line that only states a copyright.
 COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(?:portions )?(?:copyright\b[ \t]*(?:\(c\)|©|[0-9])|©|\(c\)[ \t]*[0-9])[^\n]*$|^[ \t*#/;-]*all rights reserved\.?[ \t]*$"
 
@@ -94,10 +96,17 @@ def registry(spark: SparkSession, texts: dict[str, str] | None = None, digests:
 
 
 def anchors(known: list[Known]) -> list[str]:
-    """Few words of which every known text has one among its first words, none of them touched by the spellings: a text whose
-    canonical form has such a word has it in its lower-case form as well. No words if some known text has none."""
+    """Few words of which every known text has one among its first words: a text whose canonical form has such a word has it in its
+    lower-case form as well, as no spelling touches it, or has what the two spellings of a word begin with (``licen``). Longer words
+    come first, as fewer texts have them. No words if some known text has none."""
     changed = {w for _, written in SPELLINGS for w in re.findall(r"[^\W_]+", written)}
-    heads = [{w for w in k.head.split(" ") if len(w) > 2 and not any(c in w for c in changed)} for k in known]
+
+    def sure(head: str) -> set[str]:
+        words = [w for w in head.split(" ") if len(w) > 2]
+        found = {w for w in words if not any(c in w for c in changed)} | {STEM[1] for w in words if STEM[0] in w}
+        return {w for w in found if len(w) > 5 or w == STEM[1]} or found
+
+    heads = [sure(k.head) for k in known]
     chosen: list[str] = []
     while heads:
         if not all(heads):
@@ -108,12 +117,11 @@ def anchors(known: list[Known]) -> list[str]:
     return chosen
 
 
-def bodies_in(c: Column, known: list[Known]) -> Column:
-    """The names of the known texts that lie inside a canonical text, between spaces or its ends."""
+def bodies_in(padded: Column, known: list[Known]) -> Column:
+    """The names of the known texts that lie inside a canonical text with a space before and after it, between spaces."""
     long = [k for k in known if k.length >= BODY_LENGTH]
     if not long:
         return F.array().cast("array<string>")
-    padded = F.concat(F.lit(" "), c, F.lit(" "))
     table = F.array(*[F.struct(F.lit(k.licence).alias("licence"), F.lit(f" {k.head}").alias("head"), F.lit(k.length).alias("length"), F.lit(k.digest).alias("digest")) for k in long])
 
     def lies(k: Column) -> Column:
@@ -132,15 +140,17 @@ def bodies_in(c: Column, known: list[Known]) -> Column:
 def scan(docs: DataFrame, known: list[Known], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, whole_licence (null if the whole text is none), bodies, n_notices, notices (names in order, comma-separated)."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    low, words = F.lower(text), anchors(known)
+    words = anchors(known)
+    # the lower-case text is a column of its own, so that it is made once for all anchors
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("low", F.lower("text"))
     some = F.lit(bool(known))
     if words:
-        some = F.contains(low, F.lit(words[0]))
+        some = F.contains("low", F.lit(words[0]))
         for w in words[1:]:
-            some = some | F.contains(low, F.lit(w))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.when(some, canonical(text, True)).otherwise("").alias("c"))
-    whole = F.regexp_replace(F.col("c"), "[ \n]+", " ")
+            some = some | F.contains("low", F.lit(w))
+    base = texts.select("doc_id", F.when(some, canonical(F.col("text"), True)).otherwise("").alias("c"))
+    base = base.withColumn("whole", F.regexp_replace("c", "[ \n]+", " ")).withColumn("padded", F.concat(F.lit(" "), "whole", F.lit(" ")))
+    whole = F.col("whole")
     lengths = sorted({k.length for k in known}) or [-1]
     short = sorted({k.length for k in known if k.length < BODY_LENGTH}) or [-1]
     units = F.concat(F.split("c", "\n"), F.transform(F.filter(F.split("c", r"\n{2,}"), lambda p: F.contains(p, F.lit("\n"))), lambda p: F.regexp_replace(p, "\n", " ")))
@@ -150,7 +160,7 @@ def scan(docs: DataFrame, known: list[Known], id_col: str = "doc_id", text_col:
     per_doc = base.select(
         "doc_id",
         F.when(F.length(whole).isin(lengths), F.sha2(whole, 256)).alias("whole_digest"),
-        F.when(F.col("c") == "", "").otherwise(F.array_join(bodies_in(whole, known), ",")).alias("bodies"),
+        F.when(F.col("c") == "", "").otherwise(F.array_join(bodies_in(F.col("padded"), known), ",")).alias("bodies"),
         found.alias("found"),
     )
     table = spark.createDataFrame([(k.digest, k.licence) for k in known], "whole_digest string, whole_licence string")

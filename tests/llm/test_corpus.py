@@ -350,7 +350,10 @@ def test_anchors_leave_nothing_out(spark):
     for around in ("", "before", "e-mail a(c)b", "HTTPS://www.x.org", "favour 1"):
         for text in LICENCES.values():
             assert any(w in f"{around} {text.upper()}{around}".lower() for w in words)
-    assert licences.anchors([licences.Known("x", "", 9, "license")]) == []
+            assert any(w in f"{text.lower().replace('license', 'licence')}" for w in words)
+    # what a stem stands for is in every spelling that the canonical form makes one
+    assert all(licences.STEM[1] in found for found, written in licences.SPELLINGS if licences.STEM[0] in written)
+    assert licences.anchors([licences.Known("x", "", 9, "favor on it")]) == []
 
 
 # Mixing
