@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tabweave.llm.chat import CLOSE, MASKED_ROLE, OPEN, SEP
+from tabweave.llm.divergence import MIN_DOCS, SCALE, TOP_TERMS
 from tabweave.llm.licence_texts import DIGESTS, LICENCES
 from tabweave.llm.licences import BODY_LENGTH, COPYRIGHT_LINE, HEAD_WORDS, SPELLINGS
 from tabweave.llm.mixing import BLOCK_DOCS, MAX_REPEATS, SEED
@@ -146,4 +147,33 @@ j as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, by_host, not base_failed and not by_host as kept from j
 """
 
-ORACLES = {"op3_ngram_jaccard": NGRAM, "op6_licences": LICENCE, "op7_chat": CHAT, "op8_mixing": MIXING, "op9_quality_rules": RULES}
+_P = "(1 + {scale}::hugeint * ({count} + 2) // ({total} + 2 * {v}))"
+_WEIGHT = lambda count, total: _P.format(scale=SCALE, count=count, total=total, v="v")
+DIVERGENCE = f"""
+with d as (
+  select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ws from documents),
+w as (select i, lang, source, unnest(ws) as term from d),
+k as (select lang, term, count(*) as of_lang from w group by 1, 2 having count(distinct i) >= {MIN_DOCS}),
+v as (select lang, count(*) as v, sum(of_lang)::bigint as lang_total from k group by 1),
+c as (select lang, source, term, count(*) as n from w semi join k using (lang, term) group by 1, 2, 3),
+g as (
+  select x.lang, x.source, coalesce(v.v, 0) as v, coalesce(v.lang_total, 0) as lang_total, coalesce(t.total, 0)::bigint as total
+  from (select distinct lang, source from d) x left join v using (lang) left join (select lang, source, sum(n) as total from c group by 1, 2) t using (lang, source)),
+e as (
+  select g.lang, g.source, term, of_lang, lang_total, v, coalesce(n, 0) as n, total, {_WEIGHT("coalesce(n, 0)", "total")} as p
+  from g join k using (lang) left join c using (lang, source, term)),
+pairs as (
+  select g.lang, g.source, h.source as item, coalesce(s.value, 0)::bigint as value from g join g h on g.lang = h.lang and g.source <> h.source
+  left join (select x.lang, x.source, y.source as item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) as value from e x join e y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by 1, 2, 3) s
+  on s.lang = g.lang and s.source = g.source and s.item = h.source),
+terms as (
+  select lang, source, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from (select *, {_WEIGHT("of_lang", "lang_total")} as q from e) where n > 0 and p > q),
+r as (
+  select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+  union all
+  select * from (select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item) as rank from terms) where rank <= {TOP_TERMS})
+select lang, source, part, item, value, rank::int as rank from r
+"""
+
+ORACLES = {"op3_ngram_jaccard": NGRAM, "op6_licences": LICENCE, "op7_chat": CHAT, "op8_mixing": MIXING, "op9_quality_rules": RULES, "op12_divergence": DIVERGENCE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import chat, fingerprints, langid, licences, mixing, ngram_join, pieces, quality, quality_rules, toxicity
+from tabweave.llm import chat, divergence, fingerprints, langid, licences, mixing, ngram_join, pieces, quality, quality_rules, sharding, toxicity, whitening
 from tabweave.llm.common import id_remainder, read_table
 from tabweave.llm.oracles import ORACLES  # noqa: F401
 
@@ -60,4 +60,19 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.detect(docs.withColumn("held_out", F.coalesce(remainder == 2, F.lit(False))), model, ["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_sentencepiece, op3_ngram_jaccard, op4_lz_fingerprint, op5_toxicity, op6_licences, op7_chat, op8_mixing, op9_quality_rules, op10_langid)}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read_table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality, op2_sentencepiece, op3_ngram_jaccard, op4_lz_fingerprint, op5_toxicity, op6_licences, op7_chat, op8_mixing, op9_quality_rules, op10_langid, op11_sharding, op12_divergence, op13_whitening)
+}
