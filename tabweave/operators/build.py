@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.props import last_wins, prop, props
 from tabweave.functions.text import float_repr, is_key_name, lstrip, python_float, strip
+from tabweave.operators.normalize import PART_ROWS
+from tabweave.plans.shared import hold
 from tabweave.schema import PROPS, GraphSet, TableSet
 
 NODE_COLUMNS = ("graph_id", "node_id", "node_ord", "label", "props")
@@ -90,20 +92,27 @@ def time_series(ts: TableSet) -> Built:
     return nodes, edges.unionByName(at)
 
 
-def ancestors(levels: DataFrame, depth: Column | str = "depth") -> DataFrame:
+def ancestors(levels: DataFrame, depth: Column | str = "depth", part_rows: int = PART_ROWS) -> DataFrame:
     """table_id, row_idx, ancestor, above of an indented list with columns table_id, row_idx and a depth: every ancestor of a row (its row
     number, -1 for the root) with how many rows of the chain lie between (0: the parent).
 
     A row's ancestor at level L is the last row before it whose level is at most L, if that level is L. So for each smaller level
-    one running maximum gives it, and the pairs number rows times depth of the tree."""
+    one running maximum gives it, and the pairs number rows times depth of the tree. A table is cut into parts of ``part_rows`` rows: each
+    part's maximum of every level is carried over the parts that follow, and within a part the maximum runs on its own."""
     d = levels.withColumn("_d", F.col(depth) if isinstance(depth, str) else depth)
     by_depth = d.select("table_id", "_d").distinct().withColumn("_level", F.dense_rank().over(Window.partitionBy("table_id").orderBy("_d")) - 1)
     most = by_depth.groupBy("table_id").agg(F.max("_level").alias("_most"))
-    lev = d.join(by_depth, ["table_id", "_d"]).join(most, "table_id").select("table_id", "row_idx", F.col("_level").alias("level"), "_most")
+    lev = d.join(by_depth, ["table_id", "_d"]).join(most, "table_id").select("table_id", "row_idx", F.floor(F.col("row_idx") / part_rows).alias("_part"), F.col("_level").alias("level"), "_most")
+    lev = hold(lev)
     # each row asks at the levels below its own, and is seen at its own level and deeper ones
-    each = lev.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("_most"))))
-    before = Window.partitionBy("table_id", "at").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.max(F.when(F.col("level") <= F.col("at"), F.struct("row_idx", "level"))).over(before)
+    own = F.when(F.col("level") <= F.col("at"), F.struct("row_idx", "level"))
+    laid = lambda df: df.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("_most"))))
+    ends = laid(lev).groupBy("table_id", "_part", "at").agg(F.max(own).alias("s"))
+    over = Window.partitionBy("table_id", "at").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("s", F.max("s").over(over)).where("s is not null").groupBy("table_id", "_part").agg(F.map_from_entries(F.collect_list(F.struct("at", "s"))).alias("_up"))
+    each = laid(lev.repartition("table_id", "_part").join(carried, ["table_id", "_part"], "left"))
+    before = Window.partitionBy("table_id", "_part", "at").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.max(own).over(before), F.try_element_at("_up", F.col("at")))
     found = each.withColumn("s", seen).where((F.col("at") < F.col("level")) & (F.col("s.level") == F.col("at"))).select("table_id", "row_idx", F.col("s.row_idx").alias("ancestor"))
     roots = lev.select("table_id", "row_idx", F.lit(-1).cast("long").alias("ancestor"))
     up = Window.partitionBy("table_id", "row_idx").orderBy(F.desc("ancestor"))

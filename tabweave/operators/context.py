@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.props import display, in_brackets
 from tabweave.functions.text import two_places
-from tabweave.operators.retrieve import Retrieved, shortest_paths
+from tabweave.operators.retrieve import Retrieved, pair_paths
+from tabweave.plans.shared import hold
 
 STRATEGIES = ("node-centric", "edge-centric", "path-centric")
 #: Edges shown with a node that no seed is connected to.
@@ -98,9 +99,9 @@ def path_centric(r: Retrieved) -> DataFrame:
     nodes, edges = _composed(r)
     seeds = _named_seeds(r).join(nodes.select("query_id", "id"), ["query_id", "id"], "left_semi")
     both = edges.select("query_id", "u", "v").unionByName(edges.select("query_id", F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    paths = shortest_paths(both, seeds.select("query_id", F.col("id").alias("start")), ["query_id"])
-    first, second = seeds.select("query_id", F.col("id").alias("start"), F.col("rank").alias("i")), seeds.select("query_id", F.col("id").alias("node"), F.col("rank").alias("j"))
-    pairs = paths.join(first, ["query_id", "start"]).join(second, ["query_id", "node"]).where("i < j")
+    first, second = seeds.select("query_id", F.col("id").alias("a"), F.col("rank").alias("i")), seeds.select("query_id", F.col("id").alias("b"), F.col("rank").alias("j"))
+    asked = hold(first.join(second, "query_id").where("i < j"))
+    pairs = pair_paths(both, asked, ["query_id"]).join(asked, ["query_id", "a", "b"])
     # a path found twice is shown at its first pair
     once = pairs.groupBy("query_id", "path").agg(F.min(F.struct("i", "j")).alias("o"))
     steps = once.select("query_id", "path", "o", F.posexplode("path").alias("at", "id")).withColumn("next", F.get("path", F.col("at") + 1))

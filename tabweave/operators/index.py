@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,8 +55,16 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return split.select("query_id", F.size("t").alias("n"), F.posexplode("t").alias("pos", "token")).groupBy("query_id", "token").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
 
 
-def search(index: DataFrame, queries: DataFrame, max_results: int = 50) -> DataFrame:
-    """query_id, rank (from 1), graph_id, node_id, score: the best nodes of each query.
+class Lists(Protocol):
+    """An index that finds the postings of tokens itself, and knows how many nodes a token has (see ``store``)."""
+
+    def lists(self, tokens: DataFrame) -> DataFrame: ...
+
+    def sizes(self, tokens: DataFrame) -> DataFrame: ...
+
+
+def search(index: DataFrame | Lists, queries: DataFrame, max_results: int = 50) -> DataFrame:
+    """query_id, rank (from 1), graph_id, node_id, score: the best nodes of each query. ``index``: postings, or what finds them.
 
     A score is the sum of the weights of the query's distinct tokens, over the number of its tokens. Equal scores keep the order in
     which the nodes are met: by the query's tokens, then by place. queries: query_id, query."""
@@ -63,7 +73,7 @@ def search(index: DataFrame, queries: DataFrame, max_results: int = 50) -> DataF
     return ranked.join(tokens_of.groupBy("query_id").agg(F.first("n").alias("n")), "query_id").select("query_id", "rank", "graph_id", "node_id", (F.col("sum") / F.col("n")).alias("score"))
 
 
-def best_nodes(index: DataFrame, tokens_of: DataFrame, max_results: int) -> DataFrame:
+def best_nodes(index: DataFrame | Lists, tokens_of: DataFrame, max_results: int) -> DataFrame:
     """query_id, rank, graph_id, node_id, sum: for each query the nodes with the largest sums of the weights of its tokens, ties by the least
     (pos, graph_id, place). tokens_of: query_id, token, pos, one row a token.
 
@@ -77,8 +87,12 @@ def best_nodes(index: DataFrame, tokens_of: DataFrame, max_results: int) -> Data
        beyond these has as many others before it in every such query, as rare tokens can only add to a sum or bring a node forward.
     """
     # the lists of the tokens that are asked for, read several times
-    lists = hold(index.join(tokens_of.select("token").distinct(), "token", "left_semi"))
-    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("nodes"), F.max("weight").alias("most"))
+    if isinstance(index, DataFrame):
+        lists = hold(index.join(tokens_of.select("token").distinct(), "token", "left_semi"))
+        sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("nodes"), F.max("weight").alias("most"))
+    else:
+        tokens_of = hold(tokens_of)
+        lists, sizes = hold(index.lists(tokens_of)), index.sizes(tokens_of)
     asked = hold(tokens_of.join(sizes, "token"))
     rare = asked.where(F.col("nodes") <= RARE_NODES)
     node = ["graph_id", "node_id"]

@@ -9,6 +9,10 @@ from tabweave.functions.text import ISO_DATE, NUMERIC, SLASH_DATE, squeeze, stri
 from tabweave.schema import CELL, TableSet
 
 
+#: Rows of a table that one task fills or scans in order.
+PART_ROWS = 1 << 16
+
+
 def _text_only(c: Column, change) -> Column:
     """Apply ``change`` to the text of str cells."""
     return F.struct(F.when(c["t"] == "str", change(c["v"])).otherwise(c["v"]).alias("v"), c["t"].alias("t")).cast(CELL)
@@ -35,17 +39,27 @@ def fill_column(value: Column, window_by: list[Column | str], order: Column | st
     return F.coalesce(F.last(F.nullif(value, F.lit("")), True).over(down), F.first(value).over(down))
 
 
-def merged_cells(ts: TableSet) -> TableSet:
+def merged_cells(ts: TableSet, part_rows: int = PART_ROWS) -> TableSet:
     """Null and empty cells take the value above, column by column, from the second row on.
 
-    Rows are windowed by table and column in long form, so that a long table is filled in as many tasks as it has columns."""
-    cells = ts.rows.select("table_id", "row_idx", F.size("cells").alias("n"), F.posexplode("cells").alias("col_idx", "c"))
-    w = Window.partitionBy("table_id", "col_idx").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    some = F.when(F.col("c.v").isNotNull() & ((F.col("c.v") != "") | (F.col("c.t") != "str")), F.col("c"))
-    filled = cells.withColumn("c", F.coalesce(F.last(some, True).over(w), F.first("c").over(w)))
-    rows = filled.groupBy("table_id", "row_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "c"))), lambda x: x["c"]).alias("cells"))
+    A table is cut into parts of ``part_rows`` rows. The last value of each part and column is carried over the parts that follow, one row
+    a part, and then each part is filled on its own, so a long table is many tasks and none holds a column. Rows move once, by table
+    and part; cells are laid out, filled and put together again where they are."""
+    at = F.floor(F.col("row_idx") / part_rows)
+    rows = ts.rows.withColumn("_part", at)
+    is_some = F.col("c.v").isNotNull() & ((F.col("c.v") != "") | (F.col("c.t") != "str"))
+    laid = rows.select("table_id", "_part", "row_idx", F.posexplode("cells").alias("col_idx", "c"))
+    ends = laid.groupBy("table_id", "_part", "col_idx").agg(F.max_by("c", F.when(is_some, F.col("row_idx"))).alias("last"), F.min_by("c", "row_idx").alias("first"))
+    before = Window.partitionBy("table_id", "col_idx").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("up", F.coalesce(F.last("last", True).over(before), F.first("first", True).over(before))).where("up is not null")
+    carried = carried.groupBy("table_id", "_part").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "up"))).alias("_up"))
+    whole = rows.where(F.size("cells") > 0).repartition("table_id", "_part").join(carried, ["table_id", "_part"], "left")
+    cells = whole.select("table_id", "_part", "row_idx", "_up", F.posexplode("cells").alias("col_idx", "c"))
+    w = Window.partitionBy("table_id", "_part", "col_idx").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = cells.withColumn("c", F.coalesce(F.last(F.when(is_some, F.col("c")), True).over(w), F.try_element_at("_up", F.col("col_idx")), F.first("c").over(w)))
+    done = filled.groupBy("table_id", "_part", "row_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "c"))), lambda x: x["c"]).alias("cells")).drop("_part")
     empty = ts.rows.where(F.size("cells") == 0)
-    return ts.with_rows(rows.unionByName(empty))
+    return ts.with_rows(done.unionByName(empty))
 
 
 def data_type(v: Column, t: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.operators.index import search
+from tabweave.operators.index import Lists, search
 from tabweave.plans.shared import hold
 from tabweave.schema import GraphSet
 
@@ -52,7 +52,7 @@ def induced(reached: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     return edges.join(at, ["graph_id", "src"]).join(to, [*key, "graph_id", "dst"]).select(*key, *edges.columns)
 
 
-def retrieve(gs: GraphSet, index: DataFrame, queries: DataFrame, top_k: int = 10, k_hops: int = 1, multi_graph: bool | None = None) -> Retrieved:
+def retrieve(gs: GraphSet, index: DataFrame | Lists, queries: DataFrame, top_k: int = 10, k_hops: int = 1, multi_graph: bool | None = None) -> Retrieved:
     """The composed subgraph of each query: the union, over its ``top_k`` best nodes, of what each reaches in ``k_hops`` (edges taken both
     ways) with the edges inside. Queries without tokens or hits have no seeds and no nodes."""
     seeds = hold(search(index, queries, top_k))
@@ -66,13 +66,58 @@ def retrieve(gs: GraphSet, index: DataFrame, queries: DataFrame, top_k: int = 10
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, key: list[str]) -> DataFrame:
     """``key``, start, node, path (array of nodes): a shortest path from every start to what it can reach along edges (u, v of each key,
-    both directions given); among equally short ones the least by node ids. Runs until nothing new is reached."""
-    reached = hold(starts.select(*key, "start", F.col("start").alias("node"), F.array("start").alias("path")))
-    frontier = reached
+    both directions given); among equally short ones the least by node ids. Runs until nothing new is reached. A step leads to
+    the frontier, the one before it or new nodes, so it is compared with these two only."""
+    frontier = hold(starts.select(*key, "start", F.col("start").alias("node"), F.array("start").alias("path")))
+    levels, near = [frontier], frontier
     while True:
-        step = frontier.join(edges.withColumnRenamed("u", "node"), [*key, "node"]).select(*key, "start", F.col("v").alias("node"), "path")
-        step = step.join(reached.select(*key, "start", "node"), [*key, "start", "node"], "left_anti").groupBy(*key, "start", "node").agg(F.min("path").alias("path"))
-        frontier = hold(step.withColumn("path", F.concat("path", F.array("node"))))
+        fresh = _step(frontier, near, edges, [*key, "start"], key)
+        near, frontier = frontier.unionByName(fresh), fresh
         if frontier.isEmpty():
-            return reached
-        reached = reached.unionByName(frontier)
+            break
+        levels.append(frontier)
+    reached = levels[0]
+    for level in levels[1:]:
+        reached = reached.unionByName(level)
+    return reached
+
+
+def _step(frontier: DataFrame, near: DataFrame, edges: DataFrame, of: list[str], key: list[str], back: bool = False) -> DataFrame:
+    """The next frontier (``of``, node, path), held: what edges (key, u, v) lead to and ``near`` has not; paths grow at their ends, or at
+    their beginnings if ``back``."""
+    step = frontier.join(edges.withColumnRenamed("u", "node"), [*key, "node"])
+    path = F.concat(F.array("v"), "path") if back else F.concat("path", F.array("v"))
+    step = step.select(*of, F.col("v").alias("node"), path.alias("path")).groupBy(*of, "node").agg(F.min("path").alias("path"))
+    return hold(step.join(near.select(*of, "node"), [*of, "node"], "left_anti"))
+
+
+def pair_paths(edges: DataFrame, pairs: DataFrame, key: list[str]) -> DataFrame:
+    """``key``, a, b, path: a shortest path between the two nodes of each pair (key, a, b), the least by node ids among equally short
+    ones; pairs without a path are left out. edges: key, u, v, both directions given.
+
+    Both ends of a pair look for each other: one frontier goes on from a, one from b, by turns, and the pair is done at the first step
+    at which they meet. So a path takes steps for half its length from either side, what lies beyond is never reached, and paths
+    are carried as halves. A pair is dropped when it is done, or when one of its frontiers ends; a frontier is compared with the
+    one before it only, as edges lead to neighbouring levels."""
+    of = [*key, "a", "b"]
+    pairs = hold(pairs.select(*of).distinct())
+    start = lambda end: pairs.select(*of, F.col(end).alias("node"), F.array(end).alias("path"))
+    front = [start("a"), start("b")]
+    near = list(front)
+    done = pairs.where("a = b").select(*of, F.array("a").alias("path"))
+    front = [f.where("a <> b") for f in front]
+    turn = 0
+    while True:
+        fresh = _step(front[turn], near[turn], edges, of, key, turn == 1)
+        met = fresh.select(*of, "node", F.col("path").alias("own")).join(front[1 - turn].select(*of, "node", F.col("path").alias("other")), [*of, "node"])
+        # the node where they meet is in both halves
+        whole = F.concat("own", F.expr("slice(other, 2, greatest(size(other) - 1, 0))")) if turn == 0 else F.concat("other", F.expr("slice(own, 2, greatest(size(own) - 1, 0))"))
+        met = hold(met.select(*of, whole.alias("path")).groupBy(*of).agg(F.min("path").alias("path")))
+        done = done.unionByName(met)
+        left = fresh.join(met.select(*of), of, "left_anti")
+        if left.isEmpty():
+            return done
+        near[turn], front[turn] = front[turn].unionByName(fresh), left
+        # pairs that are done, or whose other side has ended, ask no more
+        front[1 - turn] = front[1 - turn].join(left.select(*of).distinct(), of, "left_semi")
+        turn = 1 - turn

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tabweave.operators import build, context, index, retrieve, sinks
 from tabweave.operators.normalize import DEFAULT_CHAIN
+from tabweave.operators.store import GraphStore as StoredGraphs
 from tabweave.plans import registry
 from tabweave.plans.shared import hold
 from tabweave.schema import GraphSet, TableSet
@@ -26,13 +27,15 @@ SETTINGS = "tabweave_settings.json"
 
 @dataclass
 class PipelineConfig:
-    """How tables are read and normalized. ``pdf_parser`` opens PDF files (see sources.pages.read_pdf)."""
+    """How tables are read and normalized. ``pdf_parser`` opens PDF files (see sources.pages.read_pages), ``detector`` loads a vision model
+    that finds the rows and columns of staggered tables (see sources.pages.detect)."""
 
     normalizer_chain: list[str] = field(default_factory=lambda: list(DEFAULT_CHAIN))
     max_file_size_mb: int = pages.MAX_FILE_MB
     max_pages: int = pages.MAX_PAGES
     monitoring: bool = False
     pdf_parser: Any = None
+    detector: Any = None
 
     @classmethod
     def load_default(cls, folder: str = ".") -> PipelineConfig:
@@ -113,7 +116,8 @@ class GridExtractor:
 
 
 class PdfExtractor:
-    """PDF files, by the configured parser: headers split, continued tables merged, staggered ones reported as they are."""
+    """PDF files, by the configured parser: tables found by their rules (or given), headers split, the words around them as context, staggered
+    ones rebuilt by the configured detector, continued ones merged."""
 
     def can_handle(self, source: Any) -> bool:
         return isinstance(source, (str, Path)) and str(source).lower().endswith(".pdf")
@@ -122,8 +126,13 @@ class PdfExtractor:
         config = config or PipelineConfig()
         if config.pdf_parser is None:
             raise ValueError("set pdf_parser in the configuration to read PDF files")
-        raw = pages.read_pdf(spark, str(source), config.pdf_parser, config.max_file_size_mb, config.max_pages, pages_only)
-        return pages.to_table_set(pages.merge_continuations(pages.split_headers(raw)))
+        items = hold(pages.read_pages(spark, str(source), config.pdf_parser, config.max_file_size_mb, config.max_pages, pages_only))
+        words, tables = pages.page_words(items), hold(pages.split_headers(pages.raw_grids(items)))
+        key = ["doc_id", "source_file", "page_number", "table_index"]
+        tables = tables.join(pages.context(tables, words), key, "left").withColumn("context", F.coalesce("context", F.lit("")))
+        if config.detector is not None:
+            tables = pages.refine_staggered(tables, words, pages.pdf_files(spark, str(source)), config.detector)
+        return pages.to_table_set(pages.merge_continuations(tables))
 
 
 registry.extractors.register("grid", GridExtractor)
@@ -191,18 +200,11 @@ def retrieve_context(gs: GraphSet, query: str | list[str] | DataFrame, strategy:
     return context.render(found, strategy, max_tokens)
 
 
-class GraphStore:
-    """Graphs with their token index, made once and kept as a table."""
-
-    def __init__(self, gs: GraphSet) -> None:
-        self.graphs = gs
-        self.postings = hold(index.postings(gs))
-
-    def __len__(self) -> int:
-        return self.graphs.graphs.count()
+class GraphStore(StoredGraphs):
+    """Graphs with their token index, kept as tables; more can be added (see operators.store)."""
 
     def search_nodes(self, query: str | list[str] | DataFrame, max_results: int = 50) -> DataFrame:
-        return index.search(self.postings, as_queries(self.postings.sparkSession, query), max_results)
+        return index.search(self.index, as_queries(self.spark, query), max_results)
 
 
 class GraphRetriever:
@@ -210,7 +212,7 @@ class GraphRetriever:
         self.store, self.top_k, self.k_hops = store, top_k, k_hops
 
     def retrieve(self, query: str | list[str] | DataFrame) -> retrieve.Retrieved:
-        return retrieve.retrieve(self.store.graphs, self.store.postings, as_queries(self.store.postings.sparkSession, query), self.top_k, self.k_hops)
+        return retrieve.retrieve(self.store.graphs, self.store.index, as_queries(self.store.spark, query), self.top_k, self.k_hops)
 
 
 class ContextSerializer:

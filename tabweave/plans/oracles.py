@@ -233,6 +233,14 @@ qq as (select query_id, token, min(pos) as pos, any_value(len(ts)) as n from (se
 sc as (select query_id, doc_id, count(*) / any_value(n) as score, min(pos) as pos from p join qq using (token) group by 1, 2)
 select query_id, rank::int as rank, 0::bigint as graph_id, doc_id::varchar as node_id, score from (select *, row_number() over (partition by query_id order by score desc, pos, doc_id) as rank from sc) where rank <= 10"""
 
+ORACLES["stored_search"] = f"""
+with p as (
+  select doc_id % 4 as g, doc_id, unnest(list_distinct(list_concat({_tokens('doc_id::varchar')}, ['label', 'document', 'text'], {_tokens("coalesce(text, '')")}))) as token from documents where doc_id % 4 <> 3),
+qt as (select item_id as query_id, {_tokens('text')} as ts from benchmark),
+qq as (select query_id, token, min(pos) as pos, any_value(len(ts)) as n from (select query_id, ts, unnest(ts) as token, unnest(range(len(ts))) as pos from qt) group by 1, 2),
+sc as (select query_id, g, doc_id, count(*) / any_value(n) as score, min(pos) as pos from p join qq using (token) group by 1, 2, 3)
+select query_id, rank::int as rank, g as graph_id, doc_id::varchar as node_id, score from (select *, row_number() over (partition by query_id order by score desc, pos, g, doc_id) as rank from sc) where rank <= 10"""
+
 
 def _reach(k: int, edges: str) -> str:
     """Recursive CTE members: both(u, v) and reached sets by (start), up to k hops."""
@@ -369,3 +377,9 @@ k as (select o_orderkey as d, r, c, coalesce(string_agg(text, ' ' order by o, te
 l as (select d, r, string_agg(s, '¦' order by c) as s from k group by 1, 2)
 select d as table_id, first(s order by r) as headers, string_agg(s, '/' order by r) filter (r > 0) as rows from l group by 1"""
 ORACLES["row_numbers"] = "select row_number() over (order by o_totalprice desc, o_orderkey) - 1 as row_idx, o_orderkey::varchar as o_orderkey from orders"
+ORACLES["ruled_tables"] = """
+with l as (select l_orderkey as d, l_linenumber as ln, l_partkey as pk, l_returnflag as m, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as n from lineitem),
+g as (select *, case when lag(m) over (partition by d order by n) = m then 0 else 1 end as first from l),
+r as (select *, sum(first) over (partition by d order by n) as run from g),
+t as (select d, n, case when first = 1 then string_agg(m, '/') over (partition by d, run) else '-' end || '|' || ln || '|' || pk as cells from r)
+select d as doc_id, 0 as table_index, 0 as row, 'flag|line and part|-' as cells from (select distinct d from t) union all select d, 0, n::int, cells from t"""

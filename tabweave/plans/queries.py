@@ -13,7 +13,7 @@ from tabweave.operators import build, classify, context, index, normalize, retri
 from tabweave.plans import api
 from tabweave.plans.shared import hold
 from tabweave.schema import GraphSet, TableSet
-from tabweave.sources import grids, pages, text_tables
+from tabweave.sources import grids, pages, ruled, text_tables
 
 #: The driver's tables as grids: name -> (table id, order, columns).
 GRIDS = {
@@ -324,6 +324,21 @@ def document_search_topk(spark, sf_dir):
     return index.search(posted, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 10)
 
 
+@query
+def stored_search(spark, sf_dir):
+    """Documents as the nodes of four graphs, added to a store in three parts; one graph is removed again, and benchmark passages are looked
+    up in the buckets of their tokens."""
+    text = F.array(F.struct(F.lit("text").alias("k"), F.coalesce("text", F.lit("")).alias("v"), F.lit("str").alias("t")))
+    nodes = read(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("graph_id"), F.col("doc_id").cast("string").alias("node_id"), F.col("doc_id").alias("node_ord"), F.lit("Document").alias("label"), text.alias("props"))
+    edges = nodes.where(F.lit(False)).select("graph_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.col("node_ord").alias("src_ord"), F.lit(0).cast("long").alias("seq"), "label", "props")
+    graphs = spark.range(4).select(F.col("id").alias("graph_id"), F.lit(None).cast("string").alias("context"))
+    part = lambda *ids: GraphSet(*[t.where(F.col("graph_id").isin(*ids)) for t in (graphs, nodes, edges)])
+    store = api.GraphStore(part(0, 2))
+    store.add_all([part(3), part(1)])
+    store.remove([3])
+    return store.search_nodes(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 10)
+
+
 def _found(spark, sf_dir, top_k=3, k_hops=1):
     gs = place_graph(spark, sf_dir)
     return gs, retrieve.retrieve(gs, index.postings(gs), supplier_queries(spark, sf_dir), top_k, k_hops, False)
@@ -528,6 +543,30 @@ def context_window_words(spark, sf_dir):
     return pages.context(tables, words, 3).select("doc_id", "context")
 
 
+@query
+def ruled_tables(spark, sf_dir):
+    """Tables drawn with rules, a page for each order, found and read: a row for each line. The second header spans two columns, the line
+    numbers of equal return flags in a row share a merged cell, and the last column is open on its right side, so it is none.
+    Rules are drawn a little askew."""
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey", "l_returnflag", F.lit(1).alias("page_number"))
+    w = Window.partitionBy("doc_id").orderBy("l_linenumber", "l_partkey")
+    li = li.withColumns({"n": F.row_number().over(w), "many": F.count(F.lit(1)).over(Window.partitionBy("doc_id")), "goes_on": F.coalesce(F.lag("l_returnflag").over(w) == F.col("l_returnflag"), F.lit(False))})
+    y, off = F.col("n") * 20.0, F.pmod(F.col("doc_id"), F.lit(3)) - 1.0
+    segment = lambda x0, y0, x1, y1: F.struct(*[c.cast("double").alias(k) for k, c in (("x0", x0), ("top", y0), ("x1", x1), ("bottom", y1))])
+    x = F.lit
+    # above each line: a rule over all columns, or over the last two where the return flag goes on; the first line draws the page's frame
+    above = F.array(segment(F.when(F.col("goes_on"), 100.0).otherwise(0.0), y, x(300.0), y), segment(F.when(F.col("goes_on"), 100.0).otherwise(0.0), y + off * 0.4, x(230.0), y + off * 0.4))
+    foot = F.col("many") * 20.0 + 20.0
+    frame = F.array(segment(x(0.0), x(0.0), x(300.0), x(0.0)), segment(x(0.0), foot, x(400.0), foot), segment(x(0.0), x(0.0), x(0.0), foot), segment(x(100.0) + off, x(0.0), x(100.0) + off, foot), segment(x(200.0), x(20.0), x(200.0), foot), segment(x(300.0), x(0.0), x(300.0), foot - 10), segment(x(300.0), foot - 12, x(300.0), foot))
+    lines = li.select("doc_id", "page_number", F.explode(F.when(F.col("n") == 1, F.concat(above, frame)).otherwise(above)).alias("s")).select("doc_id", "page_number", "s.*")
+    word = lambda at, text, mx, my: F.struct(at.cast("long").alias("word_ord"), text.cast("string").alias("text"), F.lit(mx - 5.0).alias("x0"), F.lit(mx + 5.0).alias("x1"), (my - 4.0).alias("top"), (my + 4.0).alias("bottom"))
+    own = F.array(word(F.col("n") * 4, F.col("l_returnflag"), 50.0, y + 10.0), word(F.col("n") * 4 + 1, F.col("l_linenumber"), 150.0, y + 10.0), word(F.col("n") * 4 + 2, F.col("l_partkey"), 250.0, y + 10.0), word(F.col("n") * 4 + 3, F.lit("outside"), 350.0, y + 10.0))
+    head = F.array(word(F.lit(0), F.lit("flag"), 50.0, F.lit(10.0)), word(F.lit(1), F.lit("line"), 180.0, F.lit(10.0)), word(F.lit(2), F.lit("and part"), 210.0, F.lit(10.0)))
+    words = li.select("doc_id", "page_number", F.explode(F.when(F.col("n") == 1, F.concat(head, own)).otherwise(own)).alias("w")).select("doc_id", "page_number", "w.*")
+    got = ruled.find_tables(lines, words)
+    return got.select("doc_id", "table_index", F.posexplode("grid").alias("row", "cells")).select("doc_id", "table_index", "row", F.array_join(F.transform("cells", lambda c: F.coalesce(F.replace(c, F.lit("\n"), F.lit("/")), F.lit("-"))), "|").alias("cells"))
+
+
 @query
 def spatial_word_cell(spark, sf_dir):
     """Words put into a grid of boxes by their centres: an order's lines by quantity (rows) and discount (columns)."""

@@ -67,14 +67,19 @@ def held_for_now() -> Iterator[None]:
         _remove([t for t in _made[before:] if t[2] == threading.get_ident()])
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder. What is written there goes when the driver's Python ends, or at the end of a block of ``held_for_now``."""
+    path = f"{shared_dir(spark)}/tabweave-{uuid.uuid4().hex}"
+    _made.append((spark, path, threading.get_ident()))
+    return path
+
+
 def hold(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, so that it is computed once and outlives executors. The table goes
     when the driver's Python ends, or at the end of a block of ``held_for_now``."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tabweave-{uuid.uuid4().hex}"
-    _made.append((spark, path, threading.get_ident()))
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _counted_up(held: DataFrame, name: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Tables of paged documents (PDF): header rows, context words, continuation over pages, and grids from detected boxes.
 
-Pages come as DataFrames: raw grids (document, page, table, rows), words with positions, and boxes found by a vision model. Opening
-the files themselves is left to a parser function that runs in Arrow batches over ``binaryFile`` rows, as no PDF library
-is part of Spark."""
+Pages come as DataFrames: raw grids (document, page, table, rows), lines that draw tables (see ``ruled``), words with positions, and
+boxes found by a vision model. Opening the files themselves is left to a parser function that runs in Arrow batches over
+``binaryFile`` rows, as no PDF library is part of Spark; so is the model."""
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,8 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabweave.functions.text import strip
+from tabweave.plans.shared import hold, number_rows
 from tabweave.schema import TableSet
-from tabweave.sources.text_tables import as_cell, table_columns, table_ids
+from tabweave.sources import ruled
+from tabweave.sources.text_tables import as_cell, table_columns
 
 MAX_FILE_MB = 50
 MAX_PAGES = 1000
@@ -23,18 +26,37 @@ CONTEXT_WORDS = 50
 #: A table that ends below this height (in points) was cut off by the page.
 CUT_OFF = 700.0
 GRID = "doc_id long, source_file string, page_number int, table_index int, bbox struct<x0:double,y0:double,x1:double,y1:double>, grid array<array<string>>"
+ITEMS = "doc_id long, source_file string, page_number int, kind string, ord int, text string, x0 double, top double, x1 double, bottom double, grid array<array<string>>"
+BOXES = "table_id long, image_w int, image_h int, boxes array<struct<label:string,score:double,x0:double,y0:double,x1:double,y1:double>>"
 
+log = logging.getLogger(__name__)
+#: Models that this Python process has loaded, by their loaders' names.
+_models: dict[tuple[str, str], Callable] = {}
 
-def read_pdf(spark: SparkSession, path: str, parser: Callable[[bytes], list[dict]], max_file_mb: int = MAX_FILE_MB, max_pages: int = MAX_PAGES, pages: list[int] | None = None) -> DataFrame:
-    """Raw grids (schema GRID) of all PDF files under a path. ``parser`` maps a file's bytes to its pages: dicts with page_number
-    (from 1), and tables, each with bbox and grid. Larger files, or files with more pages, raise an error as soon as one is
-    met; ``pages`` are indices from 0."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
+
+def pdf_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
+
+
+def read_pages(spark: SparkSession, path: str, parser: Callable[[bytes], list[dict]], max_file_mb: int = MAX_FILE_MB, max_pages: int = MAX_PAGES, pages: list[int] | None = None) -> DataFrame:
+    """What the pages of all PDF files under a path hold (schema ITEMS), a row for each table, line and word. ``parser`` maps a file's
+    bytes to its pages: dicts with page_number (from 1), and any of tables (each with bbox and grid), lines (x0, top, x1,
+    bottom: rules and sides of rectangles) and words (text, x0, x1, top, bottom). Larger files, or files with more pages,
+    raise an error as soon as one is met; ``pages`` are indices from 0. Files are told apart by their paths."""
+    files = pdf_files(spark, path)
     if pages is None and not files.where(F.col("length") > max_file_mb * 1024 * 1024).select("path").isEmpty():
         raise ValueError(f"a file exceeds {max_file_mb} MB")
-    box = pa.struct([(k, pa.float64()) for k in ("x0", "y0", "x1", "y1")])
-    types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), box, pa.list_(pa.list_(pa.string()))]
-    names = ["doc_id", "source_file", "page_number", "table_index", "bbox", "grid"]
+    types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), *[pa.float64()] * 4, pa.list_(pa.list_(pa.string()))]
+    names = ["doc_id", "source_file", "page_number", "kind", "ord", "text", "x0", "top", "x1", "bottom", "grid"]
+
+    def items(page: dict) -> Iterator[tuple]:
+        for i, t in enumerate(page.get("tables", ())):
+            if t["grid"]:
+                yield "table", i, None, *(t.get("bbox") or (None,) * 4), t["grid"]
+        for i, line in enumerate(page.get("lines", ())):
+            yield "line", i, None, *line, None
+        for i, w in enumerate(page.get("words", ())):
+            yield "word", i, w["text"], w["x0"], w["top"], w["x1"], w["bottom"], None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,18 +64,39 @@ def read_pdf(spark: SparkSession, path: str, parser: Callable[[bytes], list[dict
                 found = parser(raw.as_py())
                 if len(found) > max_pages:
                     raise ValueError(f"{path.as_py()} has {len(found)} pages, more than {max_pages}")
-                out = []
                 for page in found:
                     if pages is not None and page["page_number"] - 1 not in pages:
                         continue
-                    for i, t in enumerate(page["tables"]):
-                        if t["grid"]:
-                            bbox = dict(zip(("x0", "y0", "x1", "y1"), t["bbox"], strict=True)) if t.get("bbox") else None
-                            out.append((doc_id.as_py(), path.as_py(), page["page_number"], i, bbox, t["grid"]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    out = [(doc_id.as_py(), path.as_py(), page["page_number"], *x) for x in items(page)]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    return files.select(F.xxhash64("path").alias("doc_id"), "path", "content").mapInArrow(run, ITEMS)
 
-    return files.select(F.pmod(F.xxhash64("path"), F.lit(1 << 40)).alias("doc_id"), "path", "content").mapInArrow(run, GRID)
+
+def page_words(items: DataFrame) -> DataFrame:
+    return items.where("kind = 'word'").select("doc_id", "source_file", "page_number", F.col("ord").alias("word_ord"), "text", "x0", "x1", "top", "bottom")
+
+
+def raw_grids(items: DataFrame) -> DataFrame:
+    """Raw grids (schema GRID) of the tables that the parser gives, and of those that the lines of the other pages draw."""
+    page = ["doc_id", "source_file", "page_number"]
+    box = F.when(F.col("x0").isNotNull(), F.struct("x0", F.col("top").alias("y0"), "x1", F.col("bottom").alias("y1")))
+    columns = [*page, "table_index", "bbox", "grid"]
+    given = items.where("kind = 'table'").withColumns({"table_index": F.col("ord"), "bbox": box}).select(columns)
+    lines = items.where("kind = 'line'")
+    if lines.isEmpty():
+        return given
+    lines = lines.join(given.select(page).distinct(), page, "left_anti")
+    # a document is its hash and its path, as two paths may have one hash
+    of = lambda df: df.withColumn("doc_id", F.struct("doc_id", "source_file"))
+    drawn = ruled.find_tables(of(lines), of(page_words(items))).select("doc_id.doc_id", "doc_id.source_file", "page_number", "table_index", "bbox", "grid")
+    return given.unionByName(drawn)
+
+
+def read_pdf(spark: SparkSession, path: str, parser: Callable[[bytes], list[dict]], max_file_mb: int = MAX_FILE_MB, max_pages: int = MAX_PAGES, pages: list[int] | None = None) -> DataFrame:
+    """Raw grids (schema GRID) of all PDF files under a path; see ``read_pages``."""
+    return raw_grids(hold(read_pages(spark, path, parser, max_file_mb, max_pages, pages)))
 
 
 def header_rows(grid: Column) -> Column:
@@ -77,10 +120,11 @@ def split_headers(grids: DataFrame) -> DataFrame:
 
 
 def context(tables: DataFrame, words: DataFrame, most: int = CONTEXT_WORDS) -> DataFrame:
-    """doc_id, page_number, table_index, context: the last words above a table's box and the first ones below, joined by ' | '.
-    words: doc_id, page_number, word_ord, text, top, bottom."""
-    key = ["doc_id", "page_number", "table_index"]
-    near = tables.where("bbox is not null").select(*key, F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1")).join(words, ["doc_id", "page_number"])
+    """doc_id, page_number, table_index (and source_file, if both have it), context: the last words above a table's box and the first ones
+    below, joined by ' | '. words: doc_id, page_number, word_ord, text, top, bottom."""
+    page = ["doc_id", *(["source_file"] if "source_file" in tables.columns and "source_file" in words.columns else []), "page_number"]
+    key = [*page, "table_index"]
+    near = tables.where("bbox is not null").select(*key, F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1")).join(words, page)
     above = near.where("bottom <= y0").withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("word_ord")))).withColumn("side", F.lit(0))
     below = near.where("top >= y1").withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("word_ord"))).withColumn("side", F.lit(1))
     taken = above.unionByName(below).where(F.col("nth") <= most)
@@ -100,16 +144,17 @@ def staggered(headers: Column) -> Column:
 def merge_continuations(tables: DataFrame) -> DataFrame:
     """Tables that go on over pages made one, per document in order of page and table. A table joins the one before if it is on the
     page after that one's last part, has as many columns (not none), and either repeats the headers of the chain's first part, or
-    that last part was cut off by the page (then its own headers are rows). The joined table has the first part's headers and index
-    and the last part's page and box. tables: doc_id, source_file, page_number, table_index, bbox, headers, rows and others.
+    that last part was cut off by the page (then its own headers are rows). The joined table has the first part's headers, index and
+    context (if there is any) and the last part's page and box. tables: doc_id, source_file, page_number, table_index, bbox, headers, rows and others.
 
     A chain's last part is always the table just before, so page and box are compared by a window, which cuts a document into runs of
     tables on following pages. Only headers are folded, one run at a time; rows are gathered by the table that they become."""
     width = F.when(F.size("headers") > 0, F.size(F.get("headers", F.lit(0)))).when(F.size("rows") > 0, F.size(F.get("rows", F.lit(0)))).otherwise(0)
-    order = Window.partitionBy("doc_id").orderBy("page_number", "table_index", "source_file", "headers")
+    doc = ["doc_id", "source_file"]
+    order = Window.partitionBy(*doc).orderBy("page_number", "table_index", "headers")
     t = tables.withColumns({"_n": F.row_number().over(order), "_width": width.cast("int"), "_follows": F.coalesce(F.col("page_number") == F.lag("page_number").over(order) + 1, F.lit(False)), "_cut": F.coalesce(F.lag("bbox.y1").over(order) > CUT_OFF, F.lit(False))})
     t = t.withColumn("_run", F.sum(F.when(F.col("_follows"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = t.groupBy("doc_id", "_run").agg(F.sort_array(F.collect_list(F.struct("_n", "_width", "_cut", "headers"))).alias("t"))
+    runs = t.groupBy(*doc, "_run").agg(F.sort_array(F.collect_list(F.struct("_n", "_width", "_cut", "headers"))).alias("t"))
     kind = "struct<headers:array<array<string>>,width:int,head:int,done:array<struct<_n:int,_head:int,_same:boolean>>>"
 
     def step(now: Column, x: Column) -> Column:
@@ -120,25 +165,37 @@ def merge_continuations(tables: DataFrame) -> DataFrame:
         return F.struct(F.when(joins, now["headers"]).otherwise(x["headers"]).alias("headers"), F.when(joins, now["width"]).otherwise(x["_width"]).alias("width"), head.alias("head"), F.concat(now["done"], F.array(mine)).alias("done")).cast(kind)
 
     none = F.struct(F.lit(None).alias("headers"), F.lit(None).alias("width"), F.lit(None).alias("head"), F.array().alias("done")).cast(kind)
-    placed = runs.select("doc_id", F.explode(F.aggregate("t", none, step)["done"]).alias("x")).select("doc_id", "x.*")
-    parts = t.join(placed, ["doc_id", "_n"]).withColumn("_said", F.when(F.col("_same"), F.col("rows")).otherwise(F.concat("headers", "rows")))
+    placed = runs.select(*doc, F.explode(F.aggregate("t", none, step)["done"]).alias("x")).select(*doc, "x.*")
+    parts = t.withColumn("_doc", F.struct(*doc)).join(placed.select(F.struct(*doc).alias("_doc"), "_n", "_head", "_same"), ["_doc", "_n"]).withColumn("_said", F.when(F.col("_same"), F.col("rows")).otherwise(F.concat("headers", "rows")))
     first = lambda c: F.min_by(c, "_n").alias(c)
     last = lambda c: F.max_by(c, "_n").alias(c)
     rows = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_said"))), lambda x: x["_said"])).alias("rows")
-    return parts.groupBy("doc_id", "_head").agg(last("page_number"), first("table_index"), first("source_file"), first("headers"), rows, last("bbox")).drop("_head")
+    said = [first("context")] if "context" in tables.columns else []
+    return parts.groupBy(*doc, "_head").agg(last("page_number"), first("table_index"), first("headers"), rows, last("bbox"), *said).drop("_head")
 
 
 def to_table_set(tables: DataFrame, contexts: DataFrame | None = None, method: str = "pdf") -> TableSet:
-    """A TableSet from split (and merged) tables. Ids follow page and place."""
+    """A TableSet from split (and merged) tables. Their ids are numbers from 0 in the order of source, page and place, so that no two
+    tables share one, however many pages, tables or files there are. ``contexts`` may be joined here, or be a column."""
     if contexts is not None:
         tables = tables.join(contexts, ["doc_id", "page_number", "table_index"], "left")
-    ids = table_ids(F.col("doc_id"), F.col("page_number") * 256 + F.col("table_index")).alias("table_id")
-    said = F.coalesce(F.col("context"), F.lit("")) if contexts is not None else F.lit(None)
-    made = tables.select(*table_columns(table_id=ids, source_file=F.col("source_file"), page_number=F.col("page_number"), table_index=F.col("table_index"), extraction_method=F.lit(method), bbox=F.col("bbox"), context=said, headers=F.col("headers")))
-    rows = tables.select(ids, F.posexplode("rows").alias("row_idx", "r")).select("table_id", F.col("row_idx").cast("long").alias("row_idx"), F.transform("r", as_cell).cast("array<struct<v:string,t:string>>").alias("cells"))
+    said = F.coalesce(F.col("context"), F.lit("")) if "context" in tables.columns else F.lit(None)
+    numbered = hold(number_rows(tables, [F.col(c) for c in ("source_file", "doc_id", "page_number", "table_index")], "table_id"))
+    made = numbered.select(*table_columns(table_id=F.col("table_id"), source_file=F.col("source_file"), page_number=F.col("page_number"), table_index=F.col("table_index"), extraction_method=F.lit(method), bbox=F.col("bbox"), context=said, headers=F.col("headers")))
+    rows = numbered.select("table_id", F.posexplode("rows").alias("row_idx", "r")).select("table_id", F.col("row_idx").cast("long").alias("row_idx"), F.transform("r", as_cell).cast("array<struct<v:string,t:string>>").alias("cells"))
     return TableSet(made, rows)
 
 
+def _in_bands(points: DataFrame, bands: DataFrame, at: str, lo: str, hi: str) -> DataFrame:
+    """Points (table_id, ``at``) with the bands of their table (table_id, ``lo``, ``hi`` and others) that hold them, ends included. A table's
+    span is cut into as many bins as it has bands, so a point is compared with the few bands that reach into its bin."""
+    span = bands.groupBy("table_id").agg(F.min(lo).alias("_lo"), ((F.max(hi) - F.min(lo)) / F.count(F.lit(1))).alias("_side"))
+    span = span.withColumn("_side", F.when(F.col("_side") > 0, F.col("_side")).otherwise(1.0))
+    nth = lambda c: F.floor((F.col(c) - F.col("_lo")) / F.col("_side"))
+    laid = bands.where(F.col(lo) <= F.col(hi)).join(span, "table_id").withColumn("_bin", F.explode(F.sequence(nth(lo), nth(hi)))).drop("_lo", "_side")
+    return points.join(span, "table_id").withColumn("_bin", nth(at)).drop("_lo", "_side").join(laid, ["table_id", "_bin"]).where((F.col(lo) <= F.col(at)) & (F.col(at) <= F.col(hi))).drop("_bin", lo, hi)
+
+
 def grids_from_boxes(boxes: DataFrame, words: DataFrame, frames: DataFrame, min_score: float = 0.5) -> DataFrame:
     """table_id, headers, rows rebuilt from detected boxes and the words inside them; tables without a row or a column box are left out.
 
@@ -157,12 +214,14 @@ def grids_from_boxes(boxes: DataFrame, words: DataFrame, frames: DataFrame, min_
     rows = rows.join(heads, "table_id", "left").withColumn("is_head", F.coalesce(F.exists("heads", lambda h: (h["y0"] <= middle) & (middle <= h["y1"])), F.lit(False)))
     rows = rows.select("table_id", "row", "is_head", F.col("x0").alias("rx0"), F.col("y0").alias("ry0"), F.col("x1").alias("rx1"), F.col("y1").alias("ry1"))
     cols = placed.where("label = 'table column'").withColumn("col", nth("px0")).select("table_id", "col", F.col("x0").alias("cx0"), F.col("y0").alias("cy0"), F.col("x1").alias("cx1"), F.col("y1").alias("cy1"))
-    cells = rows.join(cols, "table_id").select("table_id", "row", "col", "is_head", F.greatest("rx0", "cx0").alias("x0"), F.greatest("ry0", "cy0").alias("y0"), F.least("rx1", "cx1").alias("x1"), F.least("ry1", "cy1").alias("y1"))
     at = words.select("table_id", "word_ord", "text", ((F.col("x0") + F.col("x1")) / 2).alias("mx"), ((F.col("top") + F.col("bottom")) / 2).alias("my"))
-    inside = (cells["x0"] <= at["mx"]) & (at["mx"] <= cells["x1"]) & (cells["y0"] <= at["my"]) & (at["my"] <= cells["y1"])
-    held = cells.join(at, (cells["table_id"] == at["table_id"]) & inside, "left").select(cells["table_id"], "row", "col", "is_head", "word_ord", "text")
-    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("word_ord", "text")))), lambda w: w["text"]), " ")
-    filled = held.groupBy("table_id", "row", "is_head", "col").agg(strip(said).alias("text"))
+    # a word is in a cell if it is in its row and in its column, so each axis is looked up on its own
+    at = _in_bands(_in_bands(at, rows.drop("is_head", "rx0", "rx1"), "my", "ry0", "ry1"), cols.drop("cy0", "cy1"), "mx", "cx0", "cx1")
+    # boxes may be askew: the row's sides and the column's ends hold too
+    at = at.join(rows.select("table_id", "row", "rx0", "rx1"), ["table_id", "row"]).join(cols.select("table_id", "col", "cy0", "cy1"), ["table_id", "col"])
+    at = at.where("rx0 <= mx AND mx <= rx1 AND cy0 <= my AND my <= cy1").groupBy("table_id", "row", "col").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_ord", "text"))), lambda w: w["text"]), " ").alias("said"))
+    cells = rows.select("table_id", "row", "is_head").join(cols.select("table_id", "col"), "table_id")
+    filled = cells.join(at, ["table_id", "row", "col"], "left").withColumn("text", strip(F.coalesce("said", F.lit(""))))
     lines = filled.groupBy("table_id", "row", "is_head").agg(F.transform(F.sort_array(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]).alias("cells"))
     grids = lines.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("row", "is_head", "cells"))).alias("g"))
     headed = F.exists("g", lambda r: r["is_head"])
@@ -177,3 +236,44 @@ def refine(tables: DataFrame, rebuilt: DataFrame) -> DataFrame:
     use = staggered(F.col("headers")) & F.col("bbox").isNotNull() & F.col("_r").isNotNull()
     joined = tables.join(new, "table_id", "left")
     return joined.withColumns({"rows": F.when(use, F.col("_r")).otherwise(F.col("rows")), "headers": F.when(use, F.col("_h")).otherwise(F.col("headers"))}).drop("_h", "_r")
+
+
+def detect(tables: DataFrame, files: DataFrame, load: Callable[[], Callable]) -> DataFrame:
+    """Boxes (schema BOXES) that a vision model finds in tables (table_id, source_file, page_number, bbox). ``load`` makes a function of
+    a file's bytes, the page number and the box, which gives (image width, image height, boxes), a box as a dict with label,
+    score, x0, y0, x1, y1 in pixels. It is called once in a Python worker, and each file is read once for all its tables. A
+    table for which the function fails has no row. files: path, content."""
+    asked = tables.groupBy(F.col("source_file").alias("path")).agg(F.collect_list(F.struct("table_id", "page_number", "bbox")).alias("asked"))
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("label", pa.string()), *[(k, pa.float64()) for k in ("score", "x0", "y0", "x1", "y1")]]))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, asked in zip(batch.column(0), batch.column(1), strict=True):
+                for t in asked.as_py():
+                    try:
+                        name = (load.__module__, load.__qualname__)
+                        if name not in _models:
+                            _models[name] = load()
+                        w, h, boxes = _models[name](content.as_py(), t["page_number"], tuple(t["bbox"][k] for k in ("x0", "y0", "x1", "y1")))
+                        row = [pa.array([x], kind) for x, kind in zip((t["table_id"], w, h, list(boxes)), types, strict=True)]
+                    except Exception as e:  # noqa: BLE001  whatever a model raises, the table stays as it is
+                        log.warning("no boxes for table %s: %s", t["table_id"], e)
+                        continue
+                    yield pa.RecordBatch.from_arrays(row, names=["table_id", "image_w", "image_h", "boxes"])
+
+    return files.select("path", "content").join(asked, "path").select("content", "asked").mapInArrow(run, BOXES)
+
+
+def refine_staggered(tables: DataFrame, words: DataFrame, files: DataFrame, load: Callable[[], Callable], min_score: float = 0.5) -> DataFrame:
+    """Split tables, of which the staggered ones with a box are rebuilt from what a model finds in them; they stay as they are where it
+    finds nothing or fails. files: path, content; they are read again if there is such a table."""
+    # the ids are stored, so that all that follows reads the same ones
+    held = hold(tables.withColumn("table_id", F.monotonically_increasing_id()))
+    torn = held.where(staggered(F.col("headers")) & F.col("bbox").isNotNull())
+    if torn.isEmpty():
+        return tables
+    found = hold(detect(torn.select("table_id", "source_file", "page_number", "bbox"), files, load))
+    frames = found.join(torn, "table_id").select("table_id", "doc_id", "source_file", "page_number", *[F.col("bbox")[k].alias(k) for k in ("x0", "y0", "x1", "y1")], "image_w", "image_h")
+    boxes = found.select("table_id", F.explode("boxes").alias("b")).select("table_id", "b.*")
+    own = frames.select("table_id", "doc_id", "source_file", "page_number").join(words, ["doc_id", "source_file", "page_number"]).select("table_id", "word_ord", "text", "x0", "x1", "top", "bottom")
+    return refine(held, grids_from_boxes(boxes, own, frames.drop("doc_id", "source_file", "page_number"), min_score)).drop("table_id")

@@ -357,3 +357,90 @@ def test_shortest_paths_of_many_hops(spark):
     both = both.unionByName(both.selectExpr("query_id", "v as u", "u as v")).selectExpr("query_id", "cast(u as string) as u", "cast(v as string) as v")
     got = retrieve.shortest_paths(both, spark.createDataFrame([(0, "0")], "query_id long, start string"), ["query_id"])
     assert {r.node: len(r.path) for r in got.collect()} == {str(i): i + 1 for i in range(67)}
+
+
+def test_two_sided_paths_equal_one_sided_ones(spark):
+    import random
+
+    rnd = random.Random(4)
+    edges = {(q, *rnd.sample(range(14), 2)) for q in (0, 1) for _ in range(17)} | {(2, i, i + 1) for i in range(30)}
+    both = spark.createDataFrame([(q, f"n{a:02d}", f"n{b:02d}") for q, u, v in edges for a, b in ((u, v), (v, u))], "q int, u string, v string")
+    pairs = [(q, f"n{a:02d}", f"n{b:02d}") for q in (0, 1) for a in range(14) for b in range(a, 14)] + [(2, "n00", "n30"), (2, "n03", "n04"), (3, "n00", "n01")]
+    asked = spark.createDataFrame(pairs, "q int, a string, b string")
+    got = {(r.q, r.a, r.b): r.path for r in retrieve.pair_paths(both, asked, ["q"]).collect()}
+    starts = asked.select("q", F.col("a").alias("start")).distinct()
+    every = {(r.q, r.start, r.node): r.path for r in retrieve.shortest_paths(both, starts, ["q"]).collect()}
+    assert got == {p: every[p] for p in pairs if p in every} and len(got[2, "n00", "n30"]) == 31
+
+
+@pytest.mark.parametrize("part_rows", [1, 3, 1000])
+def test_fills_and_trees_in_parts_equal_plain_loops(spark, part_rows):
+    import random
+
+    rnd = random.Random(part_rows)
+    tables = [[[rnd.choice([None, "", "a", "b", 0]) for _ in range(rnd.randint(0, 4))] for _ in range(rnd.randint(1, 20))] for _ in range(6)]
+    ts = grids.from_lists(spark, [{"headers": [["h"]], "rows": rows} for rows in tables])
+    got = {(r.table_id, r.row_idx): [c.v for c in r.cells] for r in normalize.merged_cells(ts, part_rows).rows.collect()}
+    for t, rows in enumerate(tables):
+        last, first = {}, {}
+        for i, row in enumerate(rows):
+            for c, v in enumerate(row):
+                first.setdefault(c, v)
+                if v not in (None, ""):
+                    last[c] = v
+            assert got[t, i] == [None if (v := last.get(c, first[c])) is None else str(v) for c in range(len(row))]
+    depths = [(t, i, rnd.choice([0, 2, 2, 4, 7])) for t in range(4) for i in range(25)]
+    tree = build.ancestors(spark.createDataFrame(depths, "table_id long, row_idx long, depth int"), part_rows=part_rows)
+    above = {}
+    for r in tree.collect():
+        above.setdefault((r.table_id, r.row_idx), []).append((r.above, r.ancestor))
+    for t in range(4):
+        chain = []
+        for _, i, d in depths[t * 25 : t * 25 + 25]:
+            chain = [(e, k) for e, k in chain if e < d]
+            assert [k for _, k in sorted(above[t, i])] == [k for _, k in reversed(chain)] + [-1]
+            chain.append((d, i))
+
+
+def a_graph(spark, ids):
+    ts = grids.from_lists(spark, [{"headers": [["Key", "Value"]], "rows": [[f"size {i}", f"blue {i % 2}"], ["colour", f"w{i}"]], "source_file": f"s{i}", "table_id": i} for i in ids])
+    types = ts.tables.select("table_id", F.lit("key_value").alias("table_type"), F.lit(1.0).alias("confidence"))
+    return build.build(ts, types, ["key_value"])
+
+
+def test_a_store_in_parts_equals_one_build(spark, tmp_path):
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    whole = api.GraphStore(a_graph(spark, [0, 1, 2, 3, 4]))
+    parts = api.GraphStore(path=str(tmp_path / "store"), spark=spark)
+    assert len(parts) == 0 and parts.add_all([a_graph(spark, [0]), a_graph(spark, [1, 2]), a_graph(spark, [3, 4])]) == [0, 0, 0]
+    asked = ["blue 1 size", "colour w3", "nothing", "entity"]
+    columns = sorted(whole.postings.columns)
+    assert rows(parts.postings.select(columns)) == rows(whole.postings.select(columns)) and len(parts) == 5
+    assert rows(parts.search_nodes(asked, 7)) == rows(whole.search_nodes(asked, 7)) == rows(api.index.search(api.index.postings(a_graph(spark, [0, 1, 2, 3, 4])), api.as_queries(spark, asked), 7))
+    # ids that are taken are moved on
+    assert parts.add(a_graph(spark, [4])) == 1 and {r.graph_id for r in parts.graphs.graphs.collect()} == set(range(6))
+    parts.remove([1, 5])
+    left = api.GraphStore(a_graph(spark, [0, 2, 3, 4]))
+    assert rows(parts.search_nodes(asked, 7)) == rows(left.search_nodes(asked, 7))
+    again = api.GraphStore.open(spark, str(tmp_path / "store"))
+    assert rows(again.search_nodes(asked, 7)) == rows(left.search_nodes(asked, 7)) and len(again) == 4
+    again.compact()
+    assert rows(again.postings.select(columns)) == rows(left.postings.select(columns)) and again.index.removed is None
+    once_more = api.GraphStore.open(spark, str(tmp_path / "store"))
+    assert rows(once_more.search_nodes(asked, 7)) == rows(left.search_nodes(asked, 7))
+    assert rows(api.retrieve_context(once_more.graphs, asked, postings=once_more.index)) == rows(api.retrieve_context(left.graphs, asked))
+    with pytest.raises(ValueError):
+        api.GraphStore.open(spark, str(tmp_path / "none"))
+
+
+def test_a_search_reads_its_buckets_only(spark):
+    store = api.GraphStore(a_graph(spark, range(12)), buckets=32)
+    words = spark.createDataFrame([("w3",), ("colour",)], "token string")
+    found = store.index.lists(words)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "PushedFilters: [In(token" in plan
+    folders = lambda df: {r.p.split("bucket=")[1].split("/")[0] for r in df.select(F.col("_metadata.file_path").alias("p")).distinct().collect()}
+    assert len(folders(store.index._of(store.index.postings, words))) <= 2 < len(folders(store.index.postings))
+    many = spark.range(600).select(F.concat(F.lit("w"), "id").alias("token"))
+    assert {r.token for r in store.index.lists(many).collect()} == {f"w{i}" for i in range(12) if len(f"w{i}") > 1}
+    assert store.index.lists(words.limit(0)).count() == 0

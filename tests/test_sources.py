@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.text import float_repr, python_float, squeeze, strip, tokens, two_places
 from tabweave.plans import api
-from tabweave.sources import grids, pages, text_tables
+from tabweave.sources import grids, pages, ruled, text_tables
 from tabweave.streaming import ingest
 
 
@@ -161,6 +161,110 @@ def test_pdf_parser_plug_in(spark, tmp_path):
         api.extract_tables(spark, str(tmp_path / "x.pdf"))
 
 
+SEGMENTS = "doc_id long, page_number int, x0 double, top double, x1 double, bottom double"
+WORDS = "doc_id long, page_number int, word_ord long, text string, x0 double, x1 double, top double, bottom double"
+
+
+def across(y, x0, x1, page=1):
+    return (1, page, float(x0), float(y), float(x1), float(y))
+
+
+def down(x, y0, y1, page=1):
+    return (1, page, float(x), float(y0), float(x), float(y1))
+
+
+def at(n, text, x, y, page=1):
+    return (1, page, n, text, x - 5.0, x + 5.0, y - 4.0, y + 4.0)
+
+
+def test_ruled_tables_with_merged_and_open_cells(spark):
+    # a header over two columns, a cell over two rows, a side that is missing, pieces of rules, rules a little askew
+    segments = [across(0, 0, 300), across(20, 0, 150), across(21, 149, 300), across(40, 100, 300), across(60, 0, 180), across(60, 182, 300), across(40, 300, 400)]
+    segments += [down(0, 0, 60), down(100, 0, 60), down(200.5, 20, 60), down(199.5, 22, 60), down(300, 0, 60)]
+    segments += [across(200, 0, 50), across(220, 0, 50), down(0, 200, 220), down(50, 200, 220)]  # a lone cell
+    segments += [across(y, 0, 50) for y in (300, 310, 320)] + [down(0, 300, 320), down(50, 300, 320)]
+    segments += [(1, 1, 0.0, 0.0, 90.0, 90.0), across(30, 10, 11), (1, 1, None, 1.0, 2.0, 1.0)]  # slanted, short, broken
+    segments += [across(y, 0, 50, 2) for y in (0, 30)] + [down(x, 0, 30, 2) for x in (0, 25, 50)]
+    words = [at(0, "A", 15, 10), at(1, "Head", 130, 10), at(2, "er", 165, 10), at(3, "tall", 20, 30), at(4, "cell", 20, 50), at(5, "b", 115, 30), at(6, "c", 215, 30), at(7, "d", 115, 50), at(8, "out", 315, 50), at(9, "second", 15, 305), at(0, "p2", 30, 15, 2)]
+    got = ruled.find_tables(spark.createDataFrame(segments, SEGMENTS), spark.createDataFrame(words, WORDS)).orderBy("page_number", "table_index").collect()
+    assert [(r.page_number, r.table_index, r.grid) for r in got] == [
+        (1, 0, [["A", "Head er", None], ["tall\ncell", "b", "c"], [None, "d", ""]]),
+        (1, 1, [["second"], [""]]),
+        (2, 0, [["", "p2"]]),
+    ]
+    assert tuple(got[0].bbox) == (0.0, 0.0, 300.0, 60.0)
+    none = spark.createDataFrame([], SEGMENTS), spark.createDataFrame([], WORDS)
+    assert ruled.find_tables(*none).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ruled_grids_equal_a_plain_search(spark, seed):
+    """Cells of random rules against a search of all corners."""
+    import random
+
+    rnd = random.Random(seed)
+    segments = [across(y * 20, a * 30, b * 30) for y in range(7) for a, b in [sorted(rnd.sample(range(7), 2))]] + [down(x * 30, a * 20, b * 20) for x in range(7) for a, b in [sorted(rnd.sample(range(7), 2))]]
+    segments += [across(0, 0, 180), across(120, 0, 180), down(0, 0, 120), down(180, 0, 120)]
+    merged = ruled.edges(spark.createDataFrame(segments, SEGMENTS)).collect()
+    hs, vs = [e for e in merged if not e.upright], [e for e in merged if e.upright]
+    points = {(v.at, h.at): (v, h) for v in vs for h in hs if h.start - 3 <= v.at <= h.end + 3 and v.start - 3 <= h.at <= v.end + 3}
+    want = set()
+    for (x, y), (v, h) in points.items():
+        fits = [(y2, x2) for (x2, y2), (v2, h2) in points.items() if y2 > y and x2 > x and points.get((x, y2), (0, 0))[0] == v and points.get((x2, y), (0, 0))[1] == h and points[x, y2][1] == h2 and points[x2, y][0] == v2]
+        if fits:
+            want.add((x, y, min(fits)[1], min(fits)[0]))
+    got = {(r.x0, r.top, r.x1, r.bottom) for r in ruled.cells(ruled.crossings(ruled.edges(spark.createDataFrame(segments, SEGMENTS)))).collect()}
+    assert got == want
+
+
+def test_table_ids_never_meet(spark):
+    grid = [["a", "b"], ["1", "2"]]
+    rows = [(d, f, p, i, None, grid) for d, f, p, i in [*[(7, "f", 1, i) for i in range(300)], (7, "f", 2, 0), (7, "f", 5000, 0), (7, "f", 4097, 1), (7, "g", 1, 0), (2**62, "h", 1, 0)]]
+    ts = pages.to_table_set(pages.split_headers(spark.createDataFrame(rows, pages.GRID)))
+    found = ts.tables.orderBy("table_id").collect()
+    assert [r.table_id for r in found] == list(range(305)) and [(r.source_file, r.page_number, r.table_index) for r in found] == sorted((f, p, i) for _, f, p, i, _, _ in rows)
+    assert ts.rows.select("table_id").distinct().count() == 305
+    # one hash, two files: no continuation
+    rows = [(7, f, p, 0, None, grid) for f, p in (("a", 1), ("b", 2))]
+    assert pages.merge_continuations(pages.split_headers(spark.createDataFrame(rows, pages.GRID))).count() == 2
+
+
+def test_drawn_tables_and_the_detector_in_the_facade(spark, tmp_path):
+    # local functions, as the workers cannot import this file
+    def drawn_parser(raw):
+        """A page with a drawn table below a title, whose second header row is torn, and a parser's own table on the next page."""
+        if b"bad" in raw:
+            raise RuntimeError("no such page")
+        lines = [(0, y, 200, y) for y in (20, 40, 60, 80)] + [(x, 20, x, 80) for x in (0, 100, 200)]
+        said = [("Title", 20, 10), ("Cu", 50, 30), ("Sn", 150, 30), ("From", 50, 50), ("1", 50, 70), ("2", 150, 70), ("Foot", 20, 90)]
+        words = [{"text": t, "x0": x - 5, "x1": x + 5, "top": y - 4, "bottom": y + 4} for t, x, y in said]
+        return [{"page_number": 1, "lines": lines, "words": words}, {"page_number": 2, "tables": [{"bbox": (0, 0, 9, 9), "grid": [["own"], ["x"]]}]}]
+
+    def fake_model():
+        def boxes(content, page, box):
+            if b"fails" in content:
+                raise RuntimeError("out of memory")
+            rows = [{"label": "table row", "score": 0.9, "x0": 0, "y0": y, "x1": 400, "y1": y + 40} for y in (0, 40, 80)]
+            columns = [{"label": "table column", "score": 0.9, "x0": x, "y0": 0, "x1": x + 200, "y1": 120} for x in (0, 200)]
+            return 400, 120, [*rows, *columns, {"label": "table column header", "score": 0.9, "x0": 0, "y0": 0, "x1": 400, "y1": 30}]
+
+        return boxes
+
+    for name, content in (("a.pdf", b"one"), ("b.pdf", b"fails")):
+        (tmp_path / name).write_bytes(content)
+    plain = api.PipelineConfig(pdf_parser=drawn_parser, normalizer_chain=[])
+    ts = api.extract_tables(spark, str(tmp_path / "a.pdf"), plain)
+    one, two = ts.tables.orderBy("table_id").collect()
+    assert one.headers == [["Cu", "Sn"], ["From", ""]] and one.context == "Title | Foot" and two.headers == [["own"]] and two.context == ""
+    assert cells(ts) == {0: [["1", "2"]], 1: [["x"]]}
+    config = api.PipelineConfig(pdf_parser=drawn_parser, detector=fake_model, normalizer_chain=[])
+    ts = api.extract_tables(spark, str(tmp_path / "a.pdf"), config)
+    assert ts.tables.orderBy("table_id").first().headers == [["Cu", "Sn"]] and cells(ts) == {0: [["From", ""], ["1", "2"]], 1: [["x"]]}
+    # a model that fails leaves the table as it is
+    ts = api.extract_tables(spark, str(tmp_path / "b.pdf"), config)
+    assert ts.tables.orderBy("table_id").first().headers == [["Cu", "Sn"], ["From", ""]] and cells(ts) == {0: [["1", "2"]], 1: [["x"]]}
+
+
 def test_staggered_tables_are_refined(spark):
     tables = spark.createDataFrame([(0, [["Cu", "Sn"], ["From", ""]], [["1", "2"]], (0.0, 0.0, 1.0, 1.0)), (1, [["a", "b"]], [["3", "4"]], None)], "table_id long, headers array<array<string>>, rows array<array<string>>, bbox struct<x0:double,y0:double,x1:double,y1:double>")
     new = spark.createDataFrame([(0, [["Cu", "Sn"]], [["9", "9"]]), (1, [["z"]], [["z"]])], "table_id long, headers array<array<string>>, rows array<array<string>>")
