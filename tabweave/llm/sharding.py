@@ -46,7 +46,7 @@ REQUEST_BUCKETS = 256
 #: Rounds at most; every one of them lessens the cut links, so an end before is the rule.
 MAX_ROUNDS = 64
 #: Rounds in a row that end it, as they lessen the cut links by a smaller part than LEAST_GAIN each; ties differ between them.
-IDLE, LEAST_GAIN = 4, 0.005
+IDLE, LEAST_GAIN = 2, 0.005
 
 
 def _part(h: Column, parts: int) -> Column:
@@ -81,22 +81,25 @@ def group_counts(linked: DataFrame, g: str, shards: int) -> DataFrame:
     return by.select(g, F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.coalesce(F.try_element_at("m", s), F.lit(0).cast("long"))).alias(f"n_{g}"))
 
 
-def cut_links(linked: DataFrame, groups: list[str]) -> int:
-    """Linked pairs whose documents lie in different shards, from counts by group and shard."""
+def cut_links(counts: dict[str, DataFrame]) -> int:
+    """Linked pairs whose documents lie in different shards, from the groups' counts by shard."""
     total = 0
-    for g in groups:
-        by = linked.where(F.col(g).isNotNull()).groupBy(g, "shard").agg(F.count(F.lit(1)).cast("decimal(18,0)").alias("n"))
-        whole = by.groupBy(g).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
-        total += int(whole.agg(F.sum(F.col("n") * F.col("n") - F.col("within"))).first()[0] or 0) // 2
+    for g, table in counts.items():
+        n = F.transform(f"n_{g}", lambda x: x.cast("decimal(18,0)"))
+        zero = F.lit(0).cast("decimal(38,0)")
+        whole = F.aggregate(n, zero, lambda a, b: (a + b).cast("decimal(38,0)"))
+        within = F.aggregate(n, zero, lambda a, b: (a + b * b).cast("decimal(38,0)"))
+        total += int(table.agg(F.sum((whole.cast("decimal(18,0)") * whole.cast("decimal(18,0)") - within).cast("decimal(38,0)"))).first()[0] or 0) // 2
     return total
 
 
-def requests(linked: DataFrame, groups: list[str], room: list[int], may: list[int], turn: int = 0) -> DataFrame:
-    """The linked documents with ``target`` (null if they stay) and ``gain``; targets are among the shards ``may``. Ties change with ``turn``."""
-    shards = len(room)
+def requests(linked: DataFrame, counts: dict[str, DataFrame], room: list[int], may: list[int], turn: int = 0) -> DataFrame:
+    """The linked documents with ``target`` (null if they stay) and ``gain``; targets are among the shards ``may``. ``counts`` are the groups'
+    counts by shard. Ties change with ``turn``."""
+    shards, groups = len(room), list(counts)
     scored, scores = linked, None
     for g in groups:
-        scored = join_small(scored, materialize(group_counts(linked, g, shards)), g)
+        scored = join_small(scored, counts[g], g)
         own = F.coalesce(F.col(f"n_{g}"), F.array_repeat(F.lit(0).cast("long"), shards))
         scores = own if scores is None else F.zip_with(scores, own, lambda a, b: a + b)
     scored = scored.withColumn("_scores", scores)
@@ -108,7 +111,7 @@ def requests(linked: DataFrame, groups: list[str], room: list[int], may: list[in
     itself = sum((F.col(g).isNotNull().cast("long") for g in groups), F.lit(0).cast("long"))
     gain = F.col("_best.n") - (F.element_at("_scores", F.col("shard") + 1) - itself)
     # out of a full shard, a group that fits goes to the rest of its documents together, though each alone may gain nothing
-    full = ~F.array_contains(F.array(*[F.lit(s) for s, r in enumerate(room) if r > 0]).cast("array<int>"), F.col("shard"))
+    full = ~F.array_contains(allowed, F.col("shard"))
     total = F.aggregate("_scores", F.lit(0).cast("long"), lambda a, b: a + b)
     fits = full & (F.col("_best.n") > 0) & (total - F.col("_best.n") <= F.element_at(F.array(*[F.lit(r) for r in room]), F.col("_best.shard") + 1))
     gain = F.when(fits, F.greatest(gain, F.lit(1).cast("long"))).otherwise(gain)
@@ -127,20 +130,27 @@ def quotas(asked: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int
     return allowed
 
 
+def loads(rows: DataFrame, shards: int) -> list[int]:
+    found = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [found.get(s, 0) for s in range(shards)]
+
+
 def propagate(linked: DataFrame, groups: list[str], caps: list[int], max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """The linked documents with their shards after the last round. ``linked`` is a table with ``shard``; ``caps`` are the shards' capacities."""
     spark, shards = linked.sparkSession, len(caps)
-    cut, idle = cut_links(linked, groups), 0
+    counted = lambda rows: {g: materialize(group_counts(rows, g, shards)) for g in groups}
+    counts = counted(linked)
+    cut, idle = cut_links(counts), 0
+    room = [c - n for c, n in zip(caps, loads(linked, shards), strict=True)]
     for turn in range(max_rounds):
         if not cut or idle == IDLE:
             break
-        load = dict.fromkeys(range(shards), 0) | {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-        room = [c - load[s] for s, c in enumerate(caps)]
         may = [s for s in range(shards) if turn % 2 == 0 or room[s] > caps[s] // 50]
         idle += 1
         if not may:
             continue
-        wish = materialize(requests(linked, groups, room, may, turn // 2))
+        # read twice, and cheaper to make again than to write
+        wish = requests(linked, counts, room, may, turn // 2)
         bucket = F.struct(F.floor(-F.log2(F.col("gain").cast("double"))).alias("cls"), _part(F.xxhash64("h", F.lit(turn)), REQUEST_BUCKETS).alias("part"))
         asking = wish.where(F.col("target").isNotNull()).select("shard", "target", bucket.alias("bucket"))
         by = materialize(asking.groupBy("shard", "target", "bucket").agg(F.count(F.lit(1)).alias("n")))
@@ -154,10 +164,12 @@ def propagate(linked: DataFrame, groups: list[str], caps: list[int], max_rounds:
         moved = wish.join(F.broadcast(taken), ["shard", "target"], "left")
         goes = F.coalesce(bucket <= F.col("last"), F.lit(False))
         after = materialize(moved.withColumn("shard", F.when(goes, F.col("target")).otherwise(F.col("shard"))).select(*linked.columns))
-        now = cut_links(after, groups)
+        counts_after = counted(after)
+        now = cut_links(counts_after)
         if now < cut:
             idle = 0 if now < cut * (1 - LEAST_GAIN) else idle
-            linked, cut = after, now
+            linked, counts, cut = after, counts_after, now
+            room = [c - n for c, n in zip(caps, loads(linked, shards), strict=True)]
     return linked
 
 
@@ -180,15 +192,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     for g in groups[1:]:
         is_linked = is_linked | F.col(g).isNotNull()
     state = materialize(state.withColumn("linked", is_linked))
-    n, caps = state.count(), capacities(state.count(), shards)
+    caps = capacities(state.count(), shards)
     linked = materialize(numbered(state.where("linked"), "k").withColumn("shard", (F.col("k") % shards).cast("int")).drop("k"))
     linked = propagate(linked, groups, caps, max_rounds)
-    load = dict.fromkeys(range(shards), 0) | {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     ends, filled = [], 0
-    for s in range(shards):
-        filled += caps[s] - load[s]
+    for room in (c - m for c, m in zip(caps, loads(linked, shards), strict=True)):
+        filled += room
         ends.append(filled)
-    assert filled == n - sum(load.values())
     # the shard in whose range the number lies: as many as have ended before it
     target = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("k")))
     others = numbered(state.where("NOT linked"), "k").withColumn("shard", target).drop("k")

@@ -83,12 +83,13 @@ def test_requests_and_cut_links_equal_brute_force(spark, seed):
     groups, room, may = ["g0", "g1"], [3, 0, 2, 9], [0, 2, 3]
     tie = {(r.g0, r.g1, r.s): r.t for r in linked.select("g0", "g1", F.explode(F.array(*map(F.lit, range(4)))).alias("s")).select("*", F.xxhash64("g0", "g1", "s", F.lit(7)).alias("t")).collect()}
     pairs = [(a, b) for a, b in itertools.combinations(rows, 2)]
-    assert sharding.cut_links(linked, groups) == sum((a[1] is not None and a[1] == b[1]) + (a[2] is not None and a[2] == b[2]) for a, b in pairs if a[3] != b[3])
-    for r in sharding.requests(linked, groups, room, may, 7).collect():
+    counts = {g: sharding.group_counts(linked, g, 4) for g in groups}
+    assert sharding.cut_links(counts) == sum((a[1] is not None and a[1] == b[1]) + (a[2] is not None and a[2] == b[2]) for a, b in pairs if a[3] != b[3])
+    for r in sharding.requests(linked, counts, room, may, 7).collect():
         scores = [sum(((o[1] is not None) & (o[1] == r.g0)) + ((o[2] is not None) & (o[2] == r.g1)) for o in rows if o[3] == s) for s in range(4)]
         best = max(may, key=lambda s: (scores[s], tie[r.g0, r.g1, s]))
         gain = scores[best] - (scores[r.shard] - (r.g0 is not None) - (r.g1 is not None))
-        if room[r.shard] <= 0 and scores[best] > 0 and sum(scores) - scores[best] <= room[best]:
+        if r.shard not in may and scores[best] > 0 and sum(scores) - scores[best] <= room[best]:
             gain = max(gain, 1)
         assert (r.target, r.gain) == ((best, gain) if best != r.shard and gain > 0 else (None, None))
 
