@@ -9,13 +9,13 @@ HEAD_WORDS words occur, as many characters as it has are taken and their digest
 and what stands around do not matter. ``notices``: one-line notices, by the digests of single lines and paragraphs.
 
 Most texts have none of a few words of which every known text has one in a spelling that the canonical form leaves alone
-(``anchors``); these texts match nothing, and their canonical form is not made. The registry is a parameter table on the driver of at
-most MAX_KNOWN rows, and its broadcast and the literals made from it have that bound.
+(``anchors``); these texts match nothing, and their canonical form is not made. The registry is a parameter table on the driver, of any
+size; its digests are counted before they are broadcast, and the plan has a literal for each of its texts.
 
 Cases: null and empty texts match nothing. A text that holds a notice several times counts each; a body counts once. A
 licence known under two names with one canonical text is reported under the alphabetically first. Texts within each other (a licence
-with and without its title) are all reported as bodies. Repeated rows are each reported. Very long texts are scanned whole; a
-head costs a pass over the text for each of its occurrences. An empty table gives no rows. Extra columns are ignored.
+with and without its title) are all reported as bodies. Repeated rows are each reported. Very long texts are scanned whole, in one
+pass for each head that they have, and each of its occurrences costs a digest of the licence's length. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +27,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabweave.llm.common import join_small
 from tabweave.llm.licence_texts import DIGESTS, LICENCES
 
-#: Known texts of a registry, at most.
-MAX_KNOWN = 5_000
 HEAD_WORDS = 6
 #: Known texts of at least so many characters are looked for inside others, shorter ones are notices.
 BODY_LENGTH = 400
@@ -72,26 +71,30 @@ def canonical(c: Column, keep_lines: bool = False) -> Column:
 
 @dataclass(frozen=True)
 class Known:
-    """A known text: name, SHA-256 and length of its canonical form, and its first words."""
+    """A known text: name, SHA-256 and length of its canonical form, its first words, and its size in UTF-8 bytes."""
 
     licence: str
     digest: str
     length: int
     head: str
+    bytes_: int | None = None
+
+    @property
+    def size(self) -> int:
+        """Texts known by their digests only are ASCII."""
+        return self.length if self.bytes_ is None else self.bytes_
 
 
 def registry(spark: SparkSession, texts: dict[str, str] | None = None, digests: tuple[tuple[str, str, int, str], ...] | None = None) -> list[Known]:
     """The known texts and digests, one for each canonical form (the built-in ones without arguments)."""
     texts = LICENCES if texts is None else texts
     digests = digests if digests is not None else DIGESTS if texts is LICENCES else ()
-    if len(texts) + len(digests) > MAX_KNOWN:
-        raise ValueError(f"a registry has at most {MAX_KNOWN} texts")
     found = {d: Known(name, d, n, head) for name, d, n, head in sorted(digests, reverse=True)}
     if texts:
         rows = spark.createDataFrame(sorted(texts.items()), "licence string, text string").select("licence", canonical(F.col("text")).alias("c")).where("c <> ''")
         for r in rows.orderBy(F.desc("licence")).collect():
             d = hashlib.sha256(r["c"].encode()).hexdigest()
-            found[d] = Known(min(r["licence"], found[d].licence) if d in found else r["licence"], d, len(r["c"]), " ".join(r["c"].split(" ")[:HEAD_WORDS]))
+            found[d] = Known(min(r["licence"], found[d].licence) if d in found else r["licence"], d, len(r["c"]), " ".join(r["c"].split(" ")[:HEAD_WORDS]), len(r["c"].encode()))
     return sorted(found.values(), key=lambda k: k.licence)
 
 
@@ -118,23 +121,32 @@ def anchors(known: list[Known]) -> list[str]:
 
 
 def bodies_in(padded: Column, known: list[Known]) -> Column:
-    """The names of the known texts that lie inside a canonical text with a space before and after it, between spaces."""
+    """The names of the known texts that lie inside a canonical text with a space before and after it, between spaces.
+
+    A head cuts the text into pieces, whose running lengths give the places where it stands: one pass a head. At each place as many
+    bytes as the licence has are taken (without a look at what lies before), and hashed if a blank follows them."""
     long = [k for k in known if k.length >= BODY_LENGTH]
     if not long:
         return F.array().cast("array<string>")
-    table = F.array(*[F.struct(F.lit(k.licence).alias("licence"), F.lit(f" {k.head}").alias("head"), F.lit(k.length).alias("length"), F.lit(k.digest).alias("digest")) for k in long])
+    table = F.array(*[F.struct(F.lit(k.licence).alias("licence"), F.lit(f" {k.head}").alias("head"), F.lit(k.size).alias("size"), F.lit(k.digest).alias("digest")) for k in long])
+    blank = F.lit(" ").cast("binary")
 
-    def lies(k: Column) -> Column:
-        pieces = F.split(padded, k["head"])
+    def lies(k: Column, text: Column, raw: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.lit(False).alias("met"))
 
-        def here(i: Column) -> Column:
-            # what follows the i-th occurrence of the head, the head in front again
-            text = F.concat(k["head"], F.call_function("array_join", F.slice(pieces, i + 1, F.size(pieces)), k["head"]))
-            return (F.substring(text, k["length"] + 2, F.lit(1)) == " ") & (F.sha2(F.substring(text, F.lit(2), k["length"]), 256) == k["digest"])
+        def step(now: Column, piece: Column) -> Column:
+            # the piece ends where the head begins with its blank
+            start = now["at"] + F.octet_length(piece)
+            here = (F.substring(raw, start + k["size"] + 2, F.lit(1)) == blank) & (F.sha2(F.substring(raw, start + 2, k["size"]), 256) == k["digest"])
+            return F.struct((start + F.octet_length(k["head"])).alias("at"), (now["met"] | here).alias("met"))
 
-        return F.contains(padded, k["head"]) & F.exists(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), here)
+        # behind the last piece no head stands, but the text's end, where nothing has room
+        return F.contains(text, k["head"]) & F.aggregate(F.split(text, k["head"]), none, step, lambda x: x["met"])
 
-    return F.transform(F.filter(table, lies), lambda k: k["licence"])
+    # bound to a variable, so that the text and its bytes are made once, not for each place
+    once = F.array(F.struct(padded.alias("text"), padded.cast("binary").alias("raw")))
+    names = F.transform(once, lambda x: F.transform(F.filter(table, lambda k: lies(k, x["text"], x["raw"])), lambda k: k["licence"]))
+    return F.get(names, F.lit(0))
 
 
 def scan(docs: DataFrame, known: list[Known], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,5 +176,5 @@ def scan(docs: DataFrame, known: list[Known], id_col: str = "doc_id", text_col:
         found.alias("found"),
     )
     table = spark.createDataFrame([(k.digest, k.licence) for k in known], "whole_digest string, whole_licence string")
-    joined = per_doc.join(F.broadcast(table), "whole_digest", "left")
+    joined = join_small(per_doc, table, "whole_digest")
     return joined.select("doc_id", "whole_licence", "bodies", F.size("found").cast("long").alias("n_notices"), F.array_join(F.array_distinct("found"), ",").alias("notices"))

@@ -113,11 +113,12 @@ _KINDS = ("any", *SOFT)
 def _low(r: str) -> str:
     """The lower end of a host's posterior rate of a kind of failure."""
     mean = f"((f_{r} + m_{r} * w_{r}) / (n + w_{r}))"
-    return f"case when w_{r} is null then m_{r} else {mean} - {Z} * sqrt({mean} * (1 - {mean}) / (n + w_{r} + 1)) end"
+    return f"case when w_{r} is null then m_{r} - {Z} * sqrt(m_{r} * (1 - m_{r}) / nn) else {mean} - {Z} * sqrt({mean} * (1 - {mean}) / (n + w_{r} + 1)) end"
 
 
-RULES = f"""
-with d as (select doc_id, source, coalesce(text, '') as text, {_WORDS} as ws from documents),
+def _rules(host: str) -> str:
+    return f"""
+with d as (select doc_id, {host} as source, coalesce(text, '') as text, {_WORDS} as ws from documents),
 g as (
   select doc_id, i, count(*) over (partition by doc_id, ws[i], ws[i + 1], ws[i + 2]) as c
   from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from d)),
@@ -141,12 +142,15 @@ p as (
   select *, {", ".join(f"case when nn - sq - (k - 1) <= 1e-9 or m_{r} <= 0 or m_{r} >= 1 then 0 else least(1, greatest(0, (v_{r} / (m_{r} * (1 - m_{r})) - (k - 1)) / (nn - sq - (k - 1)))) end as rho_{r}" for r in _KINDS)} from t),
 w as (select *, {", ".join(f"case when rho_{r} > 1e-9 then 1 / rho_{r} - 1 end as w_{r}" for r in _KINDS)} from p),
 v as (
-  select source, {_low("any")} > {LIMITS.max_host_rate} as rejected, {", ".join(f"{_low(r)} > {LIMITS.max_rule_rate} as bad_{r}" for r in SOFT)} from h, w),
+  select source, {_low("any")} > greatest({LIMITS.max_host_rate}, m_any) as rejected, {", ".join(f"{_low(r)} > greatest({LIMITS.max_rule_rate}, m_{r}) as bad_{r}" for r in SOFT)} from h, w),
 j as (
   select f.*, coalesce(rejected or {" or ".join(f"(bad_{r} and x_{r})" for r in SOFT)}, false) as by_host from f left join v on f.source = v.source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, by_host, not base_failed and not by_host as kept from j
 """
 
+
+RULES, RULES_BY_LENGTH = _rules("source"), _rules("'len' || length(length(text)::varchar)")
+
 _P = "(1 + {scale}::hugeint * ({count} + 2) // ({total} + 2 * {v}))"
 _WEIGHT = lambda count, total: _P.format(scale=SCALE, count=count, total=total, v="v")
 DIVERGENCE = f"""
@@ -176,4 +180,4 @@ r as (
 select lang, source, part, item, value, rank::int as rank from r
 """
 
-ORACLES = {"op3_ngram_jaccard": NGRAM, "op6_licences": LICENCE, "op7_chat": CHAT, "op8_mixing": MIXING, "op9_quality_rules": RULES, "op12_divergence": DIVERGENCE}
+ORACLES = {"op3_ngram_jaccard": NGRAM, "op6_licences": LICENCE, "op7_chat": CHAT, "op8_mixing": MIXING, "op9_quality_rules": RULES, "host_rules_by_length": RULES_BY_LENGTH, "op12_divergence": DIVERGENCE}

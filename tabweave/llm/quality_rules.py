@@ -13,14 +13,19 @@ return. Five rules look at a document; the first two are the base rule, which fa
 A failure of one of the last three says little by itself (a table, a refrain, a list of names); that a host fails one again and
 again does. For each rule, and for failing any rule, a host's rate is estimated from its documents and failures and from the
 beta prior of all hosts, by the moments of the beta-binomial distribution: the spread of the hosts' rates that is left after the
-binomial part is taken off. The verdict looks at the lower end of the posterior (its mean less ``Z`` standard deviations):
+binomial part is taken off. A host stands out by a rule if the lower end of its posterior (the mean less ``Z`` standard deviations) is
+above the mean of all hosts:
 
-* above ``max_host_rate`` for failing any rule: the host is rejected with all its documents;
-* above ``max_rule_rate`` for one of the last three rules: the host's documents that fail this rule are rejected.
+* so for failing any rule, and the lower end is above ``max_host_rate``: the host is rejected with all its documents;
+* so for one of the last three rules, and the lower end is above ``max_rule_rate``: the host's documents that fail this rule are rejected.
+
+Where the hosts' rates differ by no more than chance, no host stands out, however high the rate that all of them share is: then it is
+the rule or the corpus that is unusual, and documents are judged by the base rule alone.
 
 Cases: null and empty texts have no words and fail the base rule. Documents with a null host have no host verdict and are judged by
 the base rule alone. Hosts of one document have no spread of their own: if all hosts are such, the prior is endless and every host
-gets the mean of all. Without spread beyond the binomial part it is so as well. Repeated rows count each time. Very long texts are
+gets the mean of all, with the binomial error of that mean. Without spread beyond the binomial part it is so as well; no host stands
+out then. Repeated rows count each time. Very long texts are
 counted whole, one at a time. Ties cannot arise. An empty table gives no rows. Extra columns are ignored by ``judge`` and passed
 through by ``keep_passing``.
 """
@@ -155,15 +160,16 @@ def host_verdicts(stats: DataFrame, host_col: str, limits: Limits = DEFAULT) ->
         m = sums[f"f_{r}"] / sums["n"] if sums["n"] else 0.0
         rho = spread_of(sums["n"] or 0, sums["k"], sums["squares"] or 0.0, sums[f"f_{r}"] or 0, sums[f"q_{r}"] or 0.0)
         weight = 1 / rho - 1 if rho > 1e-9 else None
-        mean, low = F.lit(float(m)), F.lit(float(m))
+        mean, low = F.lit(float(m)), F.lit(float(m - Z * (m * (1 - m) / max(sums["n"] or 0, 1)) ** 0.5))
         if weight is not None:
             a, total = F.col(f"f_{r}") + F.lit(m * weight), n + F.lit(weight)
             mean = a / total
             low = mean - Z * F.sqrt(mean * (1 - mean) / (total + 1))
-        ends[r] = low
+        # beyond the mean of all hosts, and the limit
+        ends[r] = low > max(limits.max_host_rate if r == "any" else limits.max_rule_rate, m)
         if r == "any":
             out = out.withColumn("host_rate", mean)
-    return out.withColumns({"rejected": ends["any"] > limits.max_host_rate} | {f"bad_{r}": ends[r] > limits.max_rule_rate for r in SOFT})
+    return out.withColumns({"rejected": ends["any"]} | {f"bad_{r}": ends[r] for r in SOFT})
 
 
 def by_host(failed: dict[str, Column]) -> Column:

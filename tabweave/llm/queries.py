@@ -53,6 +53,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", *quality_rules.STATS, "base_failed", "by_host", "kept")
 
 
+def host_rules_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of op9 where hosts differ: documents are grouped by the number of digits of their length."""
+    host = F.concat(F.lit("len"), F.length(F.length("text").cast("string")))
+    docs = read_table(spark, sf_dir, "documents").withColumn("host", host)
+    return quality_rules.judge(docs, ["doc_id"], "host").select("doc_id", *quality_rules.STATS, "base_failed", "by_host", "kept")
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     remainder = id_remainder(F.col("doc_id"), 4)
@@ -74,5 +81,5 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_sentencepiece, op3_ngram_jaccard, op4_lz_fingerprint, op5_toxicity, op6_licences, op7_chat, op8_mixing, op9_quality_rules, op10_langid, op11_sharding, op12_divergence, op13_whitening)
+    for f in (op1_quality, op2_sentencepiece, op3_ngram_jaccard, op4_lz_fingerprint, op5_toxicity, op6_licences, op7_chat, op8_mixing, op9_quality_rules, op10_langid, op11_sharding, op12_divergence, op13_whitening, host_rules_by_length)
 }

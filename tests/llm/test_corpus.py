@@ -343,6 +343,30 @@ def test_long_licences_by_their_digests(spark):
         assert n in got[100 + i].bodies.split(",")  # the Apache licence has its own notice inside as well
 
 
+def test_many_heads_in_a_long_text(spark):
+    """10,000 beginnings of a licence and then the licence, beside letters of several bytes; a text ten times as long takes about ten times as long."""
+    import time
+
+    known = licences.registry(spark)
+    head = next(k.head for k in known if k.licence == "mit")
+    took = []
+    for n in (1_000, 10_000):
+        rows = [(1, f"été {head} γ " * n + MIT + " end", None, None), (2, f"été {head} γ " * n, None, None)]
+        began = time.perf_counter()
+        got = {r.doc_id: r.bodies for r in licences.scan(documents(spark, rows), known).collect()}
+        took.append(time.perf_counter() - began)
+        assert got == {1: "mit", 2: ""}
+    assert took[1] < 5
+
+
+def test_a_large_registry(spark):
+    texts = {f"l{i}": f"licence number {i} " + "of many words " * 3 for i in range(6_000)}
+    known = licences.registry(spark, texts)
+    assert len(known) == 6_000
+    got = licences.scan(documents(spark, [(1, texts["l5999"].upper(), None, None), (2, "none", None, None)]), [*known[:40], *[k for k in known if k.licence == "l5999"]]).collect()
+    assert {r.doc_id: r.whole_licence for r in got} == {1: "l5999", 2: None}
+
+
 def test_anchors_leave_nothing_out(spark):
     """A text with a known text in it holds an anchor in its lower-case form, whatever stands around."""
     words = licences.anchors(licences.registry(spark))
@@ -461,18 +485,19 @@ def brute_verdicts(rows, z=1.645):
         if h is not None:
             hosts[h].append(failed[i])
     total = sum(map(len, hosts.values()))
-    low = {}
+    low, mean = {}, {}
     for kind in kinds:
         m = sum(f[kind] for fs in hosts.values() for f in fs) / total
         squares = sum(len(fs) * (sum(f[kind] for f in fs) / len(fs) - m) ** 2 for fs in hosts.values())
         room = total - sum(len(fs) ** 2 for fs in hosts.values()) / total - (len(hosts) - 1)
         rho = max(0, (squares / (m * (1 - m)) - (len(hosts) - 1)) / room) if room > 1e-9 and 0 < m < 1 else 0
         for h, fs in hosts.items():
-            low[h, kind] = m
+            low[h, kind] = m - z * (m * (1 - m) / total) ** 0.5
             if rho > 1e-9:
                 a, b = m * (1 / rho - 1) + sum(f[kind] for f in fs), (1 - m) * (1 / rho - 1) + sum(not f[kind] for f in fs)
                 low[h, kind] = a / (a + b) - z * (a * b / (a + b) ** 2 / (a + b + 1)) ** 0.5
-    by_host = {i: h is not None and (low[h, "any"] > 0.5 or any(low[h, k] > 0.05 and failed[i][k] for k in kinds[1:])) for i, _, h in rows}
+        mean[kind] = m
+    by_host = {i: h is not None and (low[h, "any"] > max(0.5, mean["any"]) or any(low[h, k] > max(0.05, mean[k]) and failed[i][k] for k in kinds[1:])) for i, _, h in rows}
     return {i: (not failed[i]["base"] and not by_host[i], by_host[i]) for i, _, _ in rows}
 
 
@@ -510,6 +535,17 @@ def test_host_rules(spark):
     assert quality_rules.judge(empty(spark), ["doc_id"]).count() == 0 and quality_rules.keep_passing(empty(spark)).count() == 0
 
 
+def test_a_host_is_judged_by_the_others(spark):
+    """Equal documents fare differently on hosts of which one stands out; where all hosts are alike, none is condemned."""
+    marked = LONG + " #" * 60
+    apart = [(i, marked if i % 4 == 0 else LONG, None, "worse") for i in range(100)] + [(100 + i, marked if i == 0 else LONG, None, f"h{i % 5}") for i in range(300)]
+    got = {r.doc_id: r for r in quality_rules.judge(documents(spark, apart), ["doc_id"]).collect()}
+    assert not got[0].kept and got[100].kept and got[1].kept
+    alike = [(i, marked if i % 10 < 3 else LONG, None, f"h{i // 10 % 8}") for i in range(400)]
+    got = quality_rules.judge(documents(spark, alike), ["doc_id"]).collect()
+    assert all(r.kept and not r.by_host and abs(r.host_rate - 0.3) < 1e-9 for r in got)
+
+
 def test_spread_of_hosts_with_one_document():
     ones = [0, 1] * 20
     n, f = len(ones), sum(ones)
