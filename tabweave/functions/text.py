@@ -12,8 +12,10 @@ BLANK = r"[\p{IsWhite_Space}\x1c-\x1f]"
 
 
 def strip(c: Column) -> Column:
-    """str.strip()."""
-    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+\z", "")
+    """str.strip(). Texts that begin and end with a visible ASCII character are left as they are without a pattern."""
+    seen = lambda x: x.between("!", "~")
+    plain = seen(F.substring(c, 1, 1)) & seen(F.right(c, F.lit(1)))
+    return F.when(plain, c).otherwise(F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+\z", ""))
 
 
 def lstrip(c: Column) -> Column:
@@ -80,9 +82,11 @@ NUMERIC = r"(?U)^-?[\d,]+(\.\d+)?%?$"
 ISO_DATE = r"(?U)^\d{4}-\d{2}-\d{2}"
 SLASH_DATE = r"(?U)^\d{1,2}/\d{1,2}/\d{2,4}"
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
-TEMPORAL = r"(?iU)(?:^|\b)(?:Q[1-4]|" + "|".join(dict.fromkeys([m[:3] for m in MONTHS] + list(MONTHS))) + r"|\d{4}[-/]\d{1,2}|\d{4}|FY\s?\d{2,4}|H[12]|CY\s?\d{2,4})(?:\b|$)"
+SHORT_MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+TEMPORAL = r"(?iU)(?:^|\b)(?:Q[1-4]|" + "|".join((*SHORT_MONTHS, *MONTHS)) + r"|\d{4}[-/]\d{1,2}|\d{4}|FY\s?\d{2,4}|H[12]|CY\s?\d{2,4})(?:\b|$)"
 KEY_NAME = r"(?i)(?:^|_)(?:id|key|ref|fk|pk|code)(?:$|_)"
 NUMBERED = r"(?U)^\s*\d+[.\-]"
+# Words that are no tokens.
 STOP_WORDS = ("a", "an", "and", "at", "by", "for", "from", "how", "in", "is", "many", "much", "of", "on", "the", "to", "what", "when", "where", "which", "who")
 
 
@@ -90,6 +94,15 @@ def is_numeric(c: Column) -> Column:
     return F.coalesce(strip(c).rlike(NUMERIC), F.lit(False))
 
 
+def looks_numeric(s: Column) -> Column:
+    """is_numeric of a stripped text; plain whole numbers and decimals are told without a pattern."""
+    rest = F.translate(s, "0123456789", "")
+    digits = F.length(s) > F.length(rest)
+    whole = digits & ((rest == "") | ((rest == "-") & F.startswith(s, F.lit("-"))))
+    decimal = (rest == ".") & ~F.startswith(s, F.lit(".")) & ~F.endswith(s, F.lit("."))
+    return F.when(whole | decimal, True).otherwise(s.rlike(NUMERIC))
+
+
 def is_temporal(c: Column) -> Column:
     return F.coalesce(strip(c).rlike(TEMPORAL), F.lit(False))
 

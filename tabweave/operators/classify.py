@@ -7,26 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.functions.text import NUMBERED, is_key_name, is_numeric, is_temporal, leading_blanks, strip
+from tabweave.functions.text import NUMBERED, TEMPORAL, is_key_name, is_temporal, leading_blanks, looks_numeric, strip
+from tabweave.plans.shared import hold
 from tabweave.schema import ARCHETYPES, TableSet
 
 SECONDARY = 0.3
 
 
+def value_counts(cells: DataFrame) -> DataFrame:
+    """Per table, column and distinct stripped text of a long cells DataFrame: cells, and how many of them end with a colon, are indented or
+    begin with a number. Cells are counted by value first, map-side, so that patterns look at distinct values only. Rows without
+    cells may be there with a null column."""
+    by_value = cells.groupBy("table_id", "col_idx", "v").agg(F.count(F.lit(1)).alias("k"))
+    c0 = F.coalesce("v", F.lit(""))
+    kinds = by_value.withColumn("s", strip(c0)).withColumns({"n_labels": F.endswith("s", F.lit(":")), "n_indented": leading_blanks(c0) > 0, "n_numbered": F.coalesce(F.col("v").rlike(NUMBERED), F.lit(False)), "n_some": F.col("v").isNotNull()})
+    many = lambda c: F.sum(F.when(F.col(c), F.col("k")).otherwise(0)).alias(c)
+    return kinds.groupBy("table_id", "col_idx", "s").agg(F.sum("k").alias("k"), *[many(c) for c in ("n_labels", "n_indented", "n_numbered", "n_some")])
+
+
+def profile_of(counted: DataFrame) -> DataFrame:
+    some = counted.withColumns({"is_num": looks_numeric(F.col("s")), "is_empty": F.col("s") == ""})
+    some = some.withColumn("is_time", F.when(F.col("is_num") | F.col("is_empty"), False).otherwise(F.col("s").rlike(TEMPORAL)))
+    many = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("k"))), F.lit(0))
+    return some.groupBy("table_id", "col_idx").agg(F.sum("k").alias("visited"), many("is_num").alias("n_numeric"), many("is_time").alias("n_temporal"), many("is_empty").alias("n_empty"), F.count_if(~F.col("is_empty")).alias("n_distinct"))
+
+
 def column_profile(cells: DataFrame) -> DataFrame:
     """Per table and column of a long cells DataFrame: visited, numeric, temporal and empty cells, and distinct values."""
-    s = strip(F.coalesce("v", F.lit("")))
-    some = cells.withColumn("s", s).withColumns({"is_num": is_numeric(F.col("s")), "is_empty": F.col("s") == ""})
-    some = some.withColumn("is_time", ~F.col("is_num") & ~F.col("is_empty") & is_temporal(F.col("s")))
-    # first by value, so that distinct values need no second shuffle of cells
-    by_value = some.groupBy("table_id", "col_idx", "s").agg(F.count(F.lit(1)).alias("k"), F.first("is_num").alias("is_num"), F.first("is_empty").alias("is_empty"), F.first("is_time").alias("is_time"))
-    return by_value.groupBy("table_id", "col_idx").agg(
-        F.sum("k").alias("visited"),
-        F.coalesce(F.sum(F.when(F.col("is_num"), F.col("k"))), F.lit(0)).alias("n_numeric"),
-        F.coalesce(F.sum(F.when(F.col("is_time"), F.col("k"))), F.lit(0)).alias("n_temporal"),
-        F.coalesce(F.sum(F.when(F.col("is_empty"), F.col("k"))), F.lit(0)).alias("n_empty"),
-        F.count_if(~F.col("is_empty")).alias("n_distinct"),
-    )
+    return profile_of(value_counts(cells))
 
 
 def column_type(n_numeric: Column, n_temporal: Column, non_empty: Column) -> Column:
@@ -34,31 +42,31 @@ def column_type(n_numeric: Column, n_temporal: Column, non_empty: Column) -> Col
 
 
 def features(ts: TableSet) -> DataFrame:
-    """One row per table with its structural signals."""
-    first = F.get("cells", F.lit(0))
-    has_first = F.size("cells") > 0
-    printed = F.coalesce(first["v"], F.lit(""))
-    per_row = ts.rows.select("table_id", "row_idx", F.size("cells").alias("width"), has_first.alias("has_first"), first["v"].alias("raw"), printed.alias("c0"))
-    shape = per_row.groupBy("table_id").agg(
-        F.count(F.lit(1)).alias("num_rows"),
-        F.min_by("width", "row_idx").alias("first_width"),
-        F.count_if(F.endswith(strip(F.col("c0")), F.lit(":"))).alias("n_labels"),
-        F.count_if(F.col("has_first") & (leading_blanks(F.col("c0")) > 0)).alias("n_indented"),
-        F.count_if(F.col("raw").rlike(NUMBERED)).alias("n_numbered"),
-    )
+    """One row per table with its structural signals. The rows are read once, as counts of distinct values by column, which are held."""
+    laid = ts.rows.select("table_id", F.posexplode_outer("cells").alias("col_idx", "c")).select("table_id", "col_idx", "c.v")
+    counted = hold(value_counts(laid))
+    # every row has a first cell, or none at all
+    per_row = counted.where("col_idx = 0 OR col_idx IS NULL")
+    real = F.col("col_idx").isNotNull()
+    shape = per_row.groupBy("table_id").agg(F.sum("k").alias("num_rows"), *[F.sum(F.when(real, F.col(c)).otherwise(0)).alias(c) for c in ("n_labels", "n_indented", "n_numbered")])
     h0 = F.get("headers", F.lit(0))
-    t = ts.tables.select("table_id", "headers", F.coalesce(h0, F.array().cast("array<string>")).alias("h0"))
+    # one small row a table, read by several branches
+    t = hold(ts.tables.select("table_id", "headers", F.coalesce(h0, F.array().cast("array<string>")).alias("h0")))
+    # without headers the first row tells the number of columns; rows are read for it only if there is such a table
+    first = ts.rows.groupBy("table_id").agg(F.min_by(F.size("cells"), "row_idx").alias("first_width"))
+    if t.where(F.size("headers") == 0).isEmpty():
+        first = t.select("table_id", F.lit(None).cast("int").alias("first_width"))
     # an empty first header row leaves a table without columns, as no headers and no rows do
-    wide = t.join(shape, "table_id", "left").fillna(0, ["num_rows", "n_labels", "n_indented", "n_numbered"])
+    wide = t.join(shape, "table_id", "left").join(first, "table_id", "left").fillna(0, ["num_rows", "n_labels", "n_indented", "n_numbered"])
     wide = wide.withColumn("num_cols", F.when(F.size("headers") > 0, F.size("h0")).otherwise(F.coalesce("first_width", F.lit(0))).cast("long"))
     names = wide.select("table_id", "num_cols", "num_rows")
-    profile = column_profile(ts.cells()).join(names, "table_id").where("col_idx < num_cols")
+    profile = profile_of(counted.where(real)).join(names, "table_id").where("col_idx < num_cols")
     non_empty = F.col("num_rows") - F.col("n_empty")
     typed = profile.withColumns({"type": column_type(F.col("n_numeric"), F.col("n_temporal"), non_empty), "unique": F.when(non_empty == 0, 0.0).otherwise(F.col("n_distinct") / non_empty)})
     columns = typed.groupBy("table_id").agg(F.sum("visited").alias("visited"), F.sum("n_numeric").alias("numeric"), F.map_from_entries(F.collect_list(F.struct("col_idx", F.struct("type", "unique")))).alias("by_col"))
     # rows that begin with a column's name: distinct first cells are counted, not gathered
     heads = wide.select("table_id", F.array_distinct(F.transform("h0", lambda x: strip(F.lower(x)))).alias("names"))
-    starts = per_row.where("raw is not null").select("table_id", strip(F.lower(F.col("raw"))).alias("start")).distinct()
+    starts = per_row.where(real & (F.col("n_some") > 0)).select("table_id", F.lower("s").alias("start")).distinct()
     met = starts.join(heads, "table_id").groupBy("table_id").agg(F.count(F.lit(1)).alias("n_starts"), F.count_if(F.array_contains("names", F.col("start"))).alias("n_common"), F.first(F.size("names")).alias("n_names"))
     out = wide.join(columns, "table_id", "left").join(met, "table_id", "left")
     of = lambda field, other: F.transform(F.when(F.col("num_cols") > 0, F.sequence(F.lit(0).cast("long"), F.col("num_cols") - 1)).otherwise(F.array().cast("array<bigint>")), lambda i: F.coalesce(F.try_element_at("by_col", i.cast("int"))[field], other))
@@ -155,4 +163,4 @@ def classify(ts: TableSet | DataFrame, extra: dict[str, Column] | None = None, o
     )
 
 
-__all__ = ["ARCHETYPES", "classify", "column_profile", "column_type", "features", "rules"]
+__all__ = ["ARCHETYPES", "classify", "column_profile", "column_type", "features", "profile_of", "rules", "value_counts"]

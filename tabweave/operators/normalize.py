@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from tabweave.functions.text import ISO_DATE, NUMERIC, SLASH_DATE, squeeze, strip
+from tabweave.functions.text import ISO_DATE, SLASH_DATE, looks_numeric, squeeze, strip
 from tabweave.schema import CELL, TableSet
 
 
@@ -69,7 +69,7 @@ def data_type(v: Column, t: Column) -> Column:
         F.when(v.isNull() | (t == "none"), "empty")
         .when(t.isin("int", "float", "bool"), "numeric")
         .when(s == "", "empty")
-        .when(s.rlike(NUMERIC), "numeric")
+        .when(looks_numeric(s), "numeric")
         .when(s.rlike(ISO_DATE) | s.rlike(SLASH_DATE), "date")
         .otherwise("text")
     )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tabweave.functions.text import ISO_DATE, KEY_NAME, MONTHS, NUMERIC, SLASH_DATE, STOP_WORDS
+from tabweave.functions.text import ISO_DATE, KEY_NAME, MONTHS, NUMERIC, SHORT_MONTHS, SLASH_DATE, STOP_WORDS
 from tabweave.plans.queries import GRIDS
 
 ORACLES: dict[str, str] = {}
 _B = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
-_TEMPORAL = r"(?i)(?:^|\b)(?:Q[1-4]|" + "|".join(dict.fromkeys([m[:3] for m in MONTHS] + list(MONTHS))) + r"|\d{4}[-/]\d{1,2}|\d{4}|FY\s?\d{2,4}|H[12]|CY\s?\d{2,4})(?:\b|$)"
+_TEMPORAL = r"(?i)(?:^|\b)(?:Q[1-4]|" + "|".join((*SHORT_MONTHS, *MONTHS)) + r"|\d{4}[-/]\d{1,2}|\d{4}|FY\s?\d{2,4}|H[12]|CY\s?\d{2,4})(?:\b|$)"
 _TYPES = {"INT": ("r_regionkey", "n_nationkey", "n_regionkey", "s_suppkey", "s_nationkey", "c_custkey", "c_nationkey", "p_partkey", "p_size", "o_orderkey", "o_custkey", "event_id", "user_id", "doc_id", "quality", "toxic"), "FLOAT": ("s_acctbal", "c_acctbal", "p_retailprice", "o_totalprice", "value")}
 
 
@@ -179,7 +179,7 @@ with c as (select conv_id, row_number() over (order by conv_id, turn) - 1 as r f
 select 0::bigint as graph_id, 'entity_' || r as src, 'entity_' || t as dst, r::bigint as src_ord, 0::bigint as seq, 'REFERENCES' as label, 'via_column=conv_id' as props from c join l using (conv_id) where r <> t"""
 ORACLES["relational_event_edges"] = """
 with e as (select *, row_number() over (order by event_id) - 1 as r from events), k as (select event_id, max(r) as t from e group by 1)
-select 6::bigint as graph_id, 'entity_' || r as src, 'entity_' || t as dst, r::bigint as src_ord, 1::bigint as seq, 'REFERENCES' as label, 'via_column=user_id' as props from e join k on e.user_id = k.event_id where r <> t"""
+select 6::bigint as graph_id, 'entity_' || r as src, 'entity_' || t as dst, r::bigint as src_ord, 2::bigint as seq, 'REFERENCES' as label, 'via_column=user_id' as props from e join k on e.user_id = k.event_id where r <> t"""
 
 _QUANTITY = """q as (select l_returnflag as f, year(l_shipdate)::varchar as y, l_linestatus as s, sum(l_quantity)::varchar as v from lineitem group by all),
 ys as (select y, row_number() over (order by y) - 1 as i from (select distinct y from q)), ss as (select s, row_number() over (order by s) - 1 as j from (select distinct s from q)),
@@ -378,7 +378,7 @@ l as (select d, r, string_agg(s, '¦' order by c) as s from k group by 1, 2)
 select d as table_id, first(s order by r) as headers, string_agg(s, '/' order by r) filter (r > 0) as rows from l group by 1"""
 ORACLES["row_numbers"] = "select row_number() over (order by o_totalprice desc, o_orderkey) - 1 as row_idx, o_orderkey::varchar as o_orderkey from orders"
 ORACLES["ruled_tables"] = """
-with l as (select l_orderkey as d, l_linenumber as ln, l_partkey as pk, l_returnflag as m, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as n from lineitem),
+with l as (select l_orderkey as d, l_linenumber as ln, l_partkey as pk, l_returnflag as m, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_returnflag) as n from lineitem),
 g as (select *, case when lag(m) over (partition by d order by n) = m then 0 else 1 end as first from l),
 r as (select *, sum(first) over (partition by d order by n) as run from g),
 t as (select d, n, case when first = 1 then string_agg(m, '/') over (partition by d, run) else '-' end || '|' || ln || '|' || pk as cells from r)

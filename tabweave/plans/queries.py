@@ -23,7 +23,7 @@ GRIDS = {
     "customer": (3, ["c_custkey"], ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
     "part": (4, ["p_partkey"], ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]),
     "orders": (5, ["o_orderkey"], ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]),
-    "events": (6, ["event_id"], ["event_id", "user_id", "event_type", "value"]),
+    "events": (6, ["event_id"], ["event_id", "ts", "user_id", "event_type", "value", "props"]),
     "labels": (7, ["doc_id"], ["doc_id", "quality", "toxic"]),
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,8 +146,9 @@ def merged_cell_fill(spark, sf_dir):
 
 @query
 def detect_types(spark, sf_dir):
-    cells = corpus(spark, sf_dir, numbered=False).cells().withColumn("data_type", normalize.data_type(F.col("v"), F.col("t")))
-    return cells.groupBy("table_id", "col_idx", "data_type").agg(F.count(F.lit(1)).alias("n"))
+    """Cells by type. They are counted by value first, so that patterns look at distinct values only."""
+    cells = corpus(spark, sf_dir, numbered=False).cells().groupBy("table_id", "col_idx", "v", "t").agg(F.count(F.lit(1)).alias("k"))
+    return cells.withColumn("data_type", normalize.data_type(F.col("v"), F.col("t"))).groupBy("table_id", "col_idx", "data_type").agg(F.sum("k").alias("n"))
 
 
 @query
@@ -549,7 +550,7 @@ def ruled_tables(spark, sf_dir):
     numbers of equal return flags in a row share a merged cell, and the last column is open on its right side, so it is none.
     Rules are drawn a little askew."""
     li = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey", "l_returnflag", F.lit(1).alias("page_number"))
-    w = Window.partitionBy("doc_id").orderBy("l_linenumber", "l_partkey")
+    w = Window.partitionBy("doc_id").orderBy("l_linenumber", "l_partkey", "l_returnflag")
     li = li.withColumns({"n": F.row_number().over(w), "many": F.count(F.lit(1)).over(Window.partitionBy("doc_id")), "goes_on": F.coalesce(F.lag("l_returnflag").over(w) == F.col("l_returnflag"), F.lit(False))})
     y, off = F.col("n") * 20.0, F.pmod(F.col("doc_id"), F.lit(3)) - 1.0
     segment = lambda x0, y0, x1, y1: F.struct(*[c.cast("double").alias(k) for k, c in (("x0", x0), ("top", y0), ("x1", x1), ("bottom", y1))])
