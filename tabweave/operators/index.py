@@ -58,9 +58,7 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 class Lists(Protocol):
     """An index that finds the postings of tokens itself, and knows how many nodes a token has (see ``store``)."""
 
-    def lists(self, tokens: DataFrame) -> DataFrame: ...
-
-    def sizes(self, tokens: DataFrame) -> DataFrame: ...
+    def find(self, tokens: DataFrame) -> tuple[DataFrame, DataFrame]: ...
 
 
 def search(index: DataFrame | Lists, queries: DataFrame, max_results: int = 50) -> DataFrame:
@@ -92,7 +90,8 @@ def best_nodes(index: DataFrame | Lists, tokens_of: DataFrame, max_results: int)
         sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("nodes"), F.max("weight").alias("most"))
     else:
         tokens_of = hold(tokens_of)
-        lists, sizes = hold(index.lists(tokens_of)), index.sizes(tokens_of)
+        lists, sizes = index.find(tokens_of)
+        lists = hold(lists)
     asked = hold(tokens_of.join(sizes, "token"))
     rare = asked.where(F.col("nodes") <= RARE_NODES)
     node = ["graph_id", "node_id"]

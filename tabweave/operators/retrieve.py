@@ -46,17 +46,29 @@ def expand(starts: DataFrame, edges: DataFrame, k_hops: int, key: list[str]) ->
 
 
 def induced(reached: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """The columns ``key`` and those of the edges that have both ends among what one key has reached."""
-    at = reached.select(*key, "graph_id", F.col("node_id").alias("src"))
-    to = reached.select(*key, "graph_id", F.col("node_id").alias("dst"))
-    return edges.join(at, ["graph_id", "src"]).join(to, [*key, "graph_id", "dst"]).select(*key, *edges.columns)
+    """The columns ``key`` and those of the edges that have both ends among what one key has reached.
+
+    Edges between nodes that no key reaches are left out first. Each of the others is then found from its end with fewer edges: a hub that
+    every key reaches would otherwise bring all its edges to every key."""
+    node = ["graph_id", "node_id"]
+    some = reached.select(*node).distinct()
+    end = lambda c: some.withColumnRenamed("node_id", c)
+    inner = hold(edges.join(end("src"), ["graph_id", "src"], "left_semi").join(end("dst"), ["graph_id", "dst"], "left_semi"))
+    many = neighbours(inner).groupBy("graph_id", "u").agg(F.count(F.lit(1)).alias("_n"))
+    of = lambda c: many.select("graph_id", F.col("u").alias(c), F.col("_n").alias(f"_{c}"))
+    fewer = F.col("_src") <= F.col("_dst")
+    found = inner.join(of("src"), ["graph_id", "src"]).join(of("dst"), ["graph_id", "dst"]).withColumns({"_from": F.when(fewer, F.col("src")).otherwise(F.col("dst")), "_to": F.when(fewer, F.col("dst")).otherwise(F.col("src"))})
+    at = reached.select(*key, "graph_id", F.col("node_id").alias("_from"))
+    to = reached.select(*key, "graph_id", F.col("node_id").alias("_to"))
+    return found.join(at, ["graph_id", "_from"]).join(to, [*key, "graph_id", "_to"]).select(*key, *edges.columns)
 
 
 def retrieve(gs: GraphSet, index: DataFrame | Lists, queries: DataFrame, top_k: int = 10, k_hops: int = 1, multi_graph: bool | None = None) -> Retrieved:
     """The composed subgraph of each query: the union, over its ``top_k`` best nodes, of what each reaches in ``k_hops`` (edges taken both
     ways) with the edges inside. Queries without tokens or hits have no seeds and no nodes."""
     seeds = hold(search(index, queries, top_k))
-    reached = expand(seeds, gs.edges, k_hops, ["query_id", "rank"])
+    # read by nodes and by both ends of edges
+    reached = hold(expand(seeds, gs.edges, k_hops, ["query_id", "rank"]))
     ids = reached.select("query_id", "graph_id", "node_id").distinct()
     edges = induced(reached, gs.edges, ["query_id", "rank"]).drop("rank").dropDuplicates(["query_id", "graph_id", "src", "dst"])
     if multi_graph is None:

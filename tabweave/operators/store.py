@@ -11,6 +11,7 @@ until then, which a search allows for: they only decide what is looked up first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,24 +41,28 @@ class StoredIndex:
     buckets: int
     removed: DataFrame | None
 
-    def _of(self, table: DataFrame, tokens: DataFrame) -> DataFrame:
+    def _pruned(self, tokens: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        """What cuts a table down to the tokens: by name and bucket if they are few, else by bucket and a join."""
         wanted = tokens.select("token").distinct()
         few = [r["token"] for r in wanted.limit(NAMED_TOKENS + 1).collect()]
+        if not few:
+            return lambda table: table.where(F.lit(False))
+        bucket = bucket_of(F.col("token"), self.buckets)
         if len(few) <= NAMED_TOKENS:
-            at = {r["b"] for r in tokens.sparkSession.createDataFrame([(t,) for t in few], "token string").select(bucket_of(F.col("token"), self.buckets).alias("b")).collect()} if few else set()
-            return table.where(F.col("bucket").isin(sorted(at)) & F.col("token").isin(few)) if few else table.where(F.lit(False))
-        at = [r["b"] for r in wanted.select(bucket_of(F.col("token"), self.buckets).alias("b")).distinct().collect()]
-        pruned = table.where(F.col("bucket").isin(sorted(at))) if len(at) < self.buckets else table
-        return pruned.join(wanted, "token", "left_semi")
-
-    def lists(self, tokens: DataFrame) -> DataFrame:
-        """The postings of the tokens (column token), from their buckets."""
-        found = self._of(self.postings, tokens).drop("bucket", "run")
-        return found if self.removed is None else found.join(self.removed, "graph_id", "left_anti")
-
-    def sizes(self, tokens: DataFrame) -> DataFrame:
-        """token, nodes (at most; removed graphs count until the next ``compact``), most (the greatest weight)."""
-        return self._of(self.counts, tokens).groupBy("token").agg(F.sum("nodes").alias("nodes"), F.max("most").alias("most"))
+            at = {r["b"] for r in tokens.sparkSession.createDataFrame([(t,) for t in few], "token string").select(bucket.alias("b")).collect()}
+            return lambda table: table.where(F.col("bucket").isin(sorted(at)) & F.col("token").isin(few))
+        if len(few) > 8 * self.buckets:  # next to no bucket is left out
+            return lambda table: table.join(wanted, "token", "left_semi")
+        at = {r["b"] for r in wanted.select(bucket.alias("b")).distinct().collect()}
+        return lambda table: table.where(F.col("bucket").isin(sorted(at))).join(wanted, "token", "left_semi")
+
+    def find(self, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The postings of the tokens (column token), from their buckets; and token, nodes (at most; removed graphs count until the next
+        ``compact``), most (the greatest weight)."""
+        pruned = self._pruned(tokens)
+        found = pruned(self.postings).drop("bucket", "run")
+        sizes = pruned(self.counts).groupBy("token").agg(F.sum("nodes").alias("nodes"), F.max("most").alias("most"))
+        return (found if self.removed is None else found.join(self.removed, "graph_id", "left_anti")), sizes
 
     def all(self) -> DataFrame:
         found = self.postings.drop("bucket", "run")

@@ -7,7 +7,7 @@ import time
 import warnings
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 from typing import Any
 
@@ -196,8 +196,7 @@ def retrieve_context(gs: GraphSet, query: str | list[str] | DataFrame, strategy:
     """query_id, context of every query, in one job. ``postings`` is an index made before."""
     queries = as_queries(gs.nodes.sparkSession, query)
     found = retrieve.retrieve(gs, hold(index.postings(gs)) if postings is None else postings, queries, top_k, k_hops)
-    found = retrieve.Retrieved(found.queries, found.seeds, hold(found.nodes), hold(found.edges), found.multi_graph)
-    return context.render(found, strategy, max_tokens)
+    return context.render(replace(found, nodes=hold(found.nodes), edges=hold(found.edges)), strategy, max_tokens)
 
 
 class GraphStore(StoredGraphs):
@@ -212,7 +211,9 @@ class GraphRetriever:
         self.store, self.top_k, self.k_hops = store, top_k, k_hops
 
     def retrieve(self, query: str | list[str] | DataFrame) -> retrieve.Retrieved:
-        return retrieve.retrieve(self.store.graphs, self.store.index, as_queries(self.store.spark, query), self.top_k, self.k_hops)
+        """The subgraph of each query. Its nodes and edges are held, as texts read them several times."""
+        found = retrieve.retrieve(self.store.graphs, self.store.index, as_queries(self.store.spark, query), self.top_k, self.k_hops)
+        return replace(found, nodes=hold(found.nodes), edges=hold(found.edges))
 
 
 class ContextSerializer:
