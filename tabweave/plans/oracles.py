@@ -383,3 +383,8 @@ g as (select *, case when lag(m) over (partition by d order by n) = m then 0 els
 r as (select *, sum(first) over (partition by d order by n) as run from g),
 t as (select d, n, case when first = 1 then string_agg(m, '/') over (partition by d, run) else '-' end || '|' || ln || '|' || pk as cells from r)
 select d as doc_id, 0 as table_index, 0 as row, 'flag|line and part|-' as cells from (select distinct d from t) union all select d, 0, n::int, cells from t"""
+ORACLES["as_of_orders"] = """
+with e as (select event_id, user_id, date '1992-01-01' + (event_id % 2500)::int as at from events),
+o as (select o_custkey, o_orderdate::date as day, max(o_orderkey) as k from orders group by 1, 2), d as (select day, max(k) as k from o group by 1)
+select event_id, o.k::varchar as own_order, o.day::varchar as own_day, d.k::varchar as last_order
+from e asof left join o on e.user_id = o.o_custkey and e.at >= o.day asof left join d on e.at >= d.day"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.props import in_brackets, listed
 from tabweave.functions.text import squeeze, tokens
-from tabweave.operators import build, classify, context, index, normalize, retrieve, sinks
+from tabweave.operators import asof, build, classify, context, index, normalize, retrieve, sinks
 from tabweave.plans import api
 from tabweave.plans.shared import hold
 from tabweave.schema import GraphSet, TableSet
@@ -435,6 +435,15 @@ def latency_stats(spark, sf_dir):
     return got.select("event_type", "is_total", "n", F.round("mean", 6).alias("mean"), "median", "p95")
 
 
+@query
+def as_of_orders(spark, sf_dir):
+    """For each event, on a day of the orders' years, the customer's last order up to that day, and the last order of all."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
+    e = read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("o_custkey"), F.date_add(F.lit("1992-01-01").cast("date"), (F.col("event_id") % 2500).cast("int")).alias("at"))
+    mine = asof.as_of(e, o, "at", "day", ["o_custkey"], ["o_orderkey"]).select("event_id", F.col("found.o_orderkey").cast("string").alias("own_order"), F.col("found.day").cast("string").alias("own_day"), "at")
+    return asof.as_of(mine, o, "at", "day", None, ["o_orderkey"]).select("event_id", "own_order", "own_day", F.col("found.o_orderkey").cast("string").alias("last_order"))
+
+
 @query
 def token_budget(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", context.truncate(F.col("text"), 100).alias("text"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabweave.operators import build, classify, context, index, normalize, retrieve, sinks
+from tabweave.operators import asof, build, classify, context, index, normalize, retrieve, sinks
 from tabweave.plans import api, registry
 from tabweave.schema import TableSet
 from tabweave.sources import grids
@@ -503,3 +503,18 @@ def test_a_search_reads_its_buckets_only(spark):
     many = spark.range(600).select(F.concat(F.lit("w"), "id").alias("token"))
     assert {r.token for r in store.index.find(many)[0].collect()} == {f"w{i}" for i in range(12) if len(f"w{i}") > 1}
     assert store.index.find(words.limit(0))[0].count() == 0
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_as_of_equals_a_plain_loop(spark, by):
+    import random
+
+    rnd = random.Random(len(by))
+    left = [(i, rnd.choice(["a", "a", "a", "b", None]), rnd.choice([None, *range(40)])) for i in range(80)]
+    right = [(100 + i, rnd.choice(["a", "a", "c", None]), rnd.choice([None, *range(5, 40)]), i % 3) for i in range(60)]
+    a, b = spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "rid int, k string, since int, found int")
+    got = {r.id: r.found and r.found.rid for r in asof.as_of(a.repartition(5), b.repartition(3), "t", "since", by, ["rid"]).collect()}
+    for i, k, t in left:
+        fits = [(since, rid) for rid, own, since, _ in right if since is not None and t is not None and since <= t and (not by or k is not None and own == k)]
+        assert got[i] == (max(fits)[1] if fits else None), (i, k, t)
+    assert asof.as_of(a, b.limit(0), "t", "since", by).where("found is not null").count() == 0 and asof.as_of(a.limit(0), b, "t", "since", by).count() == 0
