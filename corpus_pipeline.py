@@ -8,7 +8,8 @@
 4. Mixing: every document is repeated as often as its source's weight asks, once at least.
 5. SentencePiece: the remaining texts are encoded, decoded and compared.
 
-Null and empty texts go in stage 1; nulls in other columns are kept. Extra columns pass through the first four stages.
+Null and empty texts go in stage 1; nulls in other columns are kept. Extra columns pass through the first four stages. Very long texts
+are read whole in every stage. An empty table gives an empty table in every stage (without documents no language is learned).
 """
 
 from __future__ import annotations
