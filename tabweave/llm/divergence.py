@@ -39,7 +39,7 @@ MIN_DOCS = 10
 SCALE = 1_000_000_000
 TOP_TERMS = 10
 #: Entries of counts that a worker holds before it hands them out.
-HELD = 200_000
+HELD = 500_000
 #: Rows (term, source, count) that are tallied together, and joint rows before they are folded.
 BLOCK_ROWS, FOLD_ROWS = 20_000, 500_000
 
