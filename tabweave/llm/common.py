@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 _made: list[tuple[SparkSession, str]] = []
+atexit.register(lambda: _remove_made())
 
 
 #: Rows of an Arrow batch. Texts are read whole, so a batch of Spark's default size could hold hundreds of MB.
@@ -46,12 +47,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _remove_made() -> None:
     """Delete the tables made, each on its own; those of an ended session go with the folder that the cluster names."""
     for spark, path in _made:
-        with contextlib.suppress(Exception):
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark, path)
+
+
+@contextlib.contextmanager
+def made_for_now():
+    """Tables that are materialized inside the block are deleted at its end, for long sessions that write their results there."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for spark, path in _made[before:]:
+            _delete(spark, path)
+        del _made[before:]
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -60,8 +77,6 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/tabweave-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_remove_made)
     _made.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

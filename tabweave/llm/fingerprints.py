@@ -17,7 +17,7 @@ Ranges are cut at approximate quantiles of the id; only their first ids (one per
 Cases: null texts count as empty; the empty text has the phrase set {} and a constant fingerprint. Rows with equal ids
 are ordered by text, null ids come first. With a single row, the next document is the row itself. Fully equal rows are
 interchangeable. Very long texts are parsed whole. An empty table gives no rows. Extra columns are ignored. Rows of one id lie in
-one range, as each needs its successor: ids are taken to be ids.
+one range, as each needs its successor: ids are taken to be ids, and whole numbers (they are cast to long).
 """
 
 from __future__ import annotations

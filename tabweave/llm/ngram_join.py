@@ -26,7 +26,10 @@ components are exact. Verification compares whole sets.
 
 Cases: null and empty texts, or without words, have an empty set, n_shingles 0 and link with nothing. Repeated rows are
 copies. Rows with a null id are compared; a component's id is its least id (null if it has none). Equal ids with
-different texts are different documents. Extra columns are ignored. An empty table gives no rows.
+different texts are different documents. Ids are whole numbers: they are cast to long, and ids that aren't fail or are lost. Very
+long texts are hashed whole, a batch of texts at a time; a set is as long as its text has words. Ties cannot change the result:
+proposals and prefixes break them by hashes, and the components are those of all links. Extra columns are ignored. An empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -122,6 +122,19 @@ def test_shards_of_odd_rows(spark):
     assert len(sharded(many)) == 2000
 
 
+def test_tables_made_for_now_go(spark):
+    from pathlib import Path
+
+    from tabweave.llm.common import made_for_now, materialize, shared_dir
+
+    kept = materialize(spark.range(3))
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    with made_for_now():
+        assert materialize(spark.range(4)).count() == 4 and set(folder.iterdir()) > before
+    assert set(folder.iterdir()) == before and kept.count() == 3
+
+
 # Source divergence
 
 
