@@ -217,6 +217,16 @@ def test_ruled_grids_equal_a_plain_search(spark, seed):
     assert got == want
 
 
+def test_a_page_of_drawn_tables_is_moved_once(spark):
+    segments = spark.createDataFrame([across(y, 0, 50) for y in (0, 10, 20)] + [down(x, 0, 20) for x in (0, 25, 50)], SEGMENTS)
+    words = spark.createDataFrame([at(i, f"w{i}", 10 + 25 * (i % 2), 5 + 10 * (i // 2)) for i in range(4)], WORDS)
+    got = ruled.find_tables(segments, words)
+    assert [r.grid for r in got.collect()] == [[["w0", "w1"], ["w2", "w3"]]]
+    # one exchange for rules, one for words, and nothing that is written and read again
+    plan = got._jdf.queryExecution().sparkPlan().toString(), got._jdf.queryExecution().executedPlan().toString()
+    assert plan[1].split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 2 and "parquet" not in plan[0]
+
+
 def test_table_ids_never_meet(spark):
     grid = [["a", "b"], ["1", "2"]]
     rows = [(d, f, p, i, None, grid) for d, f, p, i in [*[(7, "f", 1, i) for i in range(300)], (7, "f", 2, 0), (7, "f", 5000, 0), (7, "f", 4097, 1), (7, "g", 1, 0), (2**62, "h", 1, 0)]]
