@@ -1,5 +1,7 @@
 """Literal tables through the whole engine: types, graphs, retrieval, exports."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -299,6 +301,36 @@ def test_induced_edges_equal_a_plain_loop(spark):
     assert sorted((r.q, r.graph_id, r.src, r.dst) for r in got) == sorted((q, g, a, b) for g, a, b in pairs for q in range(6) if (q, g, a) in reached and (q, g, b) in reached)
 
 
+@pytest.mark.parametrize("k", [0, 1, 2, 3])
+def test_reach_of_starts_that_are_alike_equals_a_plain_loop(spark, k):
+    import random
+
+    rnd = random.Random(k)
+    # leaves of hubs are alike; some nodes have loops, repeated edges or none
+    pairs = [(0, f"h{i % 3}", f"leaf{i}") for i in range(30)] + [(rnd.randrange(2), f"n{rnd.randrange(9)}", f"n{rnd.randrange(9)}") for _ in range(14)] + [(0, "leaf1", "leaf1"), (0, "h0", "h1"), (0, "h0", "h1"), (0, "h1", "n0")]
+    names = sorted({(g, x) for g, a, b in pairs for x in (a, b)} | {(0, "alone")})
+    near = {n: {b if a == n[1] else a for g, a, b in pairs if g == n[0] and n[1] in (a, b)} for n in names}
+
+    def reach(n):
+        seen, front = {n[1]: 0}, [n[1]]
+        for d in range(1, k + 1):
+            front = sorted({y for x in front for y in near[n[0], x]} - set(seen))
+            seen.update(dict.fromkeys(front, d))
+        return seen
+
+    edges = spark.createDataFrame(pairs, "graph_id long, src string, dst string")
+    starts = spark.createDataFrame([(i, *n) for i, n in enumerate(names)], "q int, graph_id long, node_id string")
+    want = sorted((i, n[0], x, d) for i, n in enumerate(names) for x, d in reach(n).items())
+    assert sorted(map(tuple, retrieve.expand(starts, edges, k, ["q"]).collect())) == want
+    counted = Counter((q, d) for q, _, _, d in want)
+    assert {(r.q, r.depth): r.n for r in retrieve.count_hops(starts, edges, k, ["q"]).collect()} == counted
+    if k:
+        asked = [(q, r, *rnd.choice(names)) for q in range(25) for r in (1, 2)]
+        got = retrieve.beyond(spark.createDataFrame(asked, "query_id int, rank int, graph_id long, node_id string"), edges, k).collect()
+        found = {(q, g, x) for q, _, g, n in asked for x in reach((g, n))}
+        assert sorted(map(tuple, got)) == sorted(found - {(q, g, x) for q, _, g, n in asked for x in near[g, n] | {n}})
+
+
 def test_hops_and_induced_edges(store):
     sizes = [api.GraphRetriever(store, 1, k).retrieve("metric_0 revenue").nodes.count() for k in (0, 1, 2)]
     assert sizes[0] == 1 and sizes[0] < sizes[1] <= sizes[2]
