@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.functions.text import tokens
@@ -25,13 +26,14 @@ def _token_set(texts):
     return F.array_distinct(F.flatten(F.transform(texts, tokens)))
 
 
-def postings(gs: GraphSet) -> DataFrame:
-    """token, graph_id, node_id, weight, place: one row per token and node.
+def postings(gs: GraphSet, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """token, graph_id, node_id, weight, place (and bucket, if a token's bucket is given): one row per token and node.
 
     A node has the tokens of its id, label, property names and values, and those of its edges' labels, names and values, with weight
     1; tokens of its graph's context have weight 0.5. ``place`` is where the node first occurs in the token's list (nodes in
     order, then edges with source before target); it settles ties. Repeats are folded here, map-side first, so a hub's list
-    entry is one row however many edges it has."""
+    entry is one row however many edges it has. With ``bucket``, rows are dealt by it: those of edges after they were folded, those
+    of nodes, which have no repeats, once."""
     said = gs.graphs.select("graph_id", _token_set(F.array("context")).alias("said"))
     n = gs.nodes.join(said, "graph_id", "left").select(
         "graph_id",
@@ -43,10 +45,13 @@ def postings(gs: GraphSet) -> DataFrame:
     e = gs.edges.join(said, "graph_id", "left").select("graph_id", "src", "dst", _token_set(_texts([F.col("label")])).alias("own"), "said", "src_ord", "seq")
     place = lambda end: F.struct(F.lit(1).alias("kind"), F.col("src_ord").alias("ord"), F.col("seq"), F.lit(end).alias("end"))
     ends = e.select("graph_id", "own", "said", F.explode(F.array(F.struct(F.col("src").alias("node_id"), place(0).alias("place")), F.struct(F.col("dst").alias("node_id"), place(1).alias("place")))).alias("x"))
-    both = n.unionByName(ends.select("graph_id", F.col("x.node_id").alias("node_id"), "own", "said", F.col("x.place").alias("place")))
     weighed = F.concat(F.transform("own", lambda t: F.struct(t.alias("token"), F.lit(1.0).alias("w"))), F.transform(F.array_except(F.coalesce("said", F.array().cast("array<string>")), "own"), lambda t: F.struct(t.alias("token"), F.lit(0.5).alias("w"))))
-    flat = both.select("graph_id", "node_id", "place", F.explode(weighed).alias("x"))
-    return flat.groupBy(F.col("x.token").alias("token"), "graph_id", "node_id").agg(F.max("x.w").alias("weight"), F.min("place").alias("place"))
+    flat = lambda df: df.select("graph_id", "node_id", "place", F.explode(weighed).alias("x")).select(F.col("x.token").alias("token"), "graph_id", "node_id", F.col("x.w").alias("weight"), "place")
+    folded = lambda df, *more: df.groupBy(*more, "token", "graph_id", "node_id").agg(F.max("weight").alias("weight"), F.min("place").alias("place"))
+    ends = ends.select("graph_id", F.col("x.node_id").alias("node_id"), "own", "said", F.col("x.place").alias("place"))
+    if bucket is None:
+        return folded(flat(n.unionByName(ends)))
+    return folded(flat(n).unionByName(folded(flat(ends))).withColumn("bucket", bucket(F.col("token"))).repartition("bucket"), "bucket")
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:

@@ -115,13 +115,12 @@ class GraphStore:
             getattr(gs, name).write.mode("overwrite").parquet(f"{self.path}/{name}/run={run}")
         # from the written tables, so that the builders' plans run once
         again = GraphSet(*[self.spark.read.parquet(f"{self.path}/{n}/run={run}") for n in ("graphs", "nodes", "edges")])
-        posted = index.postings(again)
         if self._buckets is None:
             # a new store's first run decides, by its nodes and edges, as their texts have some ten tokens
             many = 10 * (again.nodes.count() + again.edges.count()) // BUCKET_POSTINGS
             self._buckets = min(max(1 << many.bit_length(), BUCKETS[0]), BUCKETS[1])
-        # the exchange is hashed by bucket, and rows of a bucket are sorted by token
-        placed = posted.withColumn("bucket", bucket_of(F.col("token"), self._buckets)).repartition("bucket").sortWithinPartitions("bucket", "token", "graph_id", "node_id")
+        # the one exchange is hashed by bucket, and rows of a bucket are sorted by token
+        placed = index.postings(again, lambda token: bucket_of(token, self._buckets)).sortWithinPartitions("bucket", "token", "graph_id", "node_id")
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/run={run}")
         written = self.spark.read.parquet(f"{self.path}/postings/run={run}")
         counts = written.groupBy("bucket", "token").agg(F.count(F.lit(1)).alias("nodes"), F.max("weight").alias("most"))
