@@ -9,7 +9,9 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -186,14 +188,66 @@ def to_table_set(tables: DataFrame, contexts: DataFrame | None = None, method: s
     return TableSet(made, rows)
 
 
-def _in_bands(points: DataFrame, bands: DataFrame, at: str, lo: str, hi: str) -> DataFrame:
-    """Points (table_id, ``at``) with the bands of their table (table_id, ``lo``, ``hi`` and others) that hold them, ends included. A table's
-    span is cut into as many bins as it has bands, so a point is compared with the few bands that reach into its bin."""
-    span = bands.groupBy("table_id").agg(F.min(lo).alias("_lo"), ((F.max(hi) - F.min(lo)) / F.count(F.lit(1))).alias("_side"))
-    span = span.withColumn("_side", F.when(F.col("_side") > 0, F.col("_side")).otherwise(1.0))
-    nth = lambda c: F.floor((F.col(c) - F.col("_lo")) / F.col("_side"))
-    laid = bands.where(F.col(lo) <= F.col(hi)).join(span, "table_id").withColumn("_bin", F.explode(F.sequence(nth(lo), nth(hi)))).drop("_lo", "_side")
-    return points.join(span, "table_id").withColumn("_bin", nth(at)).drop("_lo", "_side").join(laid, ["table_id", "_bin"]).where((F.col(lo) <= F.col(at)) & (F.col(at) <= F.col(hi))).drop("_bin", lo, hi)
+def _cells_of_words() -> Callable[[Column, Column, Column], Column]:
+    """A function of a table's row boxes, column boxes (structs x0, y0, x1, y1) and words' centres (structs mx, my), all lists of doubles: for each
+    row and each column the places in their list of the words that lie in both, ends included. The tables of a batch are done together. A
+    table's span is cut into as many bins as it has boxes, so a word is compared with the few boxes that reach into its bin."""
+
+    def each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For counts a, b, ...: 0 a times, 1 b times, ... and beside it 0 to a - 1, 0 to b - 1, ..."""
+        of = np.repeat(np.arange(len(counts)), counts)
+        return of, np.arange(len(of)) - (np.cumsum(counts) - counts)[of]
+
+    def flat(a: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+        one = a.flatten()
+        return pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64), [one.field(i).to_numpy(zero_copy_only=False).astype(float) for i in range(one.type.num_fields)]
+
+    def inside(n_boxes: np.ndarray, lo: np.ndarray, hi: np.ndarray, n_words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a word and a box of its table with lo <= at <= hi, in order of words. What is null or NaN lies nowhere and holds nothing."""
+        table, _ = each(n_boxes)
+        use, own = np.flatnonzero(lo <= hi), each(n_words)[0]
+        least, most = np.full(len(n_boxes), np.inf), np.full(len(n_boxes), -np.inf)
+        np.minimum.at(least, table[use], lo[use])
+        np.maximum.at(most, table[use], hi[use])
+        side = (most - least) / np.maximum(n_boxes, 1)
+        side[~(side > 0)] = 1.0
+        first = np.cumsum(n_boxes + 1) - (n_boxes + 1)
+        # 0 to n_boxes; a bin never falls as x grows, and spans without end are one bin
+        nth = lambda x, t: first[t] + np.clip(np.nan_to_num((x - least[t]) / side[t]), 0, n_boxes[t]).astype(np.int64)
+        begin = nth(lo[use], table[use])
+        i, step = each(nth(hi[use], table[use]) - begin + 1)
+        order = np.argsort(begin[i] + step, kind="stable")
+        boxes, bins = use[i][order], (begin[i] + step)[order]
+        asked = nth(at, own)
+        left = np.searchsorted(bins, asked, "left")
+        word, k = each(np.searchsorted(bins, asked, "right") - left)
+        box = boxes[left[word] + k]
+        held = (lo[box] <= at[word]) & (at[word] <= hi[box])
+        return word[held], box[held]
+
+    def place(rows: pa.Array, cols: pa.Array, words: pa.Array) -> pa.Array:
+        (n_rows, (rx0, ry0, rx1, ry1)), (n_cols, (cx0, cy0, cx1, cy1)), (n_words, (mx, my)) = flat(rows), flat(cols), flat(words)
+        with np.errstate(all="ignore"):
+            w, row = inside(n_rows, ry0, ry1, n_words, my)
+            v, col = inside(n_cols, cx0, cx1, n_words, mx)
+        # boxes may be askew: the row's sides and the column's ends hold too
+        own_row, own_col = (rx0[row] <= mx[w]) & (mx[w] <= rx1[row]), (cy0[col] <= my[v]) & (my[v] <= cy1[col])
+        w, row, v, col = w[own_row], row[own_row], v[own_col], col[own_col]
+        left = np.searchsorted(v, w, "left")
+        i, k = each(np.searchsorted(v, w, "right") - left)
+        table, nth = each(n_words)
+        w, col = w[i], col[left[i] + k]
+        starts = np.cumsum(n_rows * n_cols) - n_rows * n_cols
+        ahead_r, ahead_c = np.cumsum(n_rows) - n_rows, np.cumsum(n_cols) - n_cols
+        t = table[w]
+        cell = starts[t] + (row[i] - ahead_r[t]) * n_cols[t] + col - ahead_c[t]
+        ends = lambda counts: pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        found = pa.array(nth[w][np.argsort(cell, kind="stable")], pa.int32())
+        cells = pa.ListArray.from_arrays(ends(np.bincount(cell, minlength=int((n_rows * n_cols).sum()))), found)
+        return pa.ListArray.from_arrays(ends(n_rows), pa.ListArray.from_arrays(ends(np.repeat(n_cols, n_rows)), cells))
+
+    place.__annotations__ = {"rows": pa.Array, "cols": pa.Array, "words": pa.Array, "return": pa.Array}
+    return F.arrow_udf(place, "array<array<array<int>>>")
 
 
 def grids_from_boxes(boxes: DataFrame, words: DataFrame, frames: DataFrame, min_score: float = 0.5) -> DataFrame:
@@ -202,31 +256,34 @@ def grids_from_boxes(boxes: DataFrame, words: DataFrame, frames: DataFrame, min_
     boxes: table_id, label ('table row', 'table column', 'table column header', others ignored), score, x0, y0, x1, y1 in pixels.
     words: table_id, word_ord, text, x0, x1, top, bottom in points. frames: table_id, x0, y0, x1, y1 in points, image_w, image_h.
     A word belongs to the cells (a row box cut with a column box) that hold its centre; a cell's words are joined in their order. Rows
-    whose middle lies in a header box are headers; without any, the first row is."""
-    f = frames.select("table_id", *[F.col(k).alias(f"f{k}") for k in ("x0", "y0", "x1", "y1")], "image_w", "image_h")
+    whose middle lies in a header box are headers; without any, the first row is.
+
+    A table (what is seen in one picture) is a bounded group: its boxes and its words each become one row, and these two meet once with its
+    frame; no pairs of words, boxes or cells are shuffled or stored."""
+    corner = ["x0", "y0", "x1", "y1"]
+    kinds = {"_rows": "table row", "_cols": "table column", "_heads": "table column header"}
+    of = lambda kind: F.collect_list(F.when(F.col("label") == kind, F.struct(*corner)))
+    found = boxes.where((F.col("score") >= min_score) & F.col("label").isin(*kinds.values())).groupBy("table_id").agg(*[of(kind).alias(k) for k, kind in kinds.items()])
+    found = found.where((F.size("_rows") > 0) & (F.size("_cols") > 0))
+    f = frames.select("table_id", *[F.col(k).alias(f"f{k}") for k in corner], "image_w", "image_h")
     sx, sy = (F.col("fx1") - F.col("fx0")) / F.col("image_w"), (F.col("fy1") - F.col("fy0")) / F.col("image_h")
-    placed = boxes.where(F.col("score") >= min_score).join(f, "table_id")
-    placed = placed.select("table_id", "label", F.col("x0").alias("px0"), F.col("y0").alias("py0"), (F.col("fx0") + F.col("x0") * sx).alias("x0"), (F.col("fy0") + F.col("y0") * sy).alias("y0"), (F.col("fx0") + F.col("x1") * sx).alias("x1"), (F.col("fy0") + F.col("y1") * sy).alias("y1"))
-    nth = lambda by: F.row_number().over(Window.partitionBy("table_id").orderBy(by, "x0", "y0", "x1", "y1")) - 1
-    rows = placed.where("label = 'table row'").withColumn("row", nth("py0"))
-    heads = placed.where("label = 'table column header'").groupBy("table_id").agg(F.collect_list(F.struct("y0", "y1")).alias("heads"))
-    middle = (F.col("y0") + F.col("y1")) / 2
-    rows = rows.join(heads, "table_id", "left").withColumn("is_head", F.coalesce(F.exists("heads", lambda h: (h["y0"] <= middle) & (middle <= h["y1"])), F.lit(False)))
-    rows = rows.select("table_id", "row", "is_head", F.col("x0").alias("rx0"), F.col("y0").alias("ry0"), F.col("x1").alias("rx1"), F.col("y1").alias("ry1"))
-    cols = placed.where("label = 'table column'").withColumn("col", nth("px0")).select("table_id", "col", F.col("x0").alias("cx0"), F.col("y0").alias("cy0"), F.col("x1").alias("cx1"), F.col("y1").alias("cy1"))
-    at = words.select("table_id", "word_ord", "text", ((F.col("x0") + F.col("x1")) / 2).alias("mx"), ((F.col("top") + F.col("bottom")) / 2).alias("my"))
-    # a word is in a cell if it is in its row and in its column, so each axis is looked up on its own
-    at = _in_bands(_in_bands(at, rows.drop("is_head", "rx0", "rx1"), "my", "ry0", "ry1"), cols.drop("cy0", "cy1"), "mx", "cx0", "cx1")
-    # boxes may be askew: the row's sides and the column's ends hold too
-    at = at.join(rows.select("table_id", "row", "rx0", "rx1"), ["table_id", "row"]).join(cols.select("table_id", "col", "cy0", "cy1"), ["table_id", "col"])
-    at = at.where("rx0 <= mx AND mx <= rx1 AND cy0 <= my AND my <= cy1").groupBy("table_id", "row", "col").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_ord", "text"))), lambda w: w["text"]), " ").alias("said"))
-    cells = rows.select("table_id", "row", "is_head").join(cols.select("table_id", "col"), "table_id")
-    filled = cells.join(at, ["table_id", "row", "col"], "left").withColumn("text", strip(F.coalesce("said", F.lit(""))))
-    lines = filled.groupBy("table_id", "row", "is_head").agg(F.transform(F.sort_array(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]).alias("cells"))
-    grids = lines.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("row", "is_head", "cells"))).alias("g"))
-    headed = F.exists("g", lambda r: r["is_head"])
-    is_head = lambda r: F.when(headed, r["is_head"]).otherwise(r["row"] == F.get("g", F.lit(0))["row"])
-    return grids.select("table_id", F.transform(F.filter("g", is_head), lambda r: r["cells"]).alias("headers"), F.transform(F.filter("g", lambda r: ~is_head(r)), lambda r: r["cells"]).alias("rows"))
+    scaled = lambda b: [(F.col("fx0") + b["x0"] * sx).alias("x0"), (F.col("fy0") + b["y0"] * sy).alias("y0"), (F.col("fx0") + b["x1"] * sx).alias("x1"), (F.col("fy0") + b["y1"] * sy).alias("y1")]
+    # in order of the place in the picture
+    lain = lambda c, by: F.sort_array(F.transform(c, lambda b: F.struct(b[by].alias("by"), *scaled(b))))
+    placed = found.join(f, "table_id").select("table_id", lain("_rows", "y0").alias("_rows"), lain("_cols", "x0").alias("_cols"), lain("_heads", "y0").alias("_heads"))
+    at = F.struct("word_ord", "text", ((F.col("x0") + F.col("x1")) / 2).cast("double").alias("mx"), ((F.col("top") + F.col("bottom")) / 2).cast("double").alias("my"))
+    said = words.groupBy("table_id").agg(F.sort_array(F.collect_list(at)).alias("_words"))
+    full = placed.join(said, "table_id", "left")
+    box = lambda c: F.transform(c, lambda b: F.struct(*[b[k].cast("double").alias(k) for k in corner]))
+    centres = F.transform(F.coalesce("_words", F.array()), lambda w: F.struct(w["mx"].alias("mx"), w["my"].alias("my"))).cast("array<struct<mx:double,my:double>>")
+    full = full.select("table_id", "_rows", "_heads", "_words", _cells_of_words()(box("_rows"), box("_cols"), centres).alias("_cells"))
+    middle = lambda r: (r["y0"] + r["y1"]) / 2
+    is_head = F.transform("_rows", lambda r: F.coalesce(F.exists("_heads", lambda h: (h["y0"] <= middle(r)) & (middle(r) <= h["y1"])), F.lit(False)))
+    text = lambda c: strip(F.array_join(F.transform(c, lambda i: F.get("_words", i)["text"]), " "))
+    grids = full.select("table_id", is_head.alias("_is_head"), F.transform("_cells", lambda r: F.transform(r, text)).alias("_grid"))
+    headed = F.exists("_is_head", lambda h: h)
+    heads = lambda i: F.when(headed, F.get("_is_head", i)).otherwise(i == 0)
+    return grids.select("table_id", F.filter("_grid", lambda r, i: heads(i)).alias("headers"), F.filter("_grid", lambda r, i: ~heads(i)).alias("rows"))
 
 
 def refine(tables: DataFrame, rebuilt: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """Readers, text functions and the stream."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,6 +278,67 @@ def test_drawn_tables_and_the_detector_in_the_facade(spark, tmp_path):
     assert ts.tables.orderBy("table_id").first().headers == [["Cu", "Sn"], ["From", ""]] and cells(ts) == {0: [["1", "2"]], 1: [["x"]]}
 
 
+DETECTED = "table_id long, label string, score double, x0 double, y0 double, x1 double, y1 double"
+PLACED = "table_id long, word_ord long, text string, x0 double, x1 double, top double, bottom double"
+FRAMES = "table_id long, x0 double, y0 double, x1 double, y1 double, image_w int, image_h int"
+ROW, COLUMN, HEAD = "table row", "table column", "table column header"
+
+
+def boxes_searched(boxes, words, frames):
+    """Every word compared with every cell; null and NaN are in no order."""
+    key = lambda b: [(v is not None, v) for v in b]
+    within = lambda lo, x, hi: None not in (lo, x, hi) and lo <= x <= hi
+    half = lambda a, b: None if a is None or b is None else (a + b) / 2
+    out = {}
+    for t, fx0, fy0, fx1, fy1, w, h in frames:
+        sx, sy = (fx1 - fx0) / w, (fy1 - fy0) / h
+        put = lambda b: tuple(None if v is None else o + v * k for v, o, k in zip(b, (fx0, fy0, fx0, fy0), (sx, sy, sx, sy), strict=True))  # noqa: B023, E731
+        own = lambda kind, by: [b for _, b in sorted(((b[3 + by], put(b[3:])) for b in boxes if b[0] == t and b[1] == kind and b[2] is not None and b[2] >= 0.5), key=lambda x: key((x[0], *x[1])))]  # noqa: B023, E731
+        rows, cols, heads = own(ROW, 1), own(COLUMN, 0), own(HEAD, 1)
+        if not rows or not cols:
+            continue
+        said = sorted(((key((o, s)), s, half(x0, x1), half(y0, y1)) for i, o, s, x0, x1, y0, y1 in words if i == t), key=lambda w: w[0])
+        hit = lambda r, c, x, y: within(r[1], y, r[3]) and within(c[0], x, c[2]) and within(r[0], x, r[2]) and within(c[1], y, c[3])
+        grid = [[" ".join(s for _, s, x, y in said if hit(r, c, x, y) and s is not None).strip() for c in cols] for r in rows]  # noqa: B023
+        top = [any(within(a[1], half(r[1], r[3]), a[3]) for a in heads) for r in rows]
+        top = top if any(top) else [i == 0 for i in range(len(rows))]
+        out[t] = ([g for g, k in zip(grid, top, strict=True) if k], [g for g, k in zip(grid, top, strict=True) if not k])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_grids_of_boxes_equal_a_plain_search(spark, seed):
+    rng = random.Random(seed)
+    some = lambda a, b: rng.choice([None, math.inf, -math.inf]) if rng.random() < 0.03 else float(rng.randint(a, b))
+    boxes, words, frames = [], [], []
+    for t in range(12):
+        frames.append((t, 10.0 * t, 5.0, 10.0 * t + 50, 105.0, 100, 200))
+        for kind, most in ((ROW, 6), (COLUMN, 5), (HEAD, 1), ("table", 1)):
+            for _ in range(rng.randint(0, most)):
+                a, b = some(0, 180), some(0, 90)
+                across_it = (some(0, 10), a, some(60, 100), None if a is None else a + rng.randint(-2, 70))
+                down_it = (b, some(0, 30), None if b is None else b + rng.randint(-2, 60), some(120, 200))
+                boxes.append((t, kind, rng.choice([0.9, 0.9, 0.9, 0.5, 0.4, None]), *(down_it if kind == COLUMN else across_it)))
+        for _ in range(rng.choice([0, 1, 40])):
+            x, y = some(10 * t - 2, 10 * t + 52), some(3, 107)
+            words.append((t, rng.choice([None, rng.randint(0, 20)]), rng.choice([None, "", " ", f"w{rng.randint(0, 9)}"]), x, x, y, y))
+    # equal boxes and words, a table without a frame, rows without a table
+    boxes += [*boxes[:4], (99, ROW, 0.9, 0.0, 0.0, 9.0, 9.0), (99, COLUMN, 0.9, 0.0, 0.0, 9.0, 9.0), (None, ROW, 0.9, 0.0, 0.0, 9.0, 9.0)]
+    words += [*words[:9], (99, 1, "w", 1.0, 1.0, 1.0, 1.0), (None, 1, "w", 1.0, 1.0, 1.0, 1.0)]
+    got = pages.grids_from_boxes(spark.createDataFrame(boxes, DETECTED).repartition(5), spark.createDataFrame(words, PLACED).repartition(5), spark.createDataFrame(frames, FRAMES)).collect()
+    want = boxes_searched(boxes, words, frames)
+    assert {r.table_id: (r.headers, r["rows"]) for r in got} == want and len(got) == len(want) > 4
+
+
+def test_boxes_and_words_of_a_table_are_moved_once(spark):
+    boxes = spark.createDataFrame([(1, ROW, 0.9, 0.0, float(y), 20.0, y + 10.0) for y in (0, 10)] + [(1, COLUMN, 0.9, float(x), 0.0, x + 10.0, 20.0) for x in (0, 10)], DETECTED)
+    words = spark.createDataFrame([(1, i, f"w{i}", 10.0 * (i % 2), 10.0 * (i % 2) + 8, 10.0 * (i // 2), 10.0 * (i // 2) + 8) for i in range(4)], PLACED)
+    got = pages.grids_from_boxes(boxes, words, spark.createDataFrame([(1, 0.0, 0.0, 20.0, 20.0, 20, 20)], FRAMES))
+    assert [(r.headers, r["rows"]) for r in got.collect()] == [([["w0", "w1"]], [["w2", "w3"]])]
+    # one exchange for boxes, one for words and one for frames
+    assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") <= 3
+
+
 def test_staggered_tables_are_refined(spark):
     tables = spark.createDataFrame([(0, [["Cu", "Sn"], ["From", ""]], [["1", "2"]], (0.0, 0.0, 1.0, 1.0)), (1, [["a", "b"]], [["3", "4"]], None)], "table_id long, headers array<array<string>>, rows array<array<string>>, bbox struct<x0:double,y0:double,x1:double,y1:double>")
     new = spark.createDataFrame([(0, [["Cu", "Sn"]], [["9", "9"]]), (1, [["z"]], [["z"]])], "table_id long, headers array<array<string>>, rows array<array<string>>")
