@@ -279,8 +279,8 @@ def grids_from_boxes(boxes: DataFrame, words: DataFrame, frames: DataFrame, min_
     full = full.select("table_id", "_rows", "_heads", "_words", _cells_of_words()(box("_rows"), box("_cols"), centres).alias("_cells"))
     middle = lambda r: (r["y0"] + r["y1"]) / 2
     is_head = F.transform("_rows", lambda r: F.coalesce(F.exists("_heads", lambda h: (h["y0"] <= middle(r)) & (middle(r) <= h["y1"])), F.lit(False)))
-    text = lambda c: strip(F.array_join(F.transform(c, lambda i: F.get("_words", i)["text"]), " "))
-    grids = full.select("table_id", is_head.alias("_is_head"), F.transform("_cells", lambda r: F.transform(r, text)).alias("_grid"))
+    text = lambda c: F.array_join(F.transform(c, lambda i: F.get("_words", i)["text"]), " ")
+    grids = full.select("table_id", is_head.alias("_is_head"), F.transform("_cells", lambda r: F.transform(F.transform(r, text), strip)).alias("_grid"))
     headed = F.exists("_is_head", lambda h: h)
     heads = lambda i: F.when(headed, F.get("_is_head", i)).otherwise(i == 0)
     return grids.select("table_id", F.filter("_grid", lambda r, i: heads(i)).alias("headers"), F.filter("_grid", lambda r, i: ~heads(i)).alias("rows"))
